@@ -8,8 +8,8 @@ set element is thrown into one of ``t`` bins by a hash of its own; a bin keeps t
 Plan: one scan makes sketches; equal sets collapse into one class by a 128-bit fingerprint; only class
 representatives are banded.  In each band bucket, members are first compared with one centre, so a
 group of near copies costs a row per member.  Where a bucket then still holds more than one
-component, its members of *different* components are compared in a skew-splittable equi-join behind
-an exact size bound and a bound on the sketch distance.  Every link is confirmed on full sets.
+component, its members of *different* components meet in an exact prefix-filter join: a linked pair
+shares one of the rarest fifth of the shingles of either set.  Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from parley.llm.store import discard, materialise
 
 BINS, ROWS_PER_BAND = 128, 4
 #: Two bits of each of 128 coordinates are kept; sets of similarity s differ in (1 - s) * 3/4 of them on average.
-#: At s = 0.8 that is 19 with a deviation of 4; 50 is over 7 deviations away.
-MOST_DIFFERENT = 50
+#: At s = 0.8 that is 19 with a deviation of 4; 40 is over 5 deviations away.
+MOST_DIFFERENT = 40
+#: Bits of the bitmap of wanted documents; its 2 MB are the bound of what is broadcast, whatever the input.
+WANTED_BITS = 1 << 24
 _EMPTY = np.uint64(2**64 - 1)
 
 SIGNATURES = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, bits array<long>"
@@ -89,9 +91,14 @@ def _signatures(k: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, wanted=None):
+    """Sets of the documents whose id the bitmap ``wanted`` may hold (all without one)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if wanted is not None:
+                at = batch.column(2).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((wanted.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0))
             for first, n, data, offsets in tk.text_chunks(batch.column(1)):
                 start, end, row = tk.words(data, offsets)
                 h, r = tk.shingle_hashes(tk.word_hashes(data, start, end), row, k)
@@ -107,6 +114,27 @@ def _sets(k: int):
     return run
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shingles) of the documents in ``ids`` (and some others), without a shuffle of texts.
+
+    The ids go into a bitmap of fixed size that filters the scan; what passes by chance is dropped by
+    the joins that follow.
+    """
+    spark = docs.sparkSession
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS)).alias("bit")
+    rows = (
+        ids.select(bit)
+        .groupBy(F.shiftright("bit", 6).cast("int").alias("at"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
+        .toPandas()
+    )
+    words = np.zeros(WANTED_BITS // 64, dtype=np.uint64)
+    words[rows["at"].to_numpy(dtype=np.int64)] = rows["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    wanted = spark.sparkContext.broadcast(words)
+    found = docs.select("doc_id", "text", bit).where("doc_id is not null")
+    return materialise(found.mapInArrow(_sets(k, wanted), "doc_id long, shingles array<long>"), "sets")
+
+
 def _different(a: Column, b: Column) -> Column:
     """Number of coordinates of which the two kept bits differ."""
     total = None
@@ -126,21 +154,44 @@ def _near(similar: int, n1: str, n2: str, bits1: str, bits2: str) -> Column:
     )
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The pairs (a, b) whose full sets are at least as similar as ``similar`` per cent."""
-    pairs = materialise(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text")
-    sets = materialise(texts.mapInArrow(_sets(k), "doc_id long, shingles array<long>"), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     joined = pairs.join(left, "a").join(right, "b")
-    links = joined.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * similar).select("a", "b")
-    out = materialise(links, "links")
-    discard(sets)
-    discard(pairs)
-    return out
+    return joined.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * similar).select("a", "b")
+
+
+def _cross_pairs(rest: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) of different components that may link.  ``rest``: rep, component, n, bits.
+
+    Prefix filter: with shingles in one order for all sets, rarest first, sets of n elements that link
+    share one of the first n - ceil(n * similar / 100) + 1 of either.  Shingles of one set only stand
+    first, so a set of which more than a fifth is its own meets nothing.
+    """
+    each = sets.join(rest.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    each = each.select("doc_id", F.explode("shingles").alias("shingle"))
+    count = each.groupBy("shingle").agg(F.count("*").alias("df"))
+    shared = each.join(count.where("df > 1").select("shingle", "df"), "shingle")
+    ranked = shared.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
+    facts = rest.join(ranked, rest.rep == ranked.doc_id)
+    own = F.col("n") - F.size("ranked")
+    prefix = F.col("n") - F.ceil(F.col("n") * similar / 100) + 1 - own
+    keys = materialise(
+        facts.where(prefix > 0).select(
+            "rep", "component", "n", "bits", F.explode(F.slice("ranked", F.lit(1), prefix.cast("int")).getField("shingle")).alias("key")
+        ),
+        "prefixes",
+    )
+    one = keys.select("key", *(F.col(c).alias(f"{c}1") for c in ("rep", "component", "n", "bits")))
+    two = keys.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "bits")))
+    return (
+        one.join(two, "key")
+        .where((F.col("component1") < F.col("component2")) & _near(similar, "n1", "n2", "bits1", "bits2"))
+        .select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
+        .distinct()
+    )
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFrame:
@@ -174,8 +225,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFrame
     fact_a = facts.select(F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
     fact_b = facts.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
     stars = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    near = stars.join(fact_a, "a").join(fact_b, "b").where(_near(similar, "n1", "n2", "bits1", "bits2"))
-    links = _confirmed(near.select("a", "b"), docs, k, similar)
+    near = materialise(
+        stars.join(fact_a, "a").join(fact_b, "b").where(_near(similar, "n1", "n2", "bits1", "bits2")).select("a", "b"),
+        "near",
+    )
+    ends = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
+    sets = _sets_of(ends, docs, k)
+    links = materialise(_confirmed(near, sets, similar), "links")
+    discard(sets)
     parts = materialise(connected_components(links), "components")
 
     # Buckets that still hold several components: compare members of different components.
@@ -189,19 +246,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFrame
         placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2"),
         "mixed",
     )
-    rest = materialise(placed.join(mixed.select("bucket"), "bucket").join(facts, "rep"), "rest")
-    one = rest.select("bucket", *(F.col(c).alias(f"{c}1") for c in ("rep", "component", "n", "bits")))
-    two = rest.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "bits")))
-    cross = (
-        one.join(two, "bucket")
-        .where((F.col("component1") < F.col("component2")) & _near(similar, "n1", "n2", "bits1", "bits2"))
-        .select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
-        .distinct()
+    rest = materialise(
+        placed.join(mixed.select("bucket"), "bucket").select("rep", "component").distinct().join(facts, "rep"), "rest"
     )
-    more = _confirmed(cross, docs, k, similar)
+    sets = _sets_of(rest.select(F.col("rep").alias("doc_id")), docs, k)
+    more = materialise(_confirmed(_cross_pairs(rest, sets, similar), sets, similar), "links")
     if not more.isEmpty():
         parts = materialise(connected_components(links.unionByName(more)), "components")
-    for table in (members, placed, mixed, rest, centres):
+    for table in (members, placed, mixed, rest, centres, sets, near):
         discard(table)
 
     of_class = materialise(
