@@ -15,8 +15,59 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, similar=80)
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.urls import judge_urls, rules_table
+
+    judged = judge_urls(_table(spark, sf_dir, "pages"), rules_table(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.language import held_out, learn_profiles, predict_language
+
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    profiles = learn_profiles(docs.where("not held_out"))
+    return predict_language(docs, profiles, ["doc_id", "held_out"])
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.packing import pack, pieces
+
+    return pack(pieces(_table(spark, sf_dir, "documents"), keep_ids=False))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.passages import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.vectors import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_url_filters": op2_url_filters,
+    "op4_language_id": op4_language_id,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _url_sql() -> str:
+    from parley.llm.urls import SQL
+
+    return SQL
+
+
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": _url_sql()}
