@@ -2,8 +2,9 @@
 
 Bounded-space online best fit: a task keeps at most ``open_bins`` open sequences, found by free space
 through a bitset; a piece goes to the open sequence with the least free space that holds it, and when
-there are too many, the fullest is closed.  Pieces come in the order of a hash, so long and short ones
-mix.  A task packs about ``pieces_per_task`` pieces, so what stays open at its end hardly counts.
+there are too many, the fullest is closed.  Pieces come in runs chosen by a hash, each run longest first, so
+that short pieces fill what long ones leave open.  A task packs about ``pieces_per_task`` pieces, so what
+stays open at its end hardly counts.
 """
 
 from __future__ import annotations
@@ -92,18 +93,19 @@ def pieces(docs: DataFrame, length: int = 2048, tokenizer: str | None = None, en
     return source.mapInArrow(run, schema)
 
 
-def pack(parts: DataFrame, capacity: int = 2048, open_bins: int = 4096, pieces_per_task: int = 500_000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 2048, open_bins: int = 8192, pieces_per_task: int = 500_000, run: int = 16_384) -> DataFrame:
     """Adds sequence_id and offset to ``parts`` (doc_id, piece, length and any other columns).
 
     Offsets of a sequence are gapless from 0.  Sequence ids are unique and otherwise arbitrary.  Equal rows
     are packed each.  A length over ``capacity`` is an error; an empty table gives no rows.
     """
     parts = materialise(parts, "pieces")
-    tasks = parts.count() // pieces_per_task + 1
+    total = parts.count()
+    tasks, runs = total // pieces_per_task + 1, total // run + 1
     columns = list(parts.columns)
     at = columns.index("length")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         bins, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
@@ -118,7 +120,7 @@ def pack(parts: DataFrame, capacity: int = 2048, open_bins: int = 4096, pieces_p
                 names=[*columns, "sequence_id", "offset"],
             )
 
-    order = F.xxhash64("doc_id", "piece")
-    dealt = parts.repartition(tasks, order).sortWithinPartitions(order, "doc_id", "piece")
+    order = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(runs))
+    dealt = parts.repartition(tasks, order).sortWithinPartitions(order, F.desc("length"), "doc_id", "piece")
     schema = ", ".join(f"`{c}` {kind}" for c, kind in parts.dtypes) + ", sequence_id long, offset long"
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(place, schema)
