@@ -54,7 +54,34 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.wrappers import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from parley.llm.shards import digest, read_shards, write_shards
+    from parley.llm.store import shared_dir
+
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(_table(spark, sf_dir, "documents"), path)
+    return digest(read_shards(spark, path))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.brown import held_out, score_documents
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs.withColumn("held_out", held_out()))
+
+
 QUERIES = {
+    "op6_html_extraction": op6_html_extraction,
+    "op7_token_shards": op7_token_shards,
+    "op10_lm_scoring": op10_lm_scoring,
     "op3_substring_dedup": op3_substring_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
