@@ -34,4 +34,4 @@ def test_der_counts_miss_false_alarm_and_confusion(spark):
     ref = spark.createDataFrame([("f", "A", 0.0, 4.0), ("f", "B", 4.0, 8.0)], "file_id string, speaker string, start double, end double")
     hyp = spark.createDataFrame([("f", 1, 0.0, 4.0), ("f", 1, 4.0, 5.0), ("f", 2, 5.0, 8.0)], "file_id string, speaker_id int, start double, end double")
     row = der(ref, hyp, 0.5, 0.1).first()
-    assert (row.miss, row.fa, row.confusion, row.speech) == (0, 0, 1, 13)
+    assert (row.miss, row.fa, row.confusion, row.speech) == (0, 0, 1, 14)
