@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textkit as tk
+from parley.llm.store import materialise, small_batches
 
 COORDINATES = 64
 #: Bytes of item text in a block; a block's broadcast takes a small multiple of this.
@@ -91,6 +92,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: float
     only a document of the same few words holds).  Items or documents without words never match.  Rows with
     a null item_id or doc_id take part and show the null.  Items of equal text are reported each.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("text is not null")
@@ -132,7 +134,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: float
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item; rows with a null doc_id stay."""
-    from parley.llm.store import materialise
-
     hit = materialise(contaminated(docs, benchmark, k, share).select("doc_id").distinct(), "leaks")
     return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm import textkit as tk
+from parley.llm.store import small_batches
 
 PROFILE = 300
 _BITS = np.uint64(21)
@@ -30,7 +31,7 @@ def _letters() -> np.ndarray:
 
 def _ngrams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, keys, counts) of every document; words are framed by a blank, keys hold up to 3 code points."""
-    for first, n, data, offsets in tk.text_chunks(pc.utf8_lower(column.cast(pa.large_string())), 1 << 20):
+    for first, n, data, offsets in tk.text_chunks(pc.utf8_lower(column.cast(pa.large_string()))):
         # A code point starts at each byte that is no continuation byte.
         starts = np.cumsum(np.r_[0, (data & 0xC0) != 0x80])[offsets]
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
@@ -79,6 +80,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     """(lang, gram, rank) of the ``size`` most frequent n-grams of each non-null ``lang`` in ``docs``."""
+    small_batches(docs.sparkSession)
     counts = (
         docs.where("lang is not null")
         .select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -97,6 +99,7 @@ def predict_language(docs: DataFrame, profiles: DataFrame, columns: list[str]) -
     the same distance the first by name is taken.  The profiles, a bounded number of n-grams for each
     language, are the only table that is sent to all tasks.
     """
+    small_batches(docs.sparkSession)
     learned = profiles.toPandas()
     names = sorted(learned["lang"].unique())
     grams = np.unique(learned["gram"].to_numpy(dtype=np.int64).view(np.uint64))

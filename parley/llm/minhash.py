@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import textkit as tk
 from parley.llm.components import connected_components
-from parley.llm.store import discard, materialise
+from parley.llm.store import discard, materialise, small_batches
 
 BINS, ROWS_PER_BAND = 128, 4
 #: Two bits of each of 128 coordinates are kept; sets of similarity s differ in (1 - s) * 3/4 of them on average.
@@ -206,6 +206,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFrame
     (doc_id = component_id).  A row with a null doc_id is linked with nothing: its component_id is null
     and kept is true.  Rows that repeat a doc_id are one node of the links, whichever of their texts links.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(docs.mapInArrow(_signatures(k), SIGNATURES), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")

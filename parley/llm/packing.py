@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textkit as tk
-from parley.llm.store import materialise
+from parley.llm.store import materialise, small_batches
 from parley.llm.tokens import WordEncoder, default_path
 
 
@@ -65,6 +65,7 @@ def pieces(docs: DataFrame, length: int = 2048, tokenizer: str | None = None, en
     A document is its ids and then ``end_id`` (null text: ``end_id`` alone); only a longer one is cut, and
     only its last piece is shorter than ``length``.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer or default_path()
     end = np.array([end_id], dtype="<u4").tobytes()
 

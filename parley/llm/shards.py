@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import textkit as tk
-from parley.llm.store import materialise
+from parley.llm.store import materialise, small_batches
 from parley.llm.tokens import WordEncoder, default_path
 
 ROUNDS = 6
@@ -84,6 +84,7 @@ def write_shards(
     tells its length.  Null texts give the end alone.  Columns: slot, shard, doc_id, piece, n_tokens, record.
     The order depends on the key and on how the input is laid out in files.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "task long, row long, doc_id long, piece int, n_tokens int, record binary"
     made = materialise(docs.mapInArrow(_records(tokenizer or default_path(), stride, end_id), schema), "records")

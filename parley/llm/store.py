@@ -12,6 +12,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, so that a Python worker holds little at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables; on a cluster it has to be configured."""
     conf = spark.sparkContext.getConf()

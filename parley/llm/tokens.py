@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 _CUT = re.compile(r"[ \n]+")
-_MOST = 400_000
+_MOST = 250_000
 
 
 class WordEncoder:

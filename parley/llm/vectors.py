@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import textkit as tk
 from parley.llm.components import connected_components
-from parley.llm.store import discard, materialise
+from parley.llm.store import discard, materialise, small_batches
 
 BLOCK = 2048
 LEAST_BITS = 8
@@ -185,6 +185,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 1e-5) ->
     one with a null vec_id (its component_id is null, kept is true).  n_links counts rows, so equal vectors
     count each; rows that repeat a vec_id are one node of the components.
     """
+    small_batches(vectors.sparkSession)
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & ~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
