@@ -2,18 +2,33 @@
 
 Tokenizers of which white space only separates words (the file's normaliser and splitter drop it) give a
 text the ids of its words one after another.  So texts are cut at blanks and line ends, and each distinct
-word is encoded once for each worker.
+word is encoded once for each worker.  A word of letters and closing marks, by far the most common form,
+goes to the merge model directly: lower-cased, its UTF-8 bytes written in the byte alphabet, letters and
+marks apart.  Any other word goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 
 import numpy as np
 
 _CUT = re.compile(r"[ \n]+")
 _MOST = 250_000
+_PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Byte to character: printable Latin-1 stands for itself, the others follow from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_ALPHABET = _byte_alphabet()
 
 
 class WordEncoder:
@@ -27,7 +42,9 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._model = self._tokenizer.model
         self._known: dict[str, bytes] = {"": b""}
+        self._parts: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -45,13 +62,37 @@ class WordEncoder:
             known.clear()
             known[""] = b""
             fresh = list({w for words in split for w in words} - known.keys())
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
+        if len(self._parts) > _MOST:
+            self._parts.clear()
+            self._parts[""] = b""
+        other = []
+        for word in fresh:
+            plain = _PLAIN.fullmatch(word)
+            if plain and (word.isascii() or self._lowers_by_character(word)):
+                known[word] = self._part(plain[1].lower()) + self._part(plain[2])
+            else:
+                other.append(word)
+        for i in range(0, len(other), 20_000):
+            part = other[i : i + 20_000]
             for word, got in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[word] = np.array(got.ids, dtype="<u4").tobytes()
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    @staticmethod
+    def _lowers_by_character(word: str) -> bool:
+        """Whether lower() and normalisation change nothing that depends on neighbours, and all are letters."""
+        letters = word.rstrip(".,;:!?")
+        return letters.isalpha() and unicodedata.is_normalized("NFC", word) and "\u03a3" not in word and "\u0130" not in word
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a run of letters or of marks, already lower-cased."""
+        got = self._parts.get(part)
+        if got is None:
+            written = part if part.isascii() else "".join(map(_ALPHABET.__getitem__, part.encode()))
+            got = self._parts[part] = array("I", [t.id for t in self._model.tokenize(written)]).tobytes()
+        return got
+
 
 def default_path() -> str:
     """Where the environment keeps the word BPE vocabulary."""
