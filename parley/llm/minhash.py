@@ -180,15 +180,17 @@ def _cross_pairs(rest: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     prefix = F.col("n") - F.ceil(F.col("n") * similar / 100) + 1 - own
     keys = materialise(
         facts.where(prefix > 0).select(
-            "rep", "component", "n", "bits", F.explode(F.slice("ranked", F.lit(1), prefix.cast("int")).getField("shingle")).alias("key")
-        ),
+            "rep", "component", "n", "bits", own.alias("own"), F.posexplode(F.slice("ranked", F.lit(1), prefix.cast("int")).getField("shingle")).alias("at", "key")
+        ).select("key", "rep", "component", "n", "bits", (F.col("n") - F.col("own") - F.col("at")).alias("left")),
         "prefixes",
     )
-    one = keys.select("key", *(F.col(c).alias(f"{c}1") for c in ("rep", "component", "n", "bits")))
-    two = keys.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "bits")))
+    one = keys.select("key", *(F.col(c).alias(f"{c}1") for c in ("rep", "component", "n", "bits", "left")))
+    two = keys.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "bits", "left")))
+    # At the first key that a linked pair shares, what is left of either set holds the whole intersection.
+    enough = F.least("left1", "left2") * (100 + similar) >= (F.col("n1") + F.col("n2")) * similar
     return (
         one.join(two, "key")
-        .where((F.col("component1") < F.col("component2")) & _near(similar, "n1", "n2", "bits1", "bits2"))
+        .where(enough & (F.col("component1") < F.col("component2")) & _near(similar, "n1", "n2", "bits1", "bits2"))
         .select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
         .distinct()
     )
