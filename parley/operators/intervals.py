@@ -77,3 +77,19 @@ def der(ref: DataFrame, hyp: DataFrame, step: float = 0.1, collar: float = 0.25)
     )
     rate = (F.col("miss") + F.col("fa") + F.col("confusion")) / F.greatest(F.col("speech"), F.lit(1))
     return sums.withColumn("der", rate)
+
+
+def intersections(hyp: DataFrame, speech: DataFrame, least: float, width: float = 60.0) -> DataFrame:
+    """Overlaps of over ``least`` of two interval sets of a file, with the columns of both.
+
+    Both sides are cut into time slots of ``width``; a pair counts in the slot where its overlap starts.
+    """
+
+    def slotted(df: DataFrame, tag: str) -> DataFrame:
+        df = df.withColumnsRenamed({"start": f"s{tag}", "end": f"e{tag}"})
+        return df.withColumn("slot", F.explode(F.sequence(F.floor(F.col(f"s{tag}") / width), F.floor(F.col(f"e{tag}") / width))))
+
+    both = slotted(hyp, "1").join(slotted(speech, "2"), ["file_id", "slot"])
+    start, end = F.greatest("s1", "s2"), F.least("e1", "e2")
+    both = both.withColumn("start", start).withColumn("end", end).where((F.col("end") - F.col("start") > least) & (F.floor(F.col("start") / width) == F.col("slot")))
+    return both.drop("s1", "s2", "e1", "e2", "slot")
