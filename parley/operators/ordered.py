@@ -72,3 +72,35 @@ def min_gap_points(points: DataFrame, key: str, at: str, gap: float) -> DataFram
         return F.when(x - s["last"] >= gap, F.struct(x.alias("last"), F.array_append(s["out"], x).alias("out"))).otherwise(s)
 
     return rows.select(key, F.explode(F.aggregate("rows", start, step)["out"]).alias(at))
+
+
+def speech_segments(frames: DataFrame, key: str, order: str, prob: str, limit: float = 0.5, speech: int = 15, silence: int = 9, most: int = 187) -> DataFrame:
+    """(first, stop) frame numbers, counted from 0, of the speech of each key; ``stop`` is exclusive.
+
+    A segment ends after ``silence`` quiet frames, where the first of them stands, and counts if it has
+    ``speech`` frames; at ``most`` frames it is cut whatever its length.  A key without one is a segment as a whole.
+    """
+    rows = _sorted(frames, key, order, prob)
+    start = F.expr("named_struct('i', 0, 'first', -1, 'sil', 0, 'out', cast(array() as array<struct<first:int,stop:int>>))")
+
+    def piece(first: Column, stop: Column) -> Column:
+        return F.struct(first.cast("int").alias("first"), stop.cast("int").alias("stop"))
+
+    def step(s: Column, x: Column) -> Column:
+        loud, i = F.coalesce(x[prob] >= limit, F.lit(False)), s["i"]
+        first = F.when(loud & (s["first"] < 0), i).otherwise(s["first"])
+        sil = F.when(loud, 0).otherwise(s["sil"] + 1)
+        inside = first >= 0
+        quiet = inside & ~loud & (sil >= silence)
+        stop = i - sil + 1
+        cut = inside & ~quiet & (i - first >= most)
+        out = F.when(quiet & (stop - first >= speech), F.array_append(s["out"], piece(first, stop)))
+        out = out.when(cut, F.array_append(s["out"], piece(first, i + 1))).otherwise(s["out"])
+        return F.struct((i + 1).alias("i"), F.when(quiet | cut, -1).otherwise(first).alias("first"), F.when(inside, sil).otherwise(0).alias("sil"), out.alias("out"))
+
+    def finish(s: Column) -> Column:
+        rest = (s["first"] >= 0) & (s["i"] - s["first"] >= speech)
+        out = F.when(rest, F.array_append(s["out"], piece(s["first"], s["i"]))).otherwise(s["out"])
+        return F.when(F.size(out) == 0, F.array(piece(F.lit(0), s["i"]))).otherwise(out)
+
+    return rows.select(key, F.explode(F.aggregate("rows", start, step, finish)).alias("u")).select(key, "u.first", "u.stop")

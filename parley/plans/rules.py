@@ -10,6 +10,7 @@ from parley.functions.vectors import l2_normalize
 from parley.operators import identify as idf
 from parley.operators import intervals as iv
 from parley.operators import matching as m
+from parley.operators.ordered import speech_segments
 from parley.operators.scatter import within_scatter
 from parley.plans import adapters as a
 from parley.plans.registry import query, table
@@ -295,3 +296,8 @@ def s3(spark, d):
 @query("e8_viterbi_smooth")
 def e8(spark, d):
     return idf.viterbi_smooth(a.segments(spark, d), "session_id", "seg_ix", "speaker")
+
+
+@query("e7_speech_segments")
+def e7(spark, d):
+    return speech_segments(a.chunks(spark, d), "stream_id", "seq", "level", limit=0.1, speech=3, silence=2, most=20)

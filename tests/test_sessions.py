@@ -100,3 +100,19 @@ def test_streams_equal_batch(spark, tmp_path):
     assert [(a, b) for a, b, _ in run(dedupe_stream(read("lines", lines)), "fresh")] == sorted(map(tuple, want))
     append_live(read("lines", lines), str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == lines.count()
+
+
+def test_speech_segments(spark):
+    from parley.operators.ordered import speech_segments
+
+    probs = {
+        "two": [0.1] * 5 + [0.9] * 20 + [0.1] * 9 + [0.9] * 30,
+        "short": [0.1] * 20 + [0.9] * 4 + [0.1] * 20,
+        "long": [0.9] * 200,
+        "gap": [0.9] * 10 + [0.1] * 8 + [0.9] * 10 + [0.1] * 20,
+    }
+    df = spark.createDataFrame([(k, i, p) for k, x in probs.items() for i, p in enumerate(x)], "k string, i int, p double")
+    got: dict = {}
+    for row in speech_segments(df, "k", "i", "p").collect():
+        got.setdefault(row.k, []).append((row.first, row.stop))
+    assert {k: sorted(v) for k, v in got.items()} == {"two": [(5, 25), (34, 64)], "short": [(0, 44)], "long": [(0, 188)], "gap": [(0, 28)]}
