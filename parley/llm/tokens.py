@@ -13,12 +13,10 @@ import os
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable
 
-import numpy as np
-
-_CUT = re.compile(r"[ \n]+")
-_MOST = 250_000
-_PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
+_MOST = 400_000
+_PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -31,6 +29,18 @@ def _byte_alphabet() -> dict[int, str]:
 _ALPHABET = _byte_alphabet()
 
 
+class _Words(dict):
+    """Ids of words as bytes; a word that is missing is encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__({"": b""})
+        self._encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self._encode(word)
+        return ids
+
+
 class WordEncoder:
     """Encodes texts word by word; ``ids`` are little-endian unsigned 32-bit."""
 
@@ -43,8 +53,8 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._model = self._tokenizer.model
-        self._known: dict[str, bytes] = {"": b""}
-        self._parts: dict[str, bytes] = {"": b""}
+        self._known = _Words(self._word)
+        self._parts = _Words(self._part)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -55,43 +65,30 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null counts as empty."""
-        split = [_CUT.split(t) if t else [] for t in texts]
-        known = self._known
-        fresh = list({w for words in split for w in words} - known.keys())
-        if len(known) + len(fresh) > _MOST:
-            known.clear()
-            known[""] = b""
-            fresh = list({w for words in split for w in words} - known.keys())
-        if len(self._parts) > _MOST:
-            self._parts.clear()
-            self._parts[""] = b""
-        other = []
-        for word in fresh:
-            plain = _PLAIN.fullmatch(word)
-            if plain and (word.isascii() or self._lowers_by_character(word)):
-                known[word] = self._part(plain[1].lower()) + self._part(plain[2])
-            else:
-                other.append(word)
-        for i in range(0, len(other), 20_000):
-            part = other[i : i + 20_000]
-            for word, got in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, dtype="<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = []
+        for text in texts:
+            for cache in (self._known, self._parts):
+                if len(cache) > _MOST:
+                    cache.clear()
+                    cache[""] = b""
+            out.append(b"".join(map(self._known.__getitem__, text.replace("\n", " ").split(" "))) if text else b"")
+        return out
+
+    def _word(self, word: str) -> bytes:
+        plain = _PLAIN.fullmatch(word)
+        if plain and (word.isascii() or self._lowers_by_character(plain[1])):
+            return self._parts[plain[1].lower()] + self._parts[plain[2]]
+        return array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     @staticmethod
-    def _lowers_by_character(word: str) -> bool:
+    def _lowers_by_character(letters: str) -> bool:
         """Whether lower() and normalisation change nothing that depends on neighbours, and all are letters."""
-        letters = word.rstrip(".,;:!?")
-        return letters.isalpha() and unicodedata.is_normalized("NFC", word) and "\u03a3" not in word and "\u0130" not in word
+        return letters.isalpha() and unicodedata.is_normalized("NFC", letters) and "\u03a3" not in letters and "\u0130" not in letters
 
     def _part(self, part: str) -> bytes:
         """Ids of a run of letters or of marks, already lower-cased."""
-        got = self._parts.get(part)
-        if got is None:
-            written = part if part.isascii() else "".join(map(_ALPHABET.__getitem__, part.encode()))
-            got = self._parts[part] = array("I", [t.id for t in self._model.tokenize(written)]).tobytes()
-        return got
+        written = part if part.isascii() else "".join(map(_ALPHABET.__getitem__, part.encode()))
+        return array("I", [t.id for t in self._model.tokenize(written)]).tobytes()
 
 
 def default_path() -> str:
