@@ -249,3 +249,24 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == {i for i, _ in clean} | {110, 111}
     assert sum(r.length for r in got if r.doc_id == 111) < sum(r.length for r in got if r.doc_id == 110)
+
+
+def test_passages_with_edits(spark):
+    from parley.llm.passages import repeated_passages
+
+    rng = random.Random(31)
+    rows, want = [], {}
+    for n in range(12):
+        passage = [f"p{n}w{i}" for i in range(51 + n + n % 2 * 10)]
+        fuzzy = [f"q{n}w{i}" if i % 5 == 4 and i < 50 else w for i, w in enumerate(passage)]
+        if n % 2:
+            fuzzy[20:21], fuzzy[30:31] = [], ["extra", fuzzy[30]]
+        rows += [(2 * n, f"{text(40, rng)} {' '.join(passage)} {text(40, rng)}"), (2 * n + 1, f"{text(40, rng)} {' '.join(fuzzy)} {text(40, rng)}")]
+        want[2 * n + 1] = 2 * n
+    found = repeated_passages(docs_of(spark, rows)).collect()
+    assert {r.doc_id: r.other_id for r in found} == want
+    assert all(r.n_same >= 0.8 * max(r.end_word - r.first_word, r.other_end - r.other_first) for r in found)
+    texts = {i: words(t) for i, t in rows}
+    for r in found:
+        own, other = texts[r.doc_id], texts[r.other_id]
+        assert (own[r.first_word], own[r.end_word - 1]) == (other[r.other_first], other[r.other_end - 1])
