@@ -270,3 +270,30 @@ def test_passages_with_edits(spark):
     for r in found:
         own, other = texts[r.doc_id], texts[r.other_id]
         assert (own[r.first_word], own[r.end_word - 1]) == (other[r.other_first], other[r.other_end - 1])
+
+
+def test_passages_between_middle_documents(spark):
+    from parley.llm.passages import repeated_passages
+
+    rows, want = [], set()
+    for n in range(8):
+        passage = [f"p{n}w{i}" for i in range(60)]
+        line = " ".join(passage[:45])
+        texts = [line, " ".join(passage), " ".join(passage), line]
+        rows += [(4 * n + i, f"{' '.join(f'a{n}x{i}x{k}' for k in range(30))} {t} {' '.join(f'b{n}x{i}x{k}' for k in range(30))}") for i, t in enumerate(texts)]
+        want.add((4 * n + 2, 4 * n + 1, 30, 90))
+    found = {(r.doc_id, r.other_id, r.first_word, r.end_word) for r in repeated_passages(docs_of(spark, rows)).collect()}
+    assert found == want
+
+
+def test_passages_meet_holders_further_back(spark):
+    from parley.llm.passages import repeated_passages
+
+    rng = random.Random(33)
+    halves = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
+    both = [f"{halves[0]} one {halves[1]}", f"{halves[0]} two {halves[1]}"]
+    other = [" ".join(f"z{i}" for i in range(60))] * 9
+    texts = halves * 6 + both[:1] + halves + both[1:] + halves + other
+    rows = [(i, f"{text(20, rng)} {t} {text(20, rng)}") for i, t in enumerate(texts)]
+    found = {(r.doc_id, r.other_id) for r in repeated_passages(docs_of(spark, rows)).collect()}
+    assert (15, 12) in found
