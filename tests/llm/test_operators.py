@@ -297,3 +297,20 @@ def test_passages_meet_holders_further_back(spark):
     rows = [(i, f"{text(20, rng)} {t} {text(20, rng)}") for i, t in enumerate(texts)]
     found = {(r.doc_id, r.other_id) for r in repeated_passages(docs_of(spark, rows)).collect()}
     assert (15, 12) in found
+
+
+def test_passages_twice_in_a_document(spark):
+    from parley.llm.passages import repeated_passages
+
+    filler = [" ".join(f"f{n}x{i}" for i in range(50)) for n in range(6)]
+    passage = [f"w{i}" for i in range(60)]
+    full = " ".join(passage)
+    rows = [
+        (0, f"{filler[0]} {full} {filler[1]}"),
+        (1, f"{full} {filler[2]} {full} {filler[3]}"),
+        (2, f"{' '.join(passage[10:40])} {filler[4]} {full} {filler[5]}"),
+    ]
+    covered = {i: set() for i in range(3)}
+    for r in repeated_passages(docs_of(spark, rows)).collect():
+        covered[r.doc_id].update(range(r.first_word, r.end_word))
+    assert covered == {0: set(), 1: {*range(60), *range(110, 170)}, 2: set(range(80, 140))}
