@@ -9,7 +9,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parley.llm import textkit as tk
+
+#: Ids that an id filter takes (it then has 8 to 16 bits for each, 16 MB at most); more meet in a join.
+FILTER_IDS = 1 << 23
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -48,3 +56,75 @@ def discard(df: DataFrame) -> None:
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused_name(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+class IdFilter:
+    """A bitmap of hashed ids: holds every id that was put in, and few others."""
+
+    def __init__(self, bits: int):
+        self._words = np.zeros(bits // 64, dtype=np.uint64)
+
+    def _bits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bit = tk.mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(64 * len(self._words) - 1)
+        return (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63))
+
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        word, bit = self._bits(ids)
+        return self._words[word] & bit > 0
+
+    def words_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, bits) of the words of the bitmap that ``ids`` set."""
+        word, bit = self._bits(ids)
+        own, at = np.unique(word, return_inverse=True)
+        out = np.zeros(len(own), dtype=np.uint64)
+        np.bitwise_or.at(out, at, bit)
+        return own, out
+
+    def put(self, word: np.ndarray, bits: np.ndarray) -> IdFilter:
+        self._words[word] |= bits
+        return self
+
+
+def id_filter(ids: DataFrame):
+    """A broadcast filter of a table of ids (its first column), or None if they are more than FILTER_IDS."""
+    spark, n = ids.sparkSession, ids.count()
+    if n > FILTER_IDS:
+        return None
+    size = 1 << max(16, (8 * max(n, 1)).bit_length())
+
+    def run(batches):
+        own = IdFilter(size)
+        for batch in batches:
+            word, bits = own.words_of(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    parts = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).dropna().mapInArrow(run, "word long, bits long")
+    rows = parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    return spark.sparkContext.broadcast(IdFilter(size).put(rows["word"].to_numpy(), rows["bits"].to_numpy().view(np.uint64)))
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``rows`` whose column ``name`` is in ``ids`` (its first column), and perhaps some others.
+
+    Up to FILTER_IDS ids go to the scan as a filter of bounded size, without a shuffle of the rows; more meet
+    them in a join.
+    """
+    ids = materialise(ids, "ids")
+    wanted = id_filter(ids)
+    if wanted is None:
+        return rows.join(ids.select(F.col(ids.columns[0]).alias(name)), name, "left_semi").select(*rows.columns)
+    at = rows.columns.index(name)
+
+    def run(batches):
+        for batch in batches:
+            key = batch.column(at)
+            yield batch.filter(pa.array(wanted.value.holds(key.fill_null(0).to_numpy(zero_copy_only=False))))
+
+    return rows.mapInArrow(run, rows.schema)
