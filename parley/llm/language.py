@@ -132,6 +132,15 @@ def predict_language(docs: DataFrame, profiles: DataFrame, columns: list[str]) -
     return source.mapInArrow(run, schema)
 
 
+def with_known_language(docs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The rows of ``docs`` of which the language can be told, those with a letter; all columns are returned.
+
+    Rows with a null or empty text go; repeated rows and null ids are judged each.
+    """
+    rows = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return predict_language(rows, profiles, ["row"]).where("lang_pred <> 'und'").select("row.*")
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept from learning: crc32 of its id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))

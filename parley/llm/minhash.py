@@ -265,6 +265,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFrame
         ),
         "class_components",
     )
+    for table in (classes, reps, links, more, parts):
+        discard(table)
     linked = usable.select("doc_id", "n_shingles", "fp1", "fp2").join(of_class, ["fp1", "fp2"])
     alone = signed.where("n_shingles = 0 or doc_id is null")
     return linked.select(

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import textkit as tk
-from parley.llm.store import materialise, small_batches
+from parley.llm.store import discard, materialise, small_batches
 from parley.llm.tokens import WordEncoder, default_path
 
 ROUNDS = 6
+#: Shards that a task writes at most.
+SHARDS = 16
 
 
 def permute(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -39,8 +41,8 @@ def permute(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _records(path: str, stride: int, end_id: int):
-    """Fixed-stride records of each text: (task, row, doc_id, piece, n_tokens, record)."""
+def _records(path: str, stride: int, end_id: int, kind: str):
+    """Records of each text, not yet padded: (task, row, doc_id, piece, n_tokens, record)."""
     end = np.array([end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,13 +53,13 @@ def _records(path: str, stride: int, end_id: int):
             for first, n, _, _ in tk.text_chunks(batch.column(1)):
                 docs, pieces, sizes, records = [], [], [], []
                 for i, data in enumerate(encoder.encode(batch.column(1).slice(first, n).to_pylist())):
-                    ids = np.r_[np.frombuffer(data, "<u4"), end].astype("<u2")
+                    ids = np.r_[np.frombuffer(data, "<u4"), end].astype(kind)
                     for piece, at in enumerate(range(0, len(ids), stride)):
                         part = ids[at : at + stride]
                         docs.append(i)
                         pieces.append(piece)
                         sizes.append(len(part))
-                        records.append(part.tobytes() + bytes(2 * (stride - len(part))))
+                        records.append(part.tobytes())
                 m = len(docs)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -78,16 +80,20 @@ def _records(path: str, stride: int, end_id: int):
 def write_shards(
     docs: DataFrame, path: str, key: int = 1, stride: int = 1024, per_shard: int = 8192, end_id: int = 0, tokenizer: str | None = None
 ) -> int:
-    """Write every text of ``docs`` (doc_id, text) as records of ``stride`` 16-bit little-endian ids; returns their number.
+    """Write every text of ``docs`` (doc_id, text) as records of ``stride`` little-endian ids; returns their number.
 
-    A text is its ids and ``end_id``; longer ones are cut, the last piece is padded with zeros and n_tokens
-    tells its length.  Null texts give the end alone.  Columns: slot, shard, doc_id, piece, n_tokens, record.
-    The order depends on the key and on how the input is laid out in files.
+    Ids take 16 bits if the tokenizer's vocabulary fits, else 32.  A text is its ids and ``end_id``; longer ones
+    are cut, the last piece is padded with zeros and n_tokens tells its length.  Null texts give the end alone;
+    repeated rows and null ids are records of their own; an empty table writes none; other columns are
+    ignored.  Columns: slot, shard, doc_id, piece, n_tokens, record.  A file holds one shard at most.  The
+    order depends on the key and on how the input is laid out in files.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tokenizer = tokenizer or default_path()
+    kind = "<u2" if max(WordEncoder.of(tokenizer).size, end_id + 1) <= 1 << 16 else "<u4"
     schema = "task long, row long, doc_id long, piece int, n_tokens int, record binary"
-    made = materialise(docs.mapInArrow(_records(tokenizer or default_path(), stride, end_id), schema), "records")
+    made = materialise(docs.mapInArrow(_records(tokenizer, stride, end_id, kind), schema), "records")
     # One row for each task of the scan.
     sizes = made.groupBy("task").agg(F.count("*").alias("n")).orderBy("task").toPandas()
     total = int(sizes["n"].sum())
@@ -103,8 +109,14 @@ def write_shards(
             )
 
     placed = made.mapInArrow(slots, "slot long, shard long, doc_id long, piece int, n_tokens int, record binary")
+    # Slots are dense, so ranges of shards are known without sampling; a task writes up to SHARDS of them in order.
     shards = max(1, -(-total // per_shard))
-    placed.repartitionByRange(shards, "shard").sortWithinPartitions("slot").write.parquet(path)
+    tasks = max(-(-shards // SHARDS), min(shards, docs.sparkSession.sparkContext.defaultParallelism))
+    dealt = placed.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)")).sortWithinPartitions("slot")
+    size = stride * np.dtype(kind).itemsize
+    padded = dealt.withColumn("record", F.expr(f"rpad(record, {size}, X'00')"))
+    padded.write.option("maxRecordsPerFile", per_shard).parquet(path)
+    discard(made)
     return total
 
 
@@ -113,7 +125,7 @@ def read_shards(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame
     return spark.read.parquet(path).where(F.col("slot") >= from_slot)
 
 
-def digest(records: DataFrame) -> DataFrame:
-    """slot, shard, doc_id, piece, n_tokens and the CRC of the ids (as unsigned 16-bit) of each record."""
-    body = F.substring("record", F.lit(1), (F.col("n_tokens") * 2).cast("int"))
+def digest(records: DataFrame, stride: int = 1024) -> DataFrame:
+    """slot, shard, doc_id, piece, n_tokens and the CRC of the ids (as written) of each record."""
+    body = F.expr(f"substring(record, 1, cast(n_tokens * (octet_length(record) div {stride}) as int))")
     return records.select("slot", "shard", "doc_id", "piece", "n_tokens", F.crc32(body).alias("ids_crc32"))

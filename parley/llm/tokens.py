@@ -4,7 +4,8 @@ Tokenizers of which white space only separates words (the file's normaliser and
 text the ids of its words one after another.  So texts are cut at blanks and line ends, and each distinct
 word is encoded once for each worker.  A word of letters and closing marks, by far the most common form,
 goes to the merge model directly: lower-cased, its UTF-8 bytes written in the byte alphabet, letters and
-marks apart.  Any other word goes through the whole tokenizer.
+marks apart.  Any other word (marks of special tokens too) goes through the whole
+tokenizer, and so does any text if white space means something to the tokenizer.
 """
 
 from __future__ import annotations
@@ -51,8 +52,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._model = self._tokenizer.model
+        self.size = self._tokenizer.get_vocab_size()
+        # Whether white space only separates words for this tokenizer; if not, texts are encoded whole.
+        one, words = (self._tokenizer.encode(t, add_special_tokens=False).ids for t in ("ab cd\nef", "ab"))
+        self._by_word = one == words + [i for w in ("cd", "ef") for i in self._tokenizer.encode(w, add_special_tokens=False).ids]
         self._known = _Words(self._word)
         self._parts = _Words(self._part)
 
@@ -64,7 +68,9 @@ class WordEncoder:
         return cls._made[path]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes; null counts as empty."""
+        """Ids of each text as bytes, as ``encode(text, add_special_tokens=False)`` gives them; null counts as empty."""
+        if not self._by_word:
+            return [array("I", self._tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts]
         out = []
         for text in texts:
             for cache in (self._known, self._parts):

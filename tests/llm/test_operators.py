@@ -163,15 +163,27 @@ def test_pages(spark):
 
 
 def test_shards_are_a_permutation_and_resume(spark, tmp_path):
+    from tokenizers import Tokenizer
+
     from parley.llm.shards import digest, permute, read_shards, write_shards
+    from parley.llm.tokens import default_path
 
     for n in (1, 2, 5, 64, 1000):
         assert sorted(permute(np.arange(n), n, 7).tolist()) == list(range(n))
-    rows = [(i, text(RNG.randint(1, 400))) for i in range(60)] + EDGES
+    rows = [(i, text(RNG.randint(1, 400))) for i in range(60)] + [(3, "repeated <|endoftext|>"), (3, "repeated <|endoftext|>")] + EDGES
     n = write_shards(docs_of(spark, rows), f"{tmp_path}/a", stride=128, per_shard=50)
     got = read_shards(spark, f"{tmp_path}/a").collect()
     assert sorted(r.slot for r in got) == list(range(n)) and all(len(r.record) == 256 and r.shard == r.slot // 50 for r in got)
-    assert digest(read_shards(spark, f"{tmp_path}/a", n - 7)).count() == 7
+    assert digest(read_shards(spark, f"{tmp_path}/a", n - 7), stride=128).count() == 7
+    want = Counter()
+    tokenizer = Tokenizer.from_file(default_path())
+    for i, t in rows:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u2")
+        for piece, at in enumerate(range(0, len(ids), 128)):
+            want[i, piece, ids[at : at + 128].tobytes()] += 1
+    assert Counter((r.doc_id, r.piece, bytes(r.record[: 2 * r.n_tokens])) for r in got) == want
+    assert not any(any(r.record[2 * r.n_tokens :]) for r in got)
+    assert {(r.slot, r.ids_crc32) for r in digest(read_shards(spark, f"{tmp_path}/a"), stride=128).collect()} == {(r.slot, zlib.crc32(bytes(r.record[: 2 * r.n_tokens]))) for r in got}
     assert write_shards(docs_of(spark, rows).limit(0), f"{tmp_path}/b") == 0
 
 
@@ -184,7 +196,6 @@ def test_packing(spark):
     rows = [(i, text(RNG.randint(1, 500)) + " Ünïcode\u00a0x\u2003y e\u0301 it's <|endoftext|>") for i in range(80)] + EDGES
     got = pack(pieces(docs_of(spark, rows), length=256), capacity=256).collect()
     tokenizer = Tokenizer.from_file(default_path())
-    tokenizer.encode_special_tokens = True
     for i, t in rows:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
         own = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == i)
@@ -240,7 +251,9 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
 
     shared, item = text(70), text(30)
     clean = [(i, text(120)) for i in range(20)]
-    rows = clean + [(100, clean[0][1]), (101, edited(clean[1][1], 0.02)), (102, text(40) + " " + item), (103, "123 456"), (104, None)]
+    near = clean[1][1].split()
+    near[40], near[80] = "edit", "edit"  # similarity 106 / 126
+    rows = clean + [(100, clean[0][1]), (101, " ".join(near)), (102, text(40) + " " + item), (103, "123 456"), (104, None)]
     rows += [(110, text(60) + " " + shared), (111, text(60) + " " + shared)]
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
         f"{tmp_path}/documents.parquet"
@@ -314,3 +327,45 @@ def test_passages_twice_in_a_document(spark):
     for r in repeated_passages(docs_of(spark, rows)).collect():
         covered[r.doc_id].update(range(r.first_word, r.end_word))
     assert covered == {0: set(), 1: {*range(60), *range(110, 170)}, 2: set(range(80, 140))}
+
+
+def test_passages_of_repeated_ids_and_clashing_names(spark):
+    from parley.llm.passages import without_repeated_passages
+
+    shared = text(70)
+    long, short = f"{text(30)} {shared} {text(30)}", f"{shared}"
+    rows = [(1, f"{shared} {text(10)}"), (2, long), (2, None), (2, "z z"), (2, long), (None, shared), (3, f"{shared} {text(9)}")]
+    df = spark.createDataFrame([(*r, 7, "a", [n]) for n, r in enumerate(rows)], "doc_id long, text string, id long, row string, found array<int>")
+    got = without_repeated_passages(df)
+    assert got.columns == df.columns
+    by = {r.found[0]: r.text for r in got.collect()}
+    assert len(by) == len(rows) and by[3] == "z z" and by[2] is None and by[5] == shared
+    assert len(by[6].split()) == 9 and {len(by[1].split()), len(by[4].split())} <= {60, 130}
+
+
+def test_language_stage_with_clashing_names(spark):
+    import corpus_pipeline
+
+    rows = [(i, "the of and", "en", 0.5, "q", "r") for i in range(4)] + [(9, "1 2", "en", 0.1, "q", "r"), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, row string")
+    got = corpus_pipeline.identify_language(spark, df, "")
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [0, 1, 2, 3]
+    assert corpus_pipeline.identify_language(spark, df.limit(0), "").count() == 0
+
+
+def test_pack_spreads_equal_rows(spark):
+    from parley.llm.packing import pack, pieces
+
+    df = spark.createDataFrame([(None, "same text")] * 300 + [(1, "same text")] * 300, "doc_id long, text string")
+    got = pack(pieces(df, length=64), capacity=64, pieces_per_task=100, run=50).collect()
+    assert len(got) == 600 and all(len(r.ids) == r.length for r in got)
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert pack(pieces(df.limit(0))).count() == 0
