@@ -20,6 +20,8 @@ from parley.llm import textkit as tk
 from parley.llm.store import small_batches
 
 PROFILE = 300
+#: Counts that a task holds at most.
+HELD = 500_000
 _BITS = np.uint64(21)
 
 
@@ -57,8 +59,21 @@ def _ranked(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial n-gram counts of each language, one row for each key of a task."""
+    """Partial n-gram counts of each language; a task hands out what it holds when there is much."""
     total: dict[str, pd.Series] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for name, sums in total.items():
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name] * len(sums), pa.string()),
+                    pa.array(sums.index.to_numpy(dtype=np.uint64).view(np.int64)),
+                    pa.array(sums.to_numpy().astype(np.int64)),
+                ],
+                names=["lang", "gram", "n"],
+            )
+        total.clear()
+
     for batch in batches:
         lang = batch.column(1).to_pylist()
         parts: dict[str, list] = {}
@@ -67,15 +82,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, found in parts.items():
             sums = pd.Series(np.concatenate([c for _, c in found])).groupby(np.concatenate([k for k, _ in found])).sum()
             total[name] = sums if name not in total else total[name].add(sums, fill_value=0)
-    for name, sums in total.items():
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([name] * len(sums), pa.string()),
-                pa.array(sums.index.to_numpy(dtype=np.uint64).view(np.int64)),
-                pa.array(sums.to_numpy().astype(np.int64)),
-            ],
-            names=["lang", "gram", "n"],
-        )
+        if sum(map(len, total.values())) > HELD:
+            yield from rows()
+    yield from rows()
 
 
 def learn_profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:

@@ -16,7 +16,7 @@ import unicodedata
 from array import array
 from collections.abc import Callable
 
-_MOST = 400_000
+_MOST = 150_000
 _PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
 
