@@ -59,3 +59,8 @@ def clip(x: Column, low: float = -1.0, high: float = 1.0) -> Column:
 def envelope(rms: Column) -> Column:
     """Height of a bar for the level of its bin; quiet bins have none."""
     return F.when(rms < 0.003, 0.0).otherwise(clip(F.pow(45 * rms, F.lit(0.45)), 0.0, 1.0))
+
+
+def is_speech(prob: Column, rms: Column) -> Column:
+    """B1: a speech probability of a half and more; where there is none, a level of 0.012 and more."""
+    return F.when(prob.isNotNull(), prob >= 0.5).otherwise(rms >= 0.012)

@@ -5,7 +5,7 @@ Each fold is an ``aggregate`` over the sorted rows of one key (a session or stre
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import normalize_text
@@ -104,3 +104,12 @@ def speech_segments(frames: DataFrame, key: str, order: str, prob: str, limit: f
         return F.when(F.size(out) == 0, F.array(piece(F.lit(0), s["i"]))).otherwise(out)
 
     return rows.select(key, F.explode(F.aggregate("rows", start, step, finish)).alias("u")).select(key, "u.first", "u.stop")
+
+
+def smooth(rows: DataFrame, key: str, order: str, value: str, passes: int = 3) -> DataFrame:
+    """(before + 2 x itself + after) / 4 in each of ``passes``; the ends of a key's rows stay. One shuffle for all passes."""
+    w = Window.partitionBy(key).orderBy(order)
+    for _ in range(passes):
+        before, after, own = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
+        rows = rows.withColumn(value, F.when(before.isNull() | after.isNull(), own).otherwise((before + 2 * own + after) / 4))
+    return rows

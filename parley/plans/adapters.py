@@ -77,7 +77,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: One line for each rule, in either engine.
-PROBES = [("en", "x"), ("en", "你好 there"), ("zh", "你好 there"), ("en", "Thanks for watching!"), ("en", "music"), ("en", "Thank you."), ("en", "no no no no no no no no")]
+PROBES = [("en", "x"), ("en", "你好 there"), ("en", "㐀㐁 there"), ("zh", "你好 there"), ("en", "\u2003Thank you.\u00a0"), ("en", "Thanks for watching!"), ("en", "music"), ("en", "Thank you."), ("en", "no no no no no no no no")]
 LINES = (
     "lines AS (SELECT doc_id, lang, CAST(pos - 1 AS INTEGER) AS pos, line FROM (SELECT doc_id, lang, generate_subscripts(s, 1) AS pos, unnest(s) AS line FROM "
     "(SELECT doc_id, lang, string_split(text, chr(10)) AS s FROM documents)) UNION ALL SELECT * FROM (VALUES "

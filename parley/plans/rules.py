@@ -246,11 +246,11 @@ def h11(spark, d):
     return table(spark, d, "embeddings").select("vec_id", r.palette_index(F.col("label")).cast("int").alias("colour"))
 
 
-@query("h13_samples", "SELECT event_id, round(CAST(floor(value * 100) AS BIGINT) / 32768.0, 9) AS x, round(greatest(-1.0, least(1.0, value / 100 - 1)), 9) AS clipped, round(floor(value * 100) / 16000, 6) AS seconds FROM events")
+@query("h13_samples", "SELECT event_id, round(CAST(floor(value * 100) AS BIGINT) / 32768.0, 9) AS x, round(greatest(-1.0, least(1.0, value / 100 - 1)), 9) AS clipped, floor(value * 100) / 16000 AS seconds FROM events")
 def h13(spark, d):
     whole = F.floor(F.col("value") * 100)
     return table(spark, d, "events").select(
-        "event_id", R(r.pcm16_to_float(whole), 9).alias("x"), R(r.clip(F.col("value") / 100 - 1), 9).alias("clipped"), R(whole / 16000).alias("seconds")
+        "event_id", R(r.pcm16_to_float(whole), 9).alias("x"), R(r.clip(F.col("value") / 100 - 1), 9).alias("clipped"), (whole / 16000).alias("seconds")
     )
 
 

@@ -239,7 +239,8 @@ a AS (SELECT vec_id, frame_ix, unnest([0, 1, 2]) AS spk, unnest([p[2] + p[5] + p
 
 def _activation(spark, d):
     frames = table(spark, d, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("frame_ix"), "embedding")
-    p = frames.withColumn("p", F.transform(F.slice("embedding", F.col("frame_ix") * 7 + 1, F.lit(7)).cast("array<double>"), F.exp))
+    logits = frames.withColumn("x", F.slice("embedding", F.col("frame_ix") * 7 + 1, F.lit(7)).cast("array<double>"))
+    p = logits.withColumn("p", F.transform("x", lambda x: F.exp(x - F.array_max("x"))))
     c = lambda *ix: sum(F.col("p")[i] for i in ix)
     total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
     each = F.array(c(1, 4, 5), c(2, 4, 6), c(3, 5, 6))

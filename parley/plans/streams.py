@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from parley.functions import rules as r
 from parley.operators import intervals as iv
 from parley.operators import ordered
 from parley.plans import adapters as a
@@ -40,15 +41,16 @@ def e6(spark, d):
     return g.select("stream_id", "first", "run", F.round(F.col("run") * 0.064, 6).alias("seconds"))
 
 
-@query("b1_is_speech", f"WITH {a.CHUNKS} SELECT stream_id, seq, level >= 0.04 AS speech FROM chunks")
+@query("b1_is_speech", f"WITH {a.CHUNKS}, c AS (SELECT *, CASE WHEN seq % 3 > 0 THEN level * 10 END AS prob FROM chunks) SELECT stream_id, seq, CASE WHEN prob IS NULL THEN level >= 0.012 ELSE prob >= 0.5 END AS speech FROM c")
 def b1(spark, d):
-    return a.chunks(spark, d).select("stream_id", "seq", (F.col("level") >= 0.04).alias("speech"))
+    prob = F.when(F.col("seq") % 3 > 0, F.col("level") * 10)
+    return a.chunks(spark, d).select("stream_id", "seq", r.is_speech(prob, F.col("level")).alias("speech"))
 
 
-@query("f5_bounded_buffer", f"WITH {a.CHUNKS} SELECT stream_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) AS rn FROM chunks) WHERE rn <= 50")
+@query("f5_bounded_buffer", f"WITH {a.CHUNKS} SELECT stream_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) AS rn FROM chunks) WHERE rn <= 500")
 def f5(spark, d):
     w = Window.partitionBy("stream_id").orderBy(F.desc("seq"))
-    return a.chunks(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 50").select("stream_id", "seq")
+    return a.chunks(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 500").select("stream_id", "seq")
 
 
 @query(
@@ -61,11 +63,11 @@ def e12(spark, d):
     return e.select("event_id", F.count("*").over(w).alias("failures"))
 
 
-@query("f3_newest_incidents", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5 OR event_type = 'error'")
+@query("f3_newest_incidents", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 50 OR event_type = 'error'")
 def f3(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     e = table(spark, d, "events").withColumn("rn", F.row_number().over(w))
-    return e.where("rn <= 5 or event_type = 'error'").select("event_id", "user_id")
+    return e.where("rn <= 50 or event_type = 'error'").select("event_id", "user_id")
 
 
 @query("e14_slowness_tier", "SELECT event_id, CASE WHEN value > 30 THEN 'hung' WHEN value > 15 THEN 'reset' WHEN value > 8 THEN 'slow' ELSE 'ok' END AS tier FROM events")
@@ -159,25 +161,23 @@ def b8(spark, d):
 
 @query(
     "c11_mix_streams",
-    f"WITH {a.CHUNKS}, m AS (SELECT seq, level FROM chunks WHERE stream_id = 1), s AS (SELECT seq, level FROM chunks WHERE stream_id = 2) "
-    "SELECT coalesce(m.seq, s.seq) AS seq, round(CASE WHEN m.seq IS NULL THEN s.level WHEN s.seq IS NULL THEN m.level ELSE greatest(-1.0, least(1.0, m.level + s.level)) END, 9) AS level FROM m FULL JOIN s ON m.seq = s.seq",
+    f"WITH {a.CHUNKS}, p AS (SELECT (stream_id + 1) // 2 AS pair, stream_id % 2 AS side, seq, level FROM chunks), m AS (SELECT * FROM p WHERE side = 1), s AS (SELECT * FROM p WHERE side = 0) "
+    "SELECT coalesce(m.pair, s.pair) AS pair, coalesce(m.seq, s.seq) AS seq, round(CASE WHEN m.seq IS NULL THEN s.level WHEN s.seq IS NULL THEN m.level ELSE greatest(-1.0, least(1.0, m.level + s.level)) END, 9) AS level FROM m FULL JOIN s ON m.pair = s.pair AND m.seq = s.seq",
 )
 def c11(spark, d):
-    c = a.chunks(spark, d)
-    m, s = (c.where(f"stream_id = {i}").select("seq", F.col("level").alias(f"l{i}")) for i in (1, 2))
+    c = a.chunks(spark, d).withColumn("pair", F.floor((F.col("stream_id") + 1) / 2))
+    m, s = (c.where(f"stream_id % 2 = {i % 2}").select("pair", "seq", F.col("level").alias(f"l{i}")) for i in (1, 2))
     both = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("l1") + F.col("l2")))
-    return m.join(s, "seq", "full_outer").select("seq", F.round(F.coalesce(F.when(F.col("l1").isNotNull() & F.col("l2").isNotNull(), both), "l1", "l2"), 9).alias("level"))
+    return m.join(s, ["pair", "seq"], "full_outer").select("pair", "seq", F.round(F.coalesce(F.when(F.col("l1").isNotNull() & F.col("l2").isNotNull(), both), "l1", "l2"), 9).alias("level"))
 
 
-@query(
-    "e9_smooth3",
-    f"WITH {a.CHUNKS} SELECT stream_id, seq, round(CASE WHEN p IS NULL OR q IS NULL THEN level ELSE (p + 2 * level + q) / 4 END, 9) AS x FROM "
-    "(SELECT *, lag(level) OVER w AS p, lead(level) OVER w AS q FROM chunks WINDOW w AS (PARTITION BY stream_id ORDER BY seq))",
-)
+SMOOTH = "SELECT stream_id, seq, CASE WHEN p IS NULL OR q IS NULL THEN level ELSE (p + 2 * level + q) / 4 END AS level FROM (SELECT *, lag(level) OVER w AS p, lead(level) OVER w AS q FROM {0} WINDOW w AS (PARTITION BY stream_id ORDER BY seq))"
+
+
+@query("e9_smooth3", f"WITH {a.CHUNKS}, x1 AS ({SMOOTH.format('chunks')}), x2 AS ({SMOOTH.format('x1')}), x3 AS ({SMOOTH.format('x2')}) SELECT stream_id, seq, round(level, 9) AS x FROM x3")
 def e9(spark, d):
-    w = Window.partitionBy("stream_id").orderBy("seq")
-    p, q, x = F.lag("level").over(w), F.lead("level").over(w), F.col("level")
-    return a.chunks(spark, d).select("stream_id", "seq", F.round(F.when(p.isNull() | q.isNull(), x).otherwise((p + 2 * x + q) / 4), 9).alias("x"))
+    rows = ordered.smooth(a.chunks(spark, d), "stream_id", "seq", "level")
+    return rows.select("stream_id", "seq", F.round("level", 9).alias("x"))
 
 
 @query("g3_distinct_speakers", f"WITH {a.INTERVALS} SELECT DISTINCT file_id, speaker FROM ref")

@@ -76,13 +76,12 @@ def f7(spark, d):
     return n.groupBy("user_id").agg(F.array_join(order.getField("event_type"), ",").alias("pairs"))
 
 
-@query("g1_union_tails", f"""WITH {a.CHUNKS}, m AS (SELECT seq FROM chunks WHERE stream_id = 1), s AS (SELECT seq FROM chunks WHERE stream_id = 2)
-SELECT seq, 'both' AS part FROM m WHERE seq IN (SELECT seq FROM s) UNION ALL SELECT seq, 'first' FROM m WHERE seq NOT IN (SELECT seq FROM s) UNION ALL SELECT seq, 'second' FROM s WHERE seq NOT IN (SELECT seq FROM m)""")
+@query("g1_union_tails", f"""WITH {a.CHUNKS}, p AS (SELECT (stream_id + 1) // 2 AS pair, stream_id % 2 AS side, seq FROM chunks), m AS (SELECT pair, seq FROM p WHERE side = 1), s AS (SELECT pair, seq FROM p WHERE side = 0)
+SELECT coalesce(m.pair, s.pair) AS pair, coalesce(m.seq, s.seq) AS seq, CASE WHEN s.seq IS NULL THEN 'first' WHEN m.seq IS NULL THEN 'second' ELSE 'both' END AS part FROM m FULL JOIN s ON m.pair = s.pair AND m.seq = s.seq""")
 def g1(spark, d):
-    c = a.chunks(spark, d)
-    one, two = (c.where(f"stream_id = {i}").select("seq") for i in (1, 2))
-    both = one.join(two, "seq", "left_semi").withColumn("part", F.lit("both"))
-    return both.unionByName(one.join(two, "seq", "left_anti").withColumn("part", F.lit("first"))).unionByName(two.join(one, "seq", "left_anti").withColumn("part", F.lit("second")))
+    c = a.chunks(spark, d).select(F.floor((F.col("stream_id") + 1) / 2).alias("pair"), "seq", (F.col("stream_id") % 2).alias("side"))
+    sides = c.groupBy("pair", "seq").agg(F.max("side").alias("most"), F.min("side").alias("least"))
+    return sides.select("pair", "seq", F.when(F.col("most") > F.col("least"), "both").when(F.col("most") == 1, "first").otherwise("second").alias("part"))
 
 
 @query("e13_prompt_budget", """WITH t AS (SELECT user_id, CAST(floor(epoch(ts)) - 1704067200 AS BIGINT) // 240 AS t FROM events), l AS (SELECT user_id, min(t) AS b, list(t ORDER BY t) AS ts FROM t GROUP BY user_id),
