@@ -110,21 +110,22 @@ def id_filter(ids: DataFrame):
     return spark.sparkContext.broadcast(IdFilter(size).put(rows["word"].to_numpy(), rows["bits"].to_numpy().view(np.uint64)))
 
 
-def only_ids(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``rows`` whose column ``name`` is in ``ids`` (its first column), and perhaps some others.
+def map_only_ids(rows: DataFrame, ids: DataFrame, name: str, run, schema: str) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` for the rows whose column ``name`` is in ``ids`` (its first column), and perhaps some others.
 
-    Up to FILTER_IDS ids go to the scan as a filter of bounded size, without a shuffle of the rows; more meet
-    them in a join.
+    Up to FILTER_IDS ids go to the same pass over the rows as a filter of bounded size, without a shuffle of
+    the rows; more meet them in a join.
     """
     ids = materialise(ids, "ids")
     wanted = id_filter(ids)
     if wanted is None:
-        return rows.join(ids.select(F.col(ids.columns[0]).alias(name)), name, "left_semi").select(*rows.columns)
+        return rows.join(ids.select(F.col(ids.columns[0]).alias(name)), name, "left_semi").select(*rows.columns).mapInArrow(run, schema)
     at = rows.columns.index(name)
 
-    def run(batches):
+    def filtered(batches):
         for batch in batches:
-            key = batch.column(at)
-            yield batch.filter(pa.array(wanted.value.holds(key.fill_null(0).to_numpy(zero_copy_only=False))))
+            own = batch.filter(pa.array(wanted.value.holds(batch.column(at).fill_null(0).to_numpy(zero_copy_only=False))))
+            if own.num_rows:
+                yield own
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(lambda batches: run(filtered(batches)), schema)
