@@ -3,10 +3,10 @@
 A page is a sequence of block tags and texts.  Repeated groups collapse to iterators; the sequences of a
 host are aligned one after another: what does not match becomes optional, texts that differ become slots,
 texts that stay are part of the template (union-free expressions, after "RoadRunner", Crescenzi, Mecca and
-Merialdo, 2001).  Tasks fold the pages they hold into partial wrappers, which then merge by host, so a host
-with a third of all pages costs one partial wrapper for each task.  Extraction takes the slots of the
-content region: inside an article or main element where the page has one, otherwise the container that
-holds most slot text in the host's wrapper; menus, headers, footers and the like are told by their markup.
+Merialdo, 2001).  The pages of a host are dealt by their expressions, so that a host with a third of all
+pages is folded in many tasks, each in order; their wrappers then merge.  The wrapper decides what is
+extracted: the slots of its content region, less the texts of its template.  Markup only labels containers,
+as furniture (menus, headers, footers and the like) or as article, when the region is chosen.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -100,24 +101,34 @@ def is_furniture(labels: tuple[str, ...]) -> bool:
     return False
 
 
-def collapse(items: list[list]) -> list[list]:
+def digest(text: str) -> str:
+    """The mark by which equal texts are told."""
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=9).hexdigest()
+
+
+def _alike(a: list, b: list, together: bool) -> list:
+    """One item for two; the texts that stay are those of both (of either, if both stand in one page)."""
+    texts = {**a[3], **b[3]} if together else {h: n for h, n in a[3].items() if h in b[3]}
+    return [a[0], a[1] and b[1], a[2] or b[2], texts, a[4] + b[4], max(a[5], b[5]) if together else a[5] + b[5]]
+
+
+def collapse(items: list[list], together: bool = True) -> list[list]:
     """Adjacent equal groups of up to 6 items become one iterator."""
     for size in range(1, 7):
-        i = 0
-        while i + 2 * size <= len(items):
-            if all(items[i + j][0] == items[i + size + j][0] for j in range(size)):
-                for j in range(size):
-                    a, b = items[i + j], items[i + size + j]
-                    items[i + j] = [a[0], a[1], True, None, a[4] + b[4]]
-                del items[i + size : i + 2 * size]
-            else:
-                i += 1
+        out: list[list] = []
+        for item in items:
+            out.append(item)
+            if len(out) >= 2 * size and all(out[j - size][0] == out[j][0] for j in range(-size, 0)):
+                last = [_alike(out[j - size], out[j], together) for j in range(-size, 0)]
+                del out[-2 * size :]
+                out += [[k, o, True, t, n, s] for k, o, _, t, n, s in last]
+        items = out
     return items
 
 
 def expression(page: str) -> list[list]:
-    """A page as items [key, optional, repeated, fixed text or null, characters]."""
-    return collapse([[f"{'>'.join(path)} {tag}", False, False, zlib.crc32(text.encode()), len(text)] for path, tag, text in blocks(page)])
+    """A page as items [key, optional, repeated, {texts that stay: characters}, characters, pages]."""
+    return collapse([[f"{'>'.join(path)} {tag}", False, False, {digest(text): len(text)}, len(text), 1] for path, tag, text in blocks(page)])
 
 
 def merge(a: dict, b: dict) -> dict:
@@ -131,60 +142,106 @@ def merge(a: dict, b: dict) -> dict:
     for op, i0, i1, j0, j1 in same or SequenceMatcher(None, *keys, autojunk=False).get_opcodes():
         if op == "equal":
             for p, q in zip(x[i0:i1], y[j0:j1], strict=True):
-                out.append([p[0], p[1] or q[1], p[2] or q[2], p[3] if p[3] == q[3] else None, p[4] + q[4]])
-        else:
-            out += [[k, True, r, t, n] for k, _, r, t, n in (*x[i0:i1], *y[j0:j1])]
-    joined: list[list] = []
-    for item in out:  # an optional item next to its like is an iterator
-        if joined and joined[-1][0] == item[0]:
-            last = joined[-1]
-            joined[-1] = [item[0], last[1] and item[1], True, None, last[4] + item[4]]
+                both = _alike(p, q, False)
+                both[1] = p[1] or q[1]
+                out.append(both)
         else:
-            joined.append(item)
-    return {"n": a["n"] + b["n"], "items": joined}
+            out += [[k, True, *rest] for k, _, *rest in (*x[i0:i1], *y[j0:j1])]
+    return {"n": a["n"] + b["n"], "items": out if same else collapse(out, False)}
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, dict] = {}
-    for batch in batches:
-        for host, page in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-            found[host] = merge(found.get(host, {"n": 0, "items": []}), {"n": 1, "items": expression(page or "")})
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())], names=["host", "wrapper"]
-    )
+def _expressions(shares: int):
+    """(host, share, expression) of each page; equal pages of a host have equal rows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [json.dumps(expression(page or "")) for page in batch.column(1).to_pylist()]
+            share = [zlib.crc32(e.encode()) % shares for e in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share, pa.int32()), pa.array(found, pa.string())], names=["host", "share", "wrapper"])
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, dict] = {}
-    for batch in batches:
-        for host, wrapper in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-            found[host] = merge(found.get(host, {"n": 0, "items": []}), json.loads(wrapper))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(found), pa.string()), pa.array([json.dumps(_digest(w)) for w in found.values()], pa.string())], names=["host", "wrapper"]
-    )
+    return run
+
+
+def _folded(keys: int, pages: bool):
+    """One wrapper for each run of rows with equal first ``keys`` columns; rows are sorted, only one wrapper is held.
+
+    With ``pages`` rows are expressions of pages, and repeated ones count once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, before = None, None, None
+
+        def row() -> pa.RecordBatch:
+            out = json.dumps(held if keys > 1 else _digest(held))
+            types = pa.string(), pa.int32()
+            return pa.RecordBatch.from_arrays([*(pa.array([k], t) for k, t in zip(now, types, strict=False)), pa.array([out], pa.string())], names=["host", "share"][:keys] + ["wrapper"])
+
+        for batch in batches:
+            for *key, text in zip(*(c.to_pylist() for c in (*batch.columns[:keys], batch.columns[-1])), strict=True):
+                if key != now:
+                    if now is not None:
+                        yield row()
+                    now, held, before = key, {"n": 0, "items": []}, None
+                if pages and text == before:
+                    continue
+                before = text
+                held = merge(held, {"n": 1, "items": json.loads(text)} if pages else json.loads(text))
+        if now is not None:
+            yield row()
+
+    return run
 
 
 def _digest(wrapper: dict) -> dict:
-    """What extraction needs: texts of the template, and the container with most slot text."""
-    fixed = [i[3] for i in wrapper["items"] if i[3] is not None and not i[1]] if wrapper["n"] >= LEAST_PAGES else []
-    weight: dict[str, int] = {}
-    for key, _, _, text, n in wrapper["items"]:
+    """What extraction needs of a wrapper: its template texts by place, and the content region.
+
+    A text that stays in all pages that have its place, at least LEAST_PAGES and half of the host's, is
+    template.  The region is the innermost container that holds nine tenths of the slot text outside of
+    furniture; where slots stand within article or main elements, only those count.
+    """
+    enough = max(LEAST_PAGES, wrapper["n"] / 2)
+    fixed: dict[str, list[str]] = {}
+    slots: list[tuple[list[str], int]] = []
+    for key, _, _, texts, n, support in wrapper["items"]:
         path = key.rpartition(" ")[0]
-        if text is None and not is_furniture(tuple(path.split(">"))):
-            weight[path] = weight.get(path, 0) + n
-    return {"fixed": fixed, "region": max(sorted(weight), key=weight.get) if weight else ""}
+        if support >= enough and texts:
+            fixed[key] = sorted({*fixed.get(key, []), *texts})
+            n -= support * sum(texts.values())
+        labels = path.split(">") if path else []
+        if n > 0 and not is_furniture(tuple(labels)):
+            slots.append((labels, n))
+    marked = any(is_marked(labels) for labels, _ in slots)
+    if marked:
+        slots = [s for s in slots if is_marked(s[0])]
+    region: list[str] = []
+    while slots:
+        below: dict[str, int] = {}
+        for labels, n in slots:
+            if len(labels) > len(region):
+                below[labels[len(region)]] = below.get(labels[len(region)], 0) + n
+        best = max(sorted(below), key=below.get) if below else None
+        if best is None or below[best] < 0.9 * sum(n for _, n in slots):
+            break
+        region.append(best)
+        slots = [s for s in slots if s[0][: len(region)] == region]
+    return {"fixed": fixed, "region": region, "marked": marked}
+
+
+def is_marked(labels) -> bool:
+    """Whether some open container is an article or main element."""
+    return any(label.split("|")[0] in ("article", "main") for label in labels)
 
 
 def main_text(page: str, wrapper: dict) -> str:
-    """The blocks of the content region, joined by line ends."""
-    found = [(path, text) for path, _, text in blocks(page) if not is_furniture(path)]
-    marked = [text for path, text in found if any(p.split("|")[0] in ("article", "main") for p in path)]
-    if marked:
-        return "\n".join(marked)
-    region, fixed = wrapper["region"], set(wrapper["fixed"])
-    slots = [(">".join(path), text) for path, text in found if zlib.crc32(text.encode()) not in fixed]
-    inside = [text for path, text in slots if path.startswith(region)]
-    return "\n".join(inside or [text for _, text in slots])
+    """The slots of the wrapper's content region, joined by line ends.
+
+    A page without any block there is not covered by the wrapper: its blocks outside of furniture and
+    template count.
+    """
+    fixed, region = wrapper["fixed"], wrapper["region"]
+    found = [(path, text) for path, tag, text in blocks(page) if not is_furniture(path) and digest(text) not in fixed.get(f"{'>'.join(path)} {tag}", ())]
+    inside = [text for path, text in found if list(path[: len(region)]) == region and (not wrapper["marked"] or is_marked(path))]
+    return "\n".join(inside or [text for _, text in found])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,13 +265,18 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Null or empty html gives an empty text; pages without a host (null urls as well) share one wrapper.
     Character references are decoded, white space within a block becomes one space, blocks are joined by
-    one line end.  Repeated rows are extracted each.
+    one line end.  Repeated rows are extracted each, but count once in the wrapper.  Long pages are read
+    whole; an empty table gives no rows; other columns are ignored, whatever their names.  Pages are
+    dealt and folded in the order of their expressions, so the layout of the input does not matter.
     """
-    small_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    small_batches(spark)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     hosted = with_host_and_path(pages)
-    partial = hosted.select("host", "html").mapInArrow(_partial, "host string, wrapper string")
-    wrappers = partial.repartition("host").mapInArrow(_merged, "host string, wrapper string")
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = hosted.select("host", "html").mapInArrow(_expressions(shares), "host string, share int, wrapper string")
+    parts = rows.repartition("host", "share").sortWithinPartitions("host", "share", "wrapper").mapInArrow(_folded(2, True), "host string, share int, wrapper string")
+    wrappers = parts.repartition("host").sortWithinPartitions("host", "share").mapInArrow(_folded(1, False), "host string, wrapper string")
     wrappers = materialise(wrappers, "wrappers")
     joined = hosted.join(wrappers, "host").select("page_id", "url", "html", "wrapper")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
