@@ -5,7 +5,7 @@ host are aligned one after another: what does not match becomes optional, texts
 texts that stay are part of the template (union-free expressions, after "RoadRunner", Crescenzi, Mecca and
 Merialdo, 2001).  The pages of a host are dealt by their expressions, so that a host with a third of all
 pages is folded in many tasks, each in order; their wrappers then merge.  The wrapper decides what is
-extracted: the slots of its content region, less the texts of its template.  Markup only labels containers,
+extracted: its content region, less the texts of its template outside of article elements.  Markup only labels containers,
 as furniture (menus, headers, footers and the like) or as article, when the region is chosen.
 """
 
@@ -235,11 +235,15 @@ def is_marked(labels) -> bool:
 def main_text(page: str, wrapper: dict) -> str:
     """The slots of the wrapper's content region, joined by line ends.
 
-    A page without any block there is not covered by the wrapper: its blocks outside of furniture and
+    Within an article or main element texts of the template are the author's as well and stay.  A page without any block there is not covered by the wrapper: its blocks outside of furniture and
     template count.
     """
     fixed, region = wrapper["fixed"], wrapper["region"]
-    found = [(path, text) for path, tag, text in blocks(page) if not is_furniture(path) and digest(text) not in fixed.get(f"{'>'.join(path)} {tag}", ())]
+    found = [
+        (path, text)
+        for path, tag, text in blocks(page)
+        if not is_furniture(path) and (is_marked(path) or digest(text) not in fixed.get(f"{'>'.join(path)} {tag}", ()))
+    ]
     inside = [text for path, text in found if list(path[: len(region)]) == region and (not wrapper["marked"] or is_marked(path))]
     return "\n".join(inside or [text for _, text in found])
 

@@ -165,18 +165,18 @@ def test_pages(spark):
 def test_wrappers_choose_the_region(spark):
     from parley.llm.wrappers import extract_main_text, main_text
 
-    page = "<html><body><div class=top>Welcome</div><div class=w><div class=a><p>first {i} of some length</p></div><div class=b><p>second {i} of some length</p><p>{i} third</p>"
+    page = "<html><body><div class=top>Welcome</div><div class=w><div class=a><p>first {i} with many more words than a counter has</p></div><div class=b><p>second {i} with many more words than a counter has</p><p>{i} third</p>"
     page += "<p>Read our other stories</p></div></div><div class=end>{i} hits</div></body></html>"
     marked = "<html><body><div>{i} x</div><article><p>one {i}</p><p>two {i}</p><p>Only here in all pages</p></article></body></html>"
     rows = [(i, "http://c.x/p", page.format(i=i)) for i in range(6)] + [(10 + i, "http://d.x/p", marked.format(i=i)) for i in range(6)]
     rows += [(20 + i, "http://e.x/p", "<article><p>a copy</p></article>") for i in range(5)] + [(30, "http://f.x", "<p>" + "long " * 300_000 + "</p>")]
     df = spark.createDataFrame([(*r, "own", "w") for r in rows], "page_id long, url string, html string, host string, wrapper string")
     by = {r.page_id: r.text for r in extract_main_text(df).collect()}
-    for i in range(6):  # text in sibling containers stays, text of the template goes, with and without article
-        assert by[i] == f"first {i} of some length\nsecond {i} of some length\n{i} third"
-        assert by[10 + i] == f"one {i}\ntwo {i}"
+    for i in range(6):  # text in sibling containers stays; text of the template goes, but not from an article element
+        assert by[i] == f"first {i} with many more words than a counter has\nsecond {i} with many more words than a counter has\n{i} third"
+        assert by[10 + i] == f"one {i}\ntwo {i}\nOnly here in all pages"
     assert all(by[20 + i] == "a copy" for i in range(5)) and len(by[30]) == 5 * 300_000 - 1
-    assert {r.page_id: r.text for r in extract_main_text(df.orderBy(F.desc("page_id")).repartition(5)).collect()} == by
+    assert {r.page_id: r.text for r in extract_main_text(df.orderBy("url", "html").repartition(5)).collect()} == by
     assert extract_main_text(df.limit(0)).count() == 0
     wrong = {"fixed": {}, "region": ["html", "body", "div|end"], "marked": False}
     assert main_text(page.format(i=1), wrong) == "1 hits"
