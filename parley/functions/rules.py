@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,15 @@ def palette_index(speaker: Column, colours: int = 8) -> Column:
     return F.pmod(speaker - 1, F.lit(colours))
 
 
+#: The colours of speakers, in the order they are given out.
+COLOURS = ["#00ffcc", "#ff44aa", "#44ff44", "#ffaa00", "#aa88ff", "#ff6644", "#44ddff", "#ffff44"]
+
+
+def palette(speaker: Column) -> Column:
+    """The speaker's colour; the first one for no speaker."""
+    return F.element_at(F.array(*map(F.lit, COLOURS)), F.coalesce(palette_index(speaker), F.lit(0)).cast("int") + 1)
+
+
 def pcm16_to_float(sample: Column) -> Column:
     """H13."""
     return sample / 32768.0
@@ -64,3 +73,10 @@ def envelope(rms: Column) -> Column:
 def is_speech(prob: Column, rms: Column) -> Column:
     """B1: a speech probability of a half and more; where there is none, a level of 0.012 and more."""
     return F.when(prob.isNotNull(), prob >= 0.5).otherwise(rms >= 0.012)
+
+
+def failure_bursts(failures: DataFrame, key: str, ts: str, seconds: int = 60, least: int = 3) -> DataFrame:
+    """Failures with the count of those in the ``seconds`` before, themselves included, if it is ``least`` or more."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    w = Window.partitionBy(key).orderBy(at).rangeBetween(1 - seconds * 1_000_000, 0)
+    return failures.withColumn("failures", F.count("*").over(w)).where(F.col("failures") >= least)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,3 +75,30 @@ def prompts_shown(times: Column) -> Column:
         return F.when((recent < 5) & ~late, F.concat(shown, F.array(t))).otherwise(shown)
 
     return F.aggregate(times, F.array().cast("array<bigint>"), step)
+
+
+def _pitch(x) -> float | None:
+    if x is None:
+        return None
+    x = np.asarray(x, dtype=float)
+    if not len(x) or np.sqrt((x * x).mean()) <= 0.003:
+        return 0.5
+    size = np.abs(np.fft.rfft(x))
+    return float(np.clip(size @ np.arange(len(size)) / (size.sum() + 1e-10) / (0.4 * len(size)), 0.0, 1.0))
+
+
+def spectral_centroid(samples: Column) -> Column:
+    """Mean frequency bin by magnitude, as a share of 0.4 of the bins, 0 to 1; 0.5 if the level is 0.003 or less."""
+
+    def apply(rows: pd.Series) -> pd.Series:
+        return rows.map(_pitch)
+
+    return F.pandas_udf(apply, "double")(samples)
+
+
+def setting(doc: Column, key: str, kind: str, default) -> Column:
+    """A key of a JSON settings document if its value has the kind (int, double, string or boolean), else ``default``."""
+    whole = F.try_parse_json(doc)
+    found = F.schema_of_variant(F.try_variant_get(whole, f"$.{key}", "variant"))
+    fits = {"int": found == "BIGINT", "string": found == "STRING", "boolean": found == "BOOLEAN", "double": found.rlike("^(DECIMAL|DOUBLE|BIGINT)")}[kind]
+    return F.coalesce(F.when(fits, F.try_variant_get(whole, f"$.{key}", kind)), F.lit(default))

@@ -1,21 +1,26 @@
 """Speaker identity inside a session: an ordered fold over the session's utterances.
 
 Every decision depends on the centroids that earlier ones left, so a session is one sequence; sessions are
-spread over the cluster.  State is a sum vector for each of at most ``cap`` speakers.
+spread over the cluster.  State is a sum vector and the newest segments of at most ``cap`` speakers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from parley.operators import regroup
+from parley.operators.folds import Machine, fold
 
 
 @dataclass
 class Limits:
-    """Fixed values of the rules."""
+    """Fixed values of the rules; ``held`` is the number of newest segments of a speaker that upkeep looks at."""
 
     match: float = 0.35
     new: float = 0.30
@@ -23,89 +28,238 @@ class Limits:
     quality_rms: float = 0.003
     min_seconds: float = 1.5
     cap: int = 8
+    merge: float = 0.50
+    regroup_every: int = 8
+    merge_every: int = 3
+    held: int = 60
 
 
 @dataclass
-class _Speakers:
-    sums: list[np.ndarray] = field(default_factory=list)
-    segments: list[list[np.ndarray]] = field(default_factory=list)
-    last: int = 1
-    calls: int = 0
+class Speaker:
+    total: np.ndarray
+    n: int = 0
+    held: list[tuple[int, np.ndarray]] = field(default_factory=list)
 
 
-def _cos(a: np.ndarray, b: np.ndarray) -> float:
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
     return float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-10))
 
 
-def _recent(own: list[np.ndarray], x: np.ndarray) -> float | None:
-    """Mean similarity to the three newest segments, if there are two at least."""
-    return float(np.mean([_cos(x, y) for y in own[-3:]])) if len(own) >= 2 else None
-
-
-def _decide(state: _Speakers, x: np.ndarray, good: bool, lim: Limits) -> tuple[int | None, str]:
-    """(place of the speaker or None, what was done); centroids change here, segments do not."""
-    n = len(state.sums)
-    scores = [_cos(x, s) for s in state.sums]
-    order = sorted(range(n), key=lambda i: (-scores[i], -i))
-    pick = order[0] if n else None
-    best, second = (scores[order[0]] if n else -1.0), (scores[order[1]] if n > 1 else None)
-    close = second is not None and best - second < lim.margin
-    ambiguous = close or (second is not None and best > 0.30 and second > 0.25)
-    if close and len(state.segments[order[1]]) > len(state.segments[order[0]]):
-        pick, best = order[1], second
-    low = max(0.10, lim.new - 0.05 * (n - 2)) if n >= 2 else lim.new
-    if best >= lim.match:
-        update, seen = good and not ambiguous, _recent(state.segments[pick], x)
-        if seen is not None and seen < lim.match * 0.6:
-            update = False
-            for i in range(n):
-                other = _recent(state.segments[i], x) if i != pick and scores[i] > 0.9 * best else None
-                if other is not None and other > seen:
-                    pick = i
-                    break
-        if update:
-            state.sums[pick] = state.sums[pick] + x
-        return pick, "match"
-    if n and best >= low:
-        return pick, "uncertain"
-    if n >= lim.cap:
-        return pick, "full"
-    frozen = state.calls > 20 and n > 3 and best > max(0.05, 0.20 - 0.03 * (n - 4))
-    if good and not frozen:
-        state.sums.append(x.copy())
-        state.segments.append([])
-        return n, "new"
-    return None, "kept"
-
-
-def _session(lim: Limits):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = _Speakers(), []
-        for r in rows.sort_values("seg_ix").itertuples(index=False):
-            if r.embedding is None or not r.duration_sec >= lim.min_seconds:
-                out.append((key[0], r.seg_ix, state.last, "short"))
-                continue
-            x = np.asarray(r.embedding, dtype=float)
-            who, what = _decide(state, x, bool(r.rms >= lim.quality_rms), lim)
-            if who is not None:
-                state.segments[who] = [*state.segments[who][-29:], x]
-                state.last, state.calls = who + 1, state.calls + 1
-            out.append((key[0], r.seg_ix, state.last, what))
-        return pd.DataFrame(out, columns=["session_id", "seg_ix", "speaker_id", "outcome"])
-
-    return run
+class Session(Machine):
+    """Speakers of a session by id, in the order they came."""
+
+    def __init__(self, limits: Limits):
+        self.lim, self.who, self.next_id, self.last, self.calls, self.serial = limits, {}, 1, 1, 0, 0
+
+    def open(self, x: np.ndarray) -> int:
+        self.who[self.next_id] = Speaker(x.copy())
+        self.next_id += 1
+        return self.next_id - 1
+
+    def record(self, who: int, x: np.ndarray) -> None:
+        s = self.who[who]
+        s.n, s.held, self.serial = s.n + 1, [*s.held[1 - self.lim.held :], (self.serial, x)], self.serial + 1
+
+    def absorb(self, source: int, target: int) -> None:
+        """Segments and sums of the source go to the target."""
+        gone, stays = self.who.pop(source), self.who[target]
+        stays.total, stays.n = stays.total + gone.total, stays.n + gone.n
+        stays.held = sorted(stays.held + gone.held, key=lambda h: h[0])[-self.lim.held :]
+
+    def upkeep(self, several: bool = False) -> None:
+        """What is due after this call; calls with several speakers have a cadence of their own."""
+        regroup_due, merge_due = self.calls % self.lim.regroup_every == 0, self.calls % self.lim.merge_every == 0
+        if regroup_due:
+            self.regroup()
+        if regroup_due if several else merge_due:
+            self.refresh()
+        if merge_due and not (several and regroup_due):
+            self.merge_closest()
+
+    def refresh(self) -> None:
+        """Sums of the newest 30 segments that lie near their mean, for speakers with three and more."""
+        for s in self.who.values():
+            rows = np.array([x for _, x in s.held[-30:]])
+            if len(rows) >= 3:
+                near = rows[[cosine(x, rows.mean(axis=0)) > 0.3 for x in rows]]
+                if len(near) >= 2:
+                    s.total = near.sum(axis=0)
+
+    def merge_closest(self) -> None:
+        """The most similar pair becomes one if it is similar enough; of equal sizes the older stays."""
+        ids = list(self.who)
+        if len(ids) < 2:
+            return
+        m = np.stack([self.who[i].total for i in ids])
+        size = np.linalg.norm(m, axis=1)
+        sim = np.triu(m @ m.T / (np.outer(size, size) + 1e-10), 1) + np.tril(np.full((len(ids), len(ids)), -2.0))
+        a, b = np.unravel_index(sim.argmax(), sim.shape)
+        if sim[a, b] >= self.lim.merge:
+            a, b = ids[a], ids[b]
+            source, target = (b, a) if self.who[a].n >= self.who[b].n else (a, b)
+            self.absorb(source, target)
+
+    def regroup(self) -> None:
+        """Speakers whose segments fall into one cluster become one, the one with the most segments."""
+        ids = list(self.who)
+        held = [(i, serial, x) for i in ids for serial, x in self.who[i].held]
+        if len(held) < 4 or len(ids) < 2:
+            return
+        labels = regroup.spectral_labels(np.stack([x for *_, x in held]), len(ids), self.lim.cap)
+        for label in () if labels is None else dict.fromkeys(labels.tolist()):
+            own = dict.fromkeys(i for (i, *_), at in zip(held, labels) if at == label)
+            target, *rest = sorted(own, key=lambda i: -self.who[i].n if i in self.who else 0)
+            for source in rest:
+                if source in self.who and target in self.who:
+                    self.absorb(source, target)
+
+    def recent(self, who: int, x: np.ndarray, least: int) -> float | None:
+        """Mean similarity to the three newest segments, if there are ``least`` of them."""
+        own = self.who[who].held[-3:]
+        return float(np.mean([cosine(x, y) for _, y in own])) if len(own) >= least else None
+
+    def decide(self, x: np.ndarray, good: bool) -> tuple[int | None, str]:
+        """(speaker or None, what was done); centroids change here, segments do not."""
+        lim, ids = self.lim, list(self.who)
+        score = {i: cosine(x, self.who[i].total) for i in ids}
+        order = sorted(ids, key=lambda i: (-score[i], -i))
+        pick, best = (order[0], score[order[0]]) if order else (None, -1.0)
+        second = score[order[1]] if len(order) > 1 else None
+        close = second is not None and best - second < lim.margin
+        ambiguous = close or (second is not None and best > 0.30 and second > 0.25)
+        if close and self.who[order[1]].n > self.who[order[0]].n:
+            pick, best = order[1], second
+        n = len(ids)
+        low = max(0.10, lim.new - 0.05 * (n - 2)) if n >= 2 else lim.new
+        if best >= lim.match:
+            update, seen = good and not ambiguous, self.recent(pick, x, 2)
+            if seen is not None and seen < lim.match * 0.6:
+                update = False
+                near = ((i, self.recent(i, x, 1)) for i in ids if i != pick and score[i] > 0.9 * best)
+                pick = next((i for i, own in near if own is not None and own > seen), pick)
+            if update:
+                self.who[pick].total = self.who[pick].total + x
+            return pick, "match"
+        if n and best >= low:
+            return pick, "uncertain"
+        if n >= lim.cap:
+            return pick, "full"
+        frozen = self.calls > 20 and self.next_id > 4 and best > max(0.05, 0.20 - 0.03 * (self.next_id - 5))
+        return (self.open(x), "new") if good and not frozen else (None, "kept")
+
+    def one(self, x: np.ndarray | None, seconds: float, rms: float) -> str:
+        """S3 for one utterance; ``last`` is its speaker."""
+        if x is None or not seconds >= self.lim.min_seconds:
+            return "short"
+        x = np.asarray(x, dtype=float)
+        who, what = self.decide(x, bool(rms >= self.lim.quality_rms))
+        if who is not None:
+            self.record(who, x)
+            self.last, self.calls = who, self.calls + 1
+            self.upkeep()
+        return what
+
+    def several(self, local: list[np.ndarray]) -> list[int | None]:
+        """A different speaker for each local one: C14 best pairs first, then C15 for the rest."""
+        known = list(self.who)
+        pairs = sorted(((cosine(x, self.who[i].total), at, i) for at, x in enumerate(local) for i in known), key=lambda p: -p[0])
+        found: dict[int, int] = {}
+        for score, at, i in pairs:
+            if score >= self.lim.match and at not in found and i not in found.values():
+                found[at] = i
+        for at, x in enumerate(local):
+            if at not in found and len(self.who) < self.lim.cap:
+                found[at] = self.open(x)
+            elif at not in found:
+                free = [i for i in self.who if i not in found.values()]
+                if free:
+                    found[at] = max(free, key=lambda i: cosine(x, self.who[i].total))
+        for at in sorted(found):
+            self.record(found[at], local[at])
+        self.calls += 1
+        self.upkeep(several=True)
+        return [found.get(at) for at in range(len(local))]
+
+
+class _One(Session):
+    def row(self, seg_ix, embedding, seconds, rms) -> Iterable[tuple]:
+        what = self.one(embedding, seconds, rms)
+        yield seg_ix, self.last, what
 
 
 def identify(segments: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """S3: speaker_id (from 1) and outcome of each utterance, without the periodic re-clustering.
+    """speaker_id (from 1) and outcome of each utterance.
 
     segments: session_id, seg_ix, embedding, duration_sec, rms.  Utterances that are too short or have no
-    embedding take the speaker before and change nothing; so do poor ones that match nobody.
+    embedding take the speaker before and change nothing; so do poor ones that match nobody.  After every
+    eighth recorded utterance speakers are regrouped, after every third centroids are made anew and the
+    closest pair may become one; rows given out before keep their id.
     """
+    lim = limits or Limits()
     rows = segments.select("session_id", "seg_ix", "embedding", "duration_sec", "rms")
+    return fold(rows, "session_id", ["seg_ix"], lambda: _One(lim), f"seg_ix {dict(segments.dtypes)['seg_ix']}, speaker_id int, outcome string")
+
+
+class _Several(Session):
+    """Rows of an utterance come together; the utterance is decided when the next one begins."""
+
+    def __init__(self, limits: Limits, frame: int):
+        super().__init__(limits)
+        self.frame, self.at, self.rows = frame, None, []
+
+    def row(self, seg_ix, local, embedding, first, last, seconds, rms) -> Iterable[tuple]:
+        done = self.end() if seg_ix != self.at else ()
+        self.at = seg_ix
+        self.rows.append((local, embedding, first, last, seconds, rms))
+        return done
+
+    def end(self) -> list[tuple]:
+        rows, self.rows = self.rows, []
+        heard = [r for r in rows if r[1] is not None]
+        if not rows:
+            return []
+        if len(heard) < 2:
+            local, x, first, last, seconds, rms = (heard or rows)[0]
+            what = self.one(x, seconds, rms)
+            ids, heard = [self.last], [(local, x, first, last)]
+        else:
+            what, ids = "several", self.several([np.asarray(r[1], dtype=float) for r in heard])
+        return [(self.at, r[0], i, int(r[2]) * self.frame, (int(r[3]) + 1) * self.frame, what) for r, i in zip(heard, ids) if i is not None]
+
+
+def identify_multi(turns: DataFrame, limits: Limits | None = None, frame: int = 270) -> DataFrame:
+    """The speakers of utterances in which several speak, each with its own span of samples.
+
+    turns: session_id, seg_ix, local_ix, embedding, first_frame, last_frame, duration_sec, rms, one row for each
+    active local speaker.  Each keeps its own embedding as segment.  An utterance with one is decided as by
+    ``identify``.  Returns session_id, seg_ix, local_ix, speaker_id, start, stop, outcome.
+    """
+    lim, kind = limits or Limits(), dict(turns.dtypes)
+    rows = turns.select("session_id", "seg_ix", "local_ix", "embedding", "first_frame", "last_frame", "duration_sec", "rms")
+    schema = f"seg_ix {kind['seg_ix']}, local_ix {kind['local_ix']}, speaker_id int, start long, stop long, outcome string"
+    return fold(rows, "session_id", ["seg_ix", "local_ix"], lambda: _Several(lim, frame), schema)
+
+
+class _Stable(Machine):
+    def __init__(self):
+        self.total, self.n = None, 0
+
+    def row(self, seg_ix, embedding) -> Iterable[tuple]:
+        x = np.asarray(embedding, dtype=float)
+        before, self.total, self.n = self.total, x if self.total is None else self.total + x, self.n + 1
+        if self.n >= 3 and 1 - cosine(before, self.total) < 0.05:
+            yield seg_ix, self.total.tolist()
+
+
+def stable_centroids(segments: DataFrame) -> DataFrame:
+    """E5: the running sum of each speaker of a session at every segment at which it has settled.
+
+    segments: session_id, speaker, seg_ix, embedding.  Returns who (struct of session_id, speaker), seg_ix, centroid.
+    """
+    rows = segments.where("embedding is not null").select(F.to_json(F.struct("session_id", "speaker")).alias("who"), "seg_ix", "embedding")
+    found = fold(rows, "who", ["seg_ix"], _Stable, f"seg_ix {dict(segments.dtypes)['seg_ix']}, centroid array<double>")
     kind = dict(segments.dtypes)
-    schema = f"session_id {kind['session_id']}, seg_ix {kind['seg_ix']}, speaker_id int, outcome string"
-    return rows.groupBy("session_id").applyInPandas(_session(limits or Limits()), schema)
+    return found.withColumn("who", F.from_json("who", f"session_id {kind['session_id']}, speaker {kind['speaker']}"))
 
 
 def viterbi_smooth(labels: DataFrame, key: str, order: str, label: str, stay: float = 0.99, hit: float = 0.9) -> DataFrame:
@@ -117,19 +271,6 @@ def viterbi_smooth(labels: DataFrame, key: str, order: str, label: str, stay: fl
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
         names, seen = np.unique(rows[label].to_numpy(), return_inverse=True)
-        n, k = len(seen), len(names)
-        if n >= 2 and k >= 2:
-            move = np.log(np.where(np.eye(k, dtype=bool), stay, (1 - stay) / (k - 1)))
-            emit = np.log(np.where(np.eye(k, dtype=bool), hit, 1 - hit))[seen]
-            back, score = np.zeros((n, k), dtype=int), emit[0] - np.log(k)
-            for i in range(1, n):
-                ways = score[:, None] + move
-                back[i] = ways.argmax(axis=0)
-                score = ways.max(axis=0) + emit[i]
-            path = [int(score.argmax())]
-            for i in range(n - 1, 0, -1):
-                path.append(int(back[i][path[-1]]))
-            rows = rows.assign(**{label: names[path[::-1]]})
-        return rows
+        return rows.assign(**{label: names[regroup.viterbi(seen, len(names), stay, hit)]})
 
     return labels.select(key, order, label).groupBy(key).applyInPandas(run, labels.select(key, order, label).schema)

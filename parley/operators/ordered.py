@@ -1,34 +1,53 @@
-"""Ordered folds over each key: endpointing, recent duplicates, speech regions, budgets.
+"""Ordered folds over each key: endpointing, recent duplicates, speech regions, spacing and budgets.
 
-Each fold is an ``aggregate`` over the sorted rows of one key (a session or stream), all in the JVM.
+Each is a small state machine that a key's sorted rows pass through (see ``folds``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import normalize_text
+from parley.operators.folds import Machine, fold
+
+
+def _fold(rows: DataFrame, key: str, order: str, machine, schema: str) -> DataFrame:
+    return fold(rows, key, [order, *[c for c in rows.columns if c not in (key, order)]], machine, schema)
 
 
-def _sorted(df: DataFrame, key: str, order: str, *cols: str) -> DataFrame:
-    return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *cols))).alias("rows"))
+class _Recent(Machine):
+    def __init__(self, n: int):
+        self.forms = deque(maxlen=n)
+
+    def row(self, at, form) -> Iterable[tuple]:
+        if form not in self.forms:
+            self.forms.append(form)
+            yield (at,)
 
 
 def dedupe_recent(lines: DataFrame, key: str, order: str, text: str, n: int = 5) -> DataFrame:
     """Rows whose normal form is not among the last ``n`` accepted ones; a repeat does not refresh its slot."""
-    rows = _sorted(lines.where(F.col(text).isNotNull() & (F.col(text) != "")), key, order, text)
-    kind = dict(lines.dtypes)[order]
-    start = F.expr(f"named_struct('recent', cast(array() as array<string>), 'kept', cast(array() as array<{kind}>))")
+    rows = lines.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, order, normalize_text(F.col(text)).alias("__form"))
+    return _fold(rows, key, order, lambda: _Recent(n), f"`{order}` {dict(lines.dtypes)[order]}")
+
 
-    def step(s: Column, x: Column) -> Column:
-        form = normalize_text(x[text])
-        recent = F.array_append(s["recent"], form)
-        recent = F.when(F.size(recent) > n, F.slice(recent, 2, n)).otherwise(recent)
-        fresh = F.struct(recent.alias("recent"), F.array_append(s["kept"], x[order]).alias("kept"))
-        return F.when(F.array_contains(s["recent"], form), s).otherwise(fresh)
+class _Endpoint(Machine):
+    def __init__(self, chunk_sec: float):
+        self.chunk_sec, self.first, self.n, self.silent = chunk_sec, None, 0, 0
 
-    return rows.select(key, F.explode(F.aggregate("rows", start, step)["kept"]).alias(order))
+    def row(self, at, speech) -> Iterable[tuple]:
+        self.silent = 0 if speech else self.silent + 1
+        if self.n == 0 and not speech:
+            return
+        self.first, self.n = at if self.n == 0 else self.first, self.n + 1
+        long = self.n * self.chunk_sec
+        if long >= 3.0 or (self.silent * self.chunk_sec > 0.3 and long > 1.0):
+            yield self.first, at, self.n
+            self.n, self.silent = 0, 0
 
 
 def endpoint(chunks: DataFrame, key: str = "stream_id", order: str = "seq", chunk_sec: float = 0.064) -> DataFrame:
@@ -36,42 +55,79 @@ def endpoint(chunks: DataFrame, key: str = "stream_id", order: str = "seq", chun
 
     An utterance ends after over .3 s of silence once it is over 1 s long, or at 3 s.
     """
-    rows = _sorted(chunks, key, order, "is_speech")
-    start = F.expr(
-        "named_struct('had', false, 'sil', 0, 'first', cast(null as bigint), 'n', 0, "
-        "'out', cast(array() as array<struct<first:bigint,last:bigint,n_chunks:int>>))"
-    )
-
-    def step(s: Column, x: Column) -> Column:
-        speech = x["is_speech"]
-        had = s["had"] | speech
-        sil = F.when(speech, 0).otherwise(s["sil"] + 1)
-        n = s["n"] + had.cast("int")
-        first = F.when(had, F.coalesce(s["first"], x[order]))
-        emit = (had & (sil * chunk_sec > 0.3) & (n * chunk_sec > 1.0)) | (n * chunk_sec >= 3.0)
-        done = F.struct(first.alias("first"), x[order].cast("bigint").alias("last"), n.alias("n_chunks"))
-        none = F.lit(None).cast("bigint")
-        return F.struct(
-            (had & ~emit).alias("had"),
-            F.when(emit, 0).otherwise(sil).alias("sil"),
-            F.when(emit, none).otherwise(first).alias("first"),
-            F.when(emit, 0).otherwise(n).alias("n"),
-            F.when(emit, F.array_append(s["out"], done)).otherwise(s["out"]).alias("out"),
-        )
-
-    found = rows.select(key, F.explode(F.aggregate("rows", start, step)["out"]).alias("u"))
-    return found.select(key, "u.first", "u.last", "u.n_chunks")
+    rows = chunks.select(key, order, F.coalesce("is_speech", F.lit(False)).alias("is_speech"))
+    return _fold(rows, key, order, lambda: _Endpoint(chunk_sec), "first long, last long, n_chunks int")
+
+
+class _Spaced(Machine):
+    def __init__(self, gap: float):
+        self.gap, self.last = gap, 0.0
+
+    def row(self, at) -> Iterable[tuple]:
+        if at - self.last >= self.gap:
+            self.last = at
+            yield (at,)
 
 
 def min_gap_points(points: DataFrame, key: str, at: str, gap: float) -> DataFrame:
     """Points at least ``gap`` after the last accepted one (0 is accepted)."""
-    rows = points.groupBy(key).agg(F.sort_array(F.collect_list(F.col(at).cast("double"))).alias("rows"))
-    start = F.expr("named_struct('last', 0.0D, 'out', cast(array() as array<double>))")
+    return _fold(points.select(key, F.col(at).cast("double").alias(at)).where(F.col(at).isNotNull()), key, at, lambda: _Spaced(gap), f"`{at}` double")
+
+
+class _Segments(Machine):
+    def __init__(self, least: int):
+        self.least, self.last, self.given, self.total, self.windows = least, 0, False, 0, 0
 
-    def step(s: Column, x: Column) -> Column:
-        return F.when(x - s["last"] >= gap, F.struct(x.alias("last"), F.array_append(s["out"], x).alias("out"))).otherwise(s)
+    def row(self, at, far, total) -> Iterable[tuple]:
+        self.total, self.windows = total, self.windows + 1
+        if far and total >= 2 * self.least and at - self.last >= self.least:
+            yield self.last, at
+            self.last, self.given = at, True
 
-    return rows.select(key, F.explode(F.aggregate("rows", start, step)["out"]).alias(at))
+    def end(self) -> Iterable[tuple]:
+        if not self.given or self.total - self.last >= self.least:
+            yield self.last if self.given else 0, self.total
+
+
+def scd_segments(windows: DataFrame, key: str, at: str, far: str, total: str, least: int = 24000) -> DataFrame:
+    """(start, stop) of the parts of a buffer between speaker changes.
+
+    windows: the start sample of each window of a buffer, whether it is far from the window before (E1), and the
+    samples of the buffer.  Changes closer than ``least`` samples to the last accepted one are passed over, a
+    shorter tail is dropped, and a buffer below twice ``least`` or without changes is one part.
+    """
+    rows = windows.select(key, F.col(at).cast("long").alias("at"), F.coalesce(far, F.lit(False)).alias("far"), F.col(total).cast("long").alias("total"))
+    return _fold(rows, key, "at", lambda: _Segments(least), "start long, stop long")
+
+
+class _Speech(Machine):
+    def __init__(self, speech: int, silence: int, most: int):
+        self.speech, self.silence, self.most = speech, silence, most
+        self.i, self.first, self.quiet, self.given = 0, None, 0, False
+
+    def row(self, at, loud) -> Iterable[tuple]:
+        i, self.i = self.i, self.i + 1
+        if self.first is None and not loud:
+            return
+        self.first = i if self.first is None else self.first
+        self.quiet = 0 if loud else self.quiet + 1
+        first, stop = self.first, None
+        if self.quiet >= self.silence:
+            stop, self.first = i - self.quiet + 1, None
+            self.quiet = 0
+            if stop - first < self.speech:
+                return
+        elif i - first >= self.most:
+            stop, self.first, self.quiet = i + 1, None, 0
+        if stop is not None:
+            self.given = True
+            yield first, stop
+
+    def end(self) -> Iterable[tuple]:
+        if self.first is not None and self.i - self.first >= self.speech:
+            yield self.first, self.i
+        elif not self.given:
+            yield 0, self.i
 
 
 def speech_segments(frames: DataFrame, key: str, order: str, prob: str, limit: float = 0.5, speech: int = 15, silence: int = 9, most: int = 187) -> DataFrame:
@@ -80,30 +136,28 @@ def speech_segments(frames: DataFrame, key: str, order: str, prob: str, limit: f
     A segment ends after ``silence`` quiet frames, where the first of them stands, and counts if it has
     ``speech`` frames; at ``most`` frames it is cut whatever its length.  A key without one is a segment as a whole.
     """
-    rows = _sorted(frames, key, order, prob)
-    start = F.expr("named_struct('i', 0, 'first', -1, 'sil', 0, 'out', cast(array() as array<struct<first:int,stop:int>>))")
-
-    def piece(first: Column, stop: Column) -> Column:
-        return F.struct(first.cast("int").alias("first"), stop.cast("int").alias("stop"))
-
-    def step(s: Column, x: Column) -> Column:
-        loud, i = F.coalesce(x[prob] >= limit, F.lit(False)), s["i"]
-        first = F.when(loud & (s["first"] < 0), i).otherwise(s["first"])
-        sil = F.when(loud, 0).otherwise(s["sil"] + 1)
-        inside = first >= 0
-        quiet = inside & ~loud & (sil >= silence)
-        stop = i - sil + 1
-        cut = inside & ~quiet & (i - first >= most)
-        out = F.when(quiet & (stop - first >= speech), F.array_append(s["out"], piece(first, stop)))
-        out = out.when(cut, F.array_append(s["out"], piece(first, i + 1))).otherwise(s["out"])
-        return F.struct((i + 1).alias("i"), F.when(quiet | cut, -1).otherwise(first).alias("first"), F.when(inside, sil).otherwise(0).alias("sil"), out.alias("out"))
-
-    def finish(s: Column) -> Column:
-        rest = (s["first"] >= 0) & (s["i"] - s["first"] >= speech)
-        out = F.when(rest, F.array_append(s["out"], piece(s["first"], s["i"]))).otherwise(s["out"])
-        return F.when(F.size(out) == 0, F.array(piece(F.lit(0), s["i"]))).otherwise(out)
-
-    return rows.select(key, F.explode(F.aggregate("rows", start, step, finish)).alias("u")).select(key, "u.first", "u.stop")
+    rows = frames.select(key, order, F.coalesce(F.col(prob) >= limit, F.lit(False)).alias("__loud"))
+    return _fold(rows, key, order, lambda: _Speech(speech, silence, most), "first int, stop int")
+
+
+class _Prompts(Machine):
+    def __init__(self):
+        self.began, self.shown = None, deque()
+
+    def row(self, t) -> Iterable[tuple]:
+        self.began = t if self.began is None else self.began
+        while self.shown and self.shown[0] <= t - 600:
+            self.shown.popleft()
+        last = self.shown[-1] if self.shown else None
+        if len(self.shown) < 5 and not (t - self.began > 300 and last is not None and t - last < 120):
+            self.shown.append(t)
+            yield (t,)
+
+
+def prompt_budget(offers: DataFrame, key: str, at: str) -> DataFrame:
+    """The offers (whole seconds) that are shown: at most five in 600 seconds, and 120 seconds apart
+    when more than 300 seconds have passed since the first offer."""
+    return _fold(offers.select(key, F.col(at).cast("long").alias(at)).where(F.col(at).isNotNull()), key, at, _Prompts, f"`{at}` long")
 
 
 def smooth(rows: DataFrame, key: str, order: str, value: str, passes: int = 3) -> DataFrame:

@@ -33,3 +33,27 @@ def within_scatter(df: DataFrame, key: str, vector: str, ridge: float = 1e-4) ->
 
     sums = centred.mapInPandas(partial, "i int, j int, s double, n long").groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     return sums.select("i", "j", (F.col("s") / F.col("n") + F.when(F.col("i") == F.col("j"), ridge).otherwise(0.0)).alias("x"))
+
+
+def whiten(df: DataFrame, key: str, vector: str, least_rows: int = 8) -> DataFrame:
+    """``df`` with its vectors centred and scaled so that the scatter inside speakers is even in all directions.
+
+    Unchanged below two speakers of two rows and ``least_rows`` rows of such speakers.  Only the d x d scatter and the
+    mean, whose size does not grow with the rows, pass through the driver.
+    """
+    rich = df.groupBy(key).agg(F.count(F.when(F.col(vector).isNotNull(), 1)).alias("n")).where("n >= 2").agg(F.count("*").alias("speakers"), F.sum("n").alias("rows")).first()
+    if rich.speakers < 2 or rich.rows < least_rows:
+        return df
+    cells = within_scatter(df, key, vector).toPandas()
+    d = int(cells["i"].max()) + 1
+    scatter = np.zeros((d, d))
+    scatter[cells["i"], cells["j"]] = cells["x"]
+    mean = sum_vectors(df.withColumn("__all", F.lit(1)), ["__all"], vector).first()
+    values, axes = np.linalg.eigh(scatter)
+    centre, turn = np.array(mean.total) / mean.n, axes / np.sqrt(np.maximum(values, 1e-6)) @ axes.T
+
+    @F.pandas_udf("array<double>")
+    def apply(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else (turn @ (np.asarray(x, dtype=float) - centre)).tolist())
+
+    return df.withColumn(vector, apply(F.col(vector).cast("array<double>")))

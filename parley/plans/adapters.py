@@ -26,8 +26,7 @@ SEGMENTS = """segments AS (SELECT vec_id % 20 AS session_id, vec_id AS seg_ix, l
 
 
 def exemplars(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").where("vec_id % 5 <> 0")
-    return e.select(F.col("label").alias("id"), "vec_id", "embedding", (1 + (F.col("vec_id") % 50) / 10.0).alias("duration_sec"))
+    return table(spark, d, "embeddings").select(F.col("label").alias("id"), "vec_id", "embedding", (1 + (F.col("vec_id") % 50) / 10.0).alias("duration_sec"))
 
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +34,7 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
     return sums.select("id", F.concat(F.lit("Person "), F.col("id").cast("string")).alias("name"), l2_normalize(F.col("total")).alias("centroid"), "n")
 
 
-PROFILES = """ex AS (SELECT label AS id, vec_id, CAST(embedding AS DOUBLE[]) AS embedding, 1 + (vec_id % 50) / 10.0 AS duration_sec FROM embeddings WHERE vec_id % 5 <> 0),
+PROFILES = """ex AS (SELECT label AS id, vec_id, CAST(embedding AS DOUBLE[]) AS embedding, 1 + (vec_id % 50) / 10.0 AS duration_sec FROM embeddings),
 el AS (SELECT id, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM ex),
 sm AS (SELECT id, pos, sum(x) AS x, count(*) AS n FROM el GROUP BY id, pos),
 tot AS (SELECT id, list(x ORDER BY pos) AS total, max(n) AS n FROM sm GROUP BY id),

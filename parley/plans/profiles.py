@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.operators import maintenance as mt
+from parley.operators.tags import create_profiles
 from parley.plans import adapters as a
 from parley.plans.registry import query, table
 
@@ -83,11 +84,16 @@ def g5(spark, d):
     return c.where("id % 2 = 0").join(c.where("id % 3 = 0"), "id", "left_anti")
 
 
-@query("i1_create_profiles", f"WITH {a.PROFILES} SELECT id, count(*) AS confirmed_count, least(20, count(*)) AS exemplar_count, round(sum(duration_sec), 6) AS total_sec FROM ex GROUP BY id")
+@query(
+    "i1_create_profiles",
+    f"WITH {a.PROFILES}, g AS (SELECT id, count(*) AS confirmed_count, least(20, count(*)) AS exemplar_count, round(sum(duration_sec), 6) AS total_sec FROM ex GROUP BY id) "
+    "SELECT g.*, round(list_sum(list_transform(centroid, lambda x: x * x)), 6) AS size, round(centroid[64], 6) AS c63, CAST(0.0 AS DOUBLE) AS quality FROM g JOIN profiles USING (id)",
+)
 def i1(spark, d):
-    g = a.exemplars(spark, d).groupBy("id")
-    return g.agg(
-        F.count("*").alias("confirmed_count"), F.least(F.lit(20).cast("long"), F.count("*")).alias("exemplar_count"), F.round(F.sum("duration_sec"), 6).alias("total_sec")
+    p, c = create_profiles(a.exemplars(spark, d).withColumnRenamed("vec_id", "seq")), F.col("centroid")
+    size = F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x), 6)
+    return p.select(
+        "id", "confirmed_count", F.size("exemplars").cast("long").alias("exemplar_count"), F.round("total_duration_sec", 6).alias("total_sec"), size.alias("size"), F.round(c[63], 6).alias("c63"), "quality"
     )
 
 

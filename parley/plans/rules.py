@@ -12,6 +12,7 @@ from parley.operators import intervals as iv
 from parley.operators import matching as m
 from parley.operators.ordered import speech_segments
 from parley.operators.scatter import within_scatter
+from parley.operators.tags import merge_speakers
 from parley.plans import adapters as a
 from parley.plans.registry import query, table
 
@@ -241,9 +242,9 @@ def h8(spark, d):
     return e.select("event_id", r.session_name("ts").alias("session"), r.format_date(F.col("ts").cast("string")).alias("day"), r.age_text(F.floor(F.col("value") * 100)).alias("age"))
 
 
-@query("h11_palette", "SELECT vec_id, CAST((label - 1 + 8) % 8 AS INTEGER) AS colour FROM embeddings")
+@query("h11_palette", f"SELECT vec_id, {r.COLOURS}[(label - 1 + 8) % 8 + 1] AS colour FROM embeddings")
 def h11(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", r.palette_index(F.col("label")).cast("int").alias("colour"))
+    return table(spark, d, "embeddings").select("vec_id", r.palette(F.col("label")).alias("colour"))
 
 
 @query("h13_samples", "SELECT event_id, round(CAST(floor(value * 100) AS BIGINT) / 32768.0, 9) AS x, round(greatest(-1.0, least(1.0, value / 100 - 1)), 9) AS clipped, floor(value * 100) / 16000 AS seconds FROM events")
@@ -260,8 +261,9 @@ def h13(spark, d):
     "SELECT session_id, CAST(speaker AS INTEGER) AS speaker, count(*) AS n, round(sum(CAST(embedding[1] AS DOUBLE)), 6) AS x0 FROM s GROUP BY ALL",
 )
 def i11(spark, d):
-    s = a.segments(spark, d).withColumn("speaker", F.when(F.col("speaker") == 2, 5).otherwise(F.col("speaker")).cast("int"))
-    return m.sum_vectors(s, ["session_id", "speaker"], "embedding").select("session_id", "speaker", "n", R(F.col("total")[0]).alias("x0"))
+    s = a.segments(spark, d).withColumn("speaker", F.col("speaker").cast("int"))
+    merges = s.where("speaker = 2").select("session_id", F.col("speaker").alias("source"), F.lit(5).alias("target")).distinct()
+    return m.sum_vectors(merge_speakers(s, merges), ["session_id", "speaker"], "embedding").select("session_id", "speaker", "n", R(F.col("total")[0]).alias("x0"))
 
 
 @query("i5_recolor_profiles", "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'cyan' ELSE c_mktsegment END AS color FROM customer")

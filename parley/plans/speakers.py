@@ -16,10 +16,10 @@ R = lambda c: F.round(c, 6)
 
 
 def _queries(spark, d):
-    return table(spark, d, "embeddings").where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-SCORED = f"""WITH {a.PROFILES}, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 5 = 0),
+SCORED = f"""WITH {a.PROFILES}, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT query_id, id, {COS.format("e", "centroid")} AS score, name, n FROM q, profiles),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
 
@@ -67,7 +67,7 @@ def d1(spark, d):
 
 @query(
     "d3_quality_score",
-    f"""WITH ex AS (SELECT label AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 5 <> 0), p AS (
+    f"""WITH ex AS (SELECT label AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (
 SELECT a.id, avg({COS.format("a.e", "b.e")}) AS m FROM (SELECT *, row_number() OVER () AS i FROM ex) a JOIN (SELECT *, row_number() OVER () AS i FROM ex) b ON a.id = b.id AND a.i <> b.i GROUP BY a.id)
 SELECT id, round(greatest(0.0, least(1.0, m)), 6) AS quality FROM p""",
 )

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parley.functions import rules as r
+from parley.functions.signal import setting
 from parley.operators import intervals as iv
 from parley.operators import ordered
 from parley.plans import adapters as a
@@ -53,14 +54,13 @@ def f5(spark, d):
     return a.chunks(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 500").select("stream_id", "seq")
 
 
-@query(
-    "e12_restart_pressure",
-    "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 259199999999 PRECEDING AND CURRENT ROW) AS failures FROM events WHERE event_type = 'error'",
-)
+E12 = "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 259199999999 PRECEDING AND CURRENT ROW) AS failures FROM events WHERE event_type = 'error'"
+
+
+@query("e12_restart_pressure", E12)
 def e12(spark, d):
-    e = table(spark, d, "events").where("event_type = 'error'").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-(3 * 86400 * 1_000_000 - 1), 0)
-    return e.select("event_id", F.count("*").over(w).alias("failures"))
+    e = table(spark, d, "events").where("event_type = 'error'")
+    return r.failure_bursts(e, "user_id", "ts", 3 * 86400, 1).select("event_id", "failures")
 
 
 @query("f3_newest_incidents", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 50 OR event_type = 'error'")
@@ -76,10 +76,10 @@ def e14(spark, d):
     return table(spark, d, "events").select("event_id", F.when(v > 30, "hung").when(v > 15, "reset").when(v > 8, "slow").otherwise("ok").alias("tier"))
 
 
-@query("a14_read_settings", "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER), 0) AS k FROM events")
+@query("a14_read_settings", """SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') THEN CAST(json_extract(props, '$.k') AS INTEGER) ELSE 0 END AS k,
+ CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN json_extract_string(props, '$.k') ELSE 'none' END AS name FROM events""")
 def a14(spark, d):
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    return table(spark, d, "events").select("event_id", F.coalesce(k, F.lit(0)).alias("k"))
+    return table(spark, d, "events").select("event_id", setting(F.col("props"), "k", "int", 0).alias("k"), setting(F.col("props"), "k", "string", "none").alias("name"))
 
 
 @query("s11_tumbling", "SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import signal as s
 from parley.operators.exemplars import update_profiles
+from parley.operators.ordered import prompt_budget
 from parley.operators.protect import protect, unprotect
 from parley.plans import adapters as a
 from parley.plans.registry import query, table
@@ -90,9 +91,9 @@ r AS (SELECT user_id, list_reduce(list_concat([CAST([] AS BIGINT[])], list_trans
 SELECT user_id, unnest(shown) AS t FROM r""")
 def e13(spark, d):
     t = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - 1704067200) / 240)
-    g = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(t)).alias("ts"))
-    g = g.select("user_id", F.transform("ts", lambda x: x - F.col("ts")[0]).alias("ts"))
-    return g.select("user_id", F.explode(s.prompts_shown(F.col("ts"))).alias("t"))
+    first = F.min("t").over(Window.partitionBy("user_id"))
+    offers = table(spark, d, "events").select("user_id", t.alias("t")).withColumn("t", F.col("t") - first)
+    return prompt_budget(offers, "user_id", "t")
 
 
 @query("i14_protect_profiles", "SELECT vec_id, CAST(unnest(embedding[1:2]) AS DOUBLE) AS x FROM embeddings")
