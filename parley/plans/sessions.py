@@ -33,9 +33,9 @@ def s4(spark, d):
 
 @query(
     "e3_scd_segments",
-    f"""WITH {a.SEGMENTS}, w AS (SELECT session_id, (row_number() OVER o - 1) * 8000 AS at, count(*) OVER (PARTITION BY session_id) * 8000 + 16000 AS total, embedding AS e, lag(embedding) OVER o AS f
+    f"""WITH {a.SEGMENTS}, w AS (SELECT session_id, (row_number() OVER o - 1) * 8000 AS place, count(*) OVER (PARTITION BY session_id) * 8000 + 16000 AS total, embedding AS e, lag(embedding) OVER o AS f
  FROM segments WINDOW o AS (PARTITION BY session_id ORDER BY seg_ix)),
-l AS (SELECT session_id, max(total) AS total, coalesce(list(at ORDER BY at) FILTER (WHERE f IS NOT NULL AND 1 - {COS.format("f", "e")} > 0.6), []) AS pts FROM w GROUP BY session_id),
+l AS (SELECT session_id, max(total) AS total, coalesce(list(place ORDER BY place) FILTER (WHERE f IS NOT NULL AND 1 - {COS.format("f", "e")} > 0.6), []) AS pts FROM w GROUP BY session_id),
 b AS (SELECT session_id, total, CASE WHEN total < 48000 THEN [CAST(0 AS BIGINT)] ELSE list_reduce(list_concat([[CAST(0 AS BIGINT)]], list_transform(pts, lambda x: [x])),
  lambda s, x: CASE WHEN x[1] - s[-1] >= 24000 THEN list_append(s, x[1]) ELSE s END) END AS b FROM l),
 u AS (SELECT session_id, total, len(b) AS n, unnest(b) AS start FROM b), v AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY session_id ORDER BY start), total) AS stop FROM u)
