@@ -43,7 +43,7 @@ def permute(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
 
 def _records(path: str, stride: int, end_id: int, kind: str):
     """Records of each text, not yet padded: (task, row, doc_id, piece, n_tokens, record)."""
-    end = np.array([end_id], dtype="<u4")
+    end, size = np.array([end_id], dtype="<u4").tobytes(), np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -53,13 +53,13 @@ def _records(path: str, stride: int, end_id: int, kind: str):
             for first, n, _, _ in tk.text_chunks(batch.column(1)):
                 docs, pieces, sizes, records = [], [], [], []
                 for i, data in enumerate(encoder.encode(batch.column(1).slice(first, n).to_pylist())):
-                    ids = np.r_[np.frombuffer(data, "<u4"), end].astype(kind)
-                    for piece, at in enumerate(range(0, len(ids), stride)):
-                        part = ids[at : at + stride]
+                    ids = np.frombuffer(data + end, "<u4").astype(kind).tobytes()
+                    for piece, at in enumerate(range(0, len(ids), stride * size)):
+                        part = ids[at : at + stride * size]
                         docs.append(i)
                         pieces.append(piece)
-                        sizes.append(len(part))
-                        records.append(part.tobytes())
+                        sizes.append(len(part) // size)
+                        records.append(part)
                 m = len(docs)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -16,7 +16,7 @@ import unicodedata
 from array import array
 from collections.abc import Callable
 
-_MOST = 150_000
+_MOST = 300_000
 _PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
 
@@ -58,7 +58,7 @@ class WordEncoder:
         one, words = (self._tokenizer.encode(t, add_special_tokens=False).ids for t in ("ab cd\nef", "ab"))
         self._by_word = one == words + [i for w in ("cd", "ef") for i in self._tokenizer.encode(w, add_special_tokens=False).ids]
         self._known = _Words(self._word)
-        self._parts = _Words(self._part)
+        self._marks = _Words(self._part)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -73,7 +73,7 @@ class WordEncoder:
             return [array("I", self._tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts]
         out = []
         for text in texts:
-            for cache in (self._known, self._parts):
+            for cache in (self._known, self._marks):
                 if len(cache) > _MOST:
                     cache.clear()
                     cache[""] = b""
@@ -81,10 +81,14 @@ class WordEncoder:
         return out
 
     def _word(self, word: str) -> bytes:
-        plain = _PLAIN.fullmatch(word)
-        if plain and (word.isascii() or self._lowers_by_character(plain[1])):
-            return self._parts[plain[1].lower()] + self._parts[plain[2]]
-        return array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        letters, marks = word, ""
+        if not (word.isascii() and word.isalpha()):
+            plain = _PLAIN.fullmatch(word)
+            if not plain or not (word.isascii() or self._lowers_by_character(plain[1])):
+                return array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            letters, marks = plain[1], plain[2]
+        low = letters.lower()
+        return self._part(low) if low == word else self._known[low] + self._marks[marks]
 
     @staticmethod
     def _lowers_by_character(letters: str) -> bool:
