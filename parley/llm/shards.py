@@ -93,7 +93,7 @@ def write_shards(
     tokenizer = tokenizer or default_path()
     kind = "<u2" if max(WordEncoder.of(tokenizer).size, end_id + 1) <= 1 << 16 else "<u4"
     schema = "task long, row long, doc_id long, piece int, n_tokens int, record binary"
-    made = materialise(docs.mapInArrow(_records(tokenizer, stride, end_id, kind), schema), "records")
+    made = materialise(docs.mapInArrow(_records(tokenizer, stride, end_id, kind), schema), "records", "zstd")
     # One row for each task of the scan.
     sizes = made.groupBy("task").agg(F.count("*").alias("n")).orderBy("task").toPandas()
     total = int(sizes["n"].sum())
@@ -115,7 +115,7 @@ def write_shards(
     dealt = placed.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)")).sortWithinPartitions("slot")
     size = stride * np.dtype(kind).itemsize
     padded = dealt.withColumn("record", F.expr(f"rpad(record, {size}, X'00')"))
-    padded.write.option("maxRecordsPerFile", per_shard).parquet(path)
+    padded.write.option("maxRecordsPerFile", per_shard).option("compression", "zstd").parquet(path)
     discard(made)
     return total
 
