@@ -78,7 +78,28 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs.withColumn("held_out", held_out()))
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.codes import code_digest
+
+    return code_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.alignment import alignment_digest
+
+    return alignment_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.lines import line_digest
+
+    return line_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op11_vector_code_compression": op11_vector_code_compression,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_line_dedup": op13_line_dedup,
     "op6_html_extraction": op6_html_extraction,
     "op7_token_shards": op7_token_shards,
     "op10_lm_scoring": op10_lm_scoring,
@@ -97,4 +118,20 @@ def _url_sql() -> str:
     return SQL
 
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": _url_sql()}
+def _code_sql() -> str:
+    from parley.llm.codes import SQL
+
+    return SQL
+
+
+def _line_sql() -> str:
+    from parley.llm.lines import SQL
+
+    return SQL
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": _url_sql(),
+    "op11_vector_code_compression": _code_sql(),
+    "op13_line_dedup": _line_sql(),
+}
