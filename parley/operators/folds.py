@@ -12,7 +12,18 @@ from pyspark.sql import DataFrame
 
 
 class Machine:
-    """State of one key: ``row`` takes the columns of a row, ``end`` closes the key; both give output rows."""
+    """State of one key: ``row`` takes the columns of a row, ``end`` closes the key; both give output rows.
+
+    A machine that streams names the columns of its state; ``save`` gives them and ``load`` takes them back.
+    """
+
+    STATE = ""
+
+    def save(self) -> tuple:
+        return ()
+
+    def load(self, *state) -> None:
+        pass
 
     def row(self, *values) -> Iterable[tuple]:
         return ()

@@ -10,7 +10,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +101,8 @@ class Session(Machine):
     def regroup(self) -> None:
         """Speakers whose segments fall into one cluster become one, the one with the most segments."""
         ids = list(self.who)
-        held = [(i, serial, x) for i in ids for serial, x in self.who[i].held]
+        # In the order of time, whoever spoke: the smoothing of the labels is over neighbours.
+        held = sorted(((i, serial, x) for i in ids for serial, x in self.who[i].held), key=lambda h: h[1])
         if len(held) < 4 or len(ids) < 2:
             return
         labels = regroup.spectral_labels(np.stack([x for *_, x in held]), len(ids), self.lim.cap)
@@ -187,6 +187,17 @@ class _One(Session):
         yield seg_ix, self.last, what
 
 
+class Live(_One):
+    """Rows as they are decided, and at the end the number of segments of each speaker."""
+
+    def row(self, seg_ix, embedding, seconds, rms) -> Iterable[tuple]:
+        for seg_ix, who, what in super().row(seg_ix, embedding, seconds, rms):
+            yield seg_ix, who, what, None
+
+    def end(self) -> Iterable[tuple]:
+        return [(None, who, "closed", s.n) for who, s in self.who.items()]
+
+
 def identify(segments: DataFrame, limits: Limits | None = None) -> DataFrame:
     """speaker_id (from 1) and outcome of each utterance.
 
@@ -203,9 +214,9 @@ def identify(segments: DataFrame, limits: Limits | None = None) -> DataFrame:
 class _Several(Session):
     """Rows of an utterance come together; the utterance is decided when the next one begins."""
 
-    def __init__(self, limits: Limits, frame: int):
+    def __init__(self, limits: Limits, frame: int, rate: int):
         super().__init__(limits)
-        self.frame, self.at, self.rows = frame, None, []
+        self.frame, self.rate, self.at, self.rows = frame, rate, None, []
 
     def row(self, seg_ix, local, embedding, first, last, seconds, rms) -> Iterable[tuple]:
         done = self.end() if seg_ix != self.at else ()
@@ -215,35 +226,49 @@ class _Several(Session):
 
     def end(self) -> list[tuple]:
         rows, self.rows = self.rows, []
-        heard = [r for r in rows if r[1] is not None]
         if not rows:
             return []
-        if len(heard) < 2:
-            local, x, first, last, seconds, rms = (heard or rows)[0]
+        seconds = rows[0][4]
+        samples = int(round(seconds * self.rate)) if seconds == seconds and seconds is not None else 0
+        heard = [r for r in rows if r[1] is not None]
+        if not heard or not seconds >= self.lim.min_seconds:
+            local, x, *_, rms = (heard or rows)[0]
             what = self.one(x, seconds, rms)
-            ids, heard = [self.last], [(local, x, first, last)]
-        else:
-            what, ids = "several", self.several([np.asarray(r[1], dtype=float) for r in heard])
-        return [(self.at, r[0], i, int(r[2]) * self.frame, (int(r[3]) + 1) * self.frame, what) for r, i in zip(heard, ids) if i is not None]
+            return [(self.at, local, self.last, 0, samples, what)]
+        ids = self.several([np.asarray(r[1], dtype=float) for r in heard])
+        cut = lambda f: min(f * self.frame, samples)
+        return [(self.at, r[0], i, cut(int(r[2])), cut(int(r[3]) + 1), "several") for r, i in zip(heard, ids) if i is not None]
 
 
-def identify_multi(turns: DataFrame, limits: Limits | None = None, frame: int = 270) -> DataFrame:
-    """The speakers of utterances in which several speak, each with its own span of samples.
+def identify_multi(turns: DataFrame, limits: Limits | None = None, frame: int = 270, rate: int = 16000) -> DataFrame:
+    """The speakers of utterances in which several may speak, each with its own span of samples.
 
     turns: session_id, seg_ix, local_ix, embedding, first_frame, last_frame, duration_sec, rms, one row for each
-    active local speaker.  Each keeps its own embedding as segment.  An utterance with one is decided as by
-    ``identify``.  Returns session_id, seg_ix, local_ix, speaker_id, start, stop, outcome.
+    active local speaker.  Each, also a single one, takes the best free speaker of the session or opens one,
+    and keeps its own embedding as segment; spans end with the audio.  An utterance of which nobody has an embedding,
+    or that is too short, is one span of one speaker, as by ``identify``.
+    Returns session_id, seg_ix, local_ix, speaker_id, start, stop, outcome.
     """
     lim, kind = limits or Limits(), dict(turns.dtypes)
     rows = turns.select("session_id", "seg_ix", "local_ix", "embedding", "first_frame", "last_frame", "duration_sec", "rms")
     schema = f"seg_ix {kind['seg_ix']}, local_ix {kind['local_ix']}, speaker_id int, start long, stop long, outcome string"
-    return fold(rows, "session_id", ["seg_ix", "local_ix"], lambda: _Several(lim, frame), schema)
+    return fold(rows, "session_id", ["seg_ix", "local_ix"], lambda: _Several(lim, frame, rate), schema)
+
 
+class Stable(Machine):
+    """E5: the sum of a speaker at each segment at which it has settled."""
+
+    STATE = "total array<double>, n int"
 
-class _Stable(Machine):
     def __init__(self):
         self.total, self.n = None, 0
 
+    def save(self) -> tuple:
+        return None if self.total is None else self.total.tolist(), self.n
+
+    def load(self, total, n) -> None:
+        self.total, self.n = None if total is None else np.asarray(total, dtype=float), n
+
     def row(self, seg_ix, embedding) -> Iterable[tuple]:
         x = np.asarray(embedding, dtype=float)
         before, self.total, self.n = self.total, x if self.total is None else self.total + x, self.n + 1
@@ -257,20 +282,73 @@ def stable_centroids(segments: DataFrame) -> DataFrame:
     segments: session_id, speaker, seg_ix, embedding.  Returns who (struct of session_id, speaker), seg_ix, centroid.
     """
     rows = segments.where("embedding is not null").select(F.to_json(F.struct("session_id", "speaker")).alias("who"), "seg_ix", "embedding")
-    found = fold(rows, "who", ["seg_ix"], _Stable, f"seg_ix {dict(segments.dtypes)['seg_ix']}, centroid array<double>")
+    found = fold(rows, "who", ["seg_ix"], Stable, f"seg_ix {dict(segments.dtypes)['seg_ix']}, centroid array<double>")
     kind = dict(segments.dtypes)
     return found.withColumn("who", F.from_json("who", f"session_id {kind['session_id']}, speaker {kind['speaker']}"))
 
 
+class _Viterbi(Machine):
+    """E8 over a stream of labels: what all survivors agree on is given out, so only the open end is held."""
+
+    def __init__(self, stay: float, hit: float, every: int = 64):
+        self.stay, self.hit, self.every, self.names, self.open, self.check = stay, hit, every, [], [], every
+
+    def row(self, part, at, label, names) -> Iterable[tuple]:
+        if not part:  # the first row has the labels of the key
+            self.names = sorted(names)
+            k = len(self.names)
+            self.place = {name: i for i, name in enumerate(self.names)}
+            if k > 1:
+                same = np.eye(k, dtype=bool)
+                self.move, self.emit = np.log(np.where(same, self.stay, (1 - self.stay) / (k - 1))), np.log(np.where(same, self.hit, 1 - self.hit))
+                self.score = None
+            return ()
+        if len(self.names) < 2:
+            return ((at, label),)
+        seen = self.place[label]
+        if self.score is None:
+            self.score, back = self.emit[seen] - np.log(len(self.names)), None
+        else:
+            ways = self.score[:, None] + self.move
+            back = ways.argmax(axis=0)
+            self.score = ways.max(axis=0) + self.emit[seen]
+        self.open.append((at, back))
+        return self.agreed() if len(self.open) >= self.check else ()
+
+    def agreed(self) -> list[tuple]:
+        """Walk the best paths to all labels back to where they are one; rows up to there are decided."""
+        state, i = np.arange(len(self.names)), len(self.open) - 1
+        while i > 0 and (state != state[0]).any():
+            state, i = self.open[i][1][state], i - 1
+        out = self.give(i, int(state[0])) if (state == state[0]).all() else []
+        self.check = len(self.open) + self.every if out else 2 * len(self.open)
+        return out
+
+    def give(self, i: int, state: int) -> list[tuple]:
+        """Rows up to the i-th, which is in ``state``; later rows stay open."""
+        out = []
+        for j in range(i, -1, -1):
+            at, back = self.open[j]
+            out.append((at, self.names[state]))
+            state = int(back[state]) if back is not None else state
+        self.open = self.open[i + 1 :]
+        return out[::-1]
+
+    def end(self) -> Iterable[tuple]:
+        return self.give(len(self.open) - 1, int(self.score.argmax())) if self.open else ()
+
+
 def viterbi_smooth(labels: DataFrame, key: str, order: str, label: str, stay: float = 0.99, hit: float = 0.9) -> DataFrame:
     """The likeliest sequence of labels of each session when speakers seldom change.
 
-    Sequences of fewer than two rows or labels stay; of equally likely labels the first in order is taken.
+    Sequences of fewer than two rows or labels stay; of equally likely labels the first in order is taken.  A task
+    holds the rows of one session of which the best labels still differ by how it goes on.  Rows without a label are
+    left out.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        names, seen = np.unique(rows[label].to_numpy(), return_inverse=True)
-        return rows.assign(**{label: names[regroup.viterbi(seen, len(names), stay, hit)]})
-
-    return labels.select(key, order, label).groupBy(key).applyInPandas(run, labels.select(key, order, label).schema)
+    kind = dict(labels.dtypes)
+    rows = labels.where(F.col(label).isNotNull())
+    heads = rows.groupBy(key).agg(F.collect_set(label).alias("names"), F.min(order).alias("at"), F.min(label).alias("label")).select(
+        key, F.lit(0).alias("part"), "at", "label", "names"
+    )
+    each = rows.select(key, F.lit(1).alias("part"), F.col(order).alias("at"), F.col(label).alias("label"), F.lit(None).cast(f"array<{kind[label]}>").alias("names"))
+    return fold(heads.unionByName(each), key, ["part", "at"], lambda: _Viterbi(stay, hit), f"`{order}` {kind[order]}, `{label}` {kind[label]}")

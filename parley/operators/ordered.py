@@ -19,26 +19,46 @@ def _fold(rows: DataFrame, key: str, order: str, machine, schema: str) -> DataFr
     return fold(rows, key, [order, *[c for c in rows.columns if c not in (key, order)]], machine, schema)
 
 
-class _Recent(Machine):
+class Recent(Machine):
+    """Rows whose form is not among the last ``n`` accepted ones; columns after the form pass through."""
+
+    STATE = "forms array<string>"
+
     def __init__(self, n: int):
         self.forms = deque(maxlen=n)
 
-    def row(self, at, form) -> Iterable[tuple]:
+    def row(self, at, form, *others) -> Iterable[tuple]:
         if form not in self.forms:
             self.forms.append(form)
-            yield (at,)
+            yield at, *others
+
+    def save(self) -> tuple:
+        return (list(self.forms),)
+
+    def load(self, forms) -> None:
+        self.forms.extend(forms)
 
 
 def dedupe_recent(lines: DataFrame, key: str, order: str, text: str, n: int = 5) -> DataFrame:
     """Rows whose normal form is not among the last ``n`` accepted ones; a repeat does not refresh its slot."""
     rows = lines.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, order, normalize_text(F.col(text)).alias("__form"))
-    return _fold(rows, key, order, lambda: _Recent(n), f"`{order}` {dict(lines.dtypes)[order]}")
+    return _fold(rows, key, order, lambda: Recent(n), f"`{order}` {dict(lines.dtypes)[order]}")
+
 
+class Endpoint(Machine):
+    """See ``endpoint``."""
 
-class _Endpoint(Machine):
-    def __init__(self, chunk_sec: float):
+    STATE = "first long, n int, silent int"
+
+    def __init__(self, chunk_sec: float = 0.064):
         self.chunk_sec, self.first, self.n, self.silent = chunk_sec, None, 0, 0
 
+    def save(self) -> tuple:
+        return self.first, self.n, self.silent
+
+    def load(self, first, n, silent) -> None:
+        self.first, self.n, self.silent = first, n, silent
+
     def row(self, at, speech) -> Iterable[tuple]:
         self.silent = 0 if speech else self.silent + 1
         if self.n == 0 and not speech:
@@ -56,7 +76,7 @@ def endpoint(chunks: DataFrame, key: str = "stream_id", order: str = "seq", chun
     An utterance ends after over .3 s of silence once it is over 1 s long, or at 3 s.
     """
     rows = chunks.select(key, order, F.coalesce("is_speech", F.lit(False)).alias("is_speech"))
-    return _fold(rows, key, order, lambda: _Endpoint(chunk_sec), "first long, last long, n_chunks int")
+    return _fold(rows, key, order, lambda: Endpoint(chunk_sec), "first long, last long, n_chunks int")
 
 
 class _Spaced(Machine):
@@ -140,10 +160,20 @@ def speech_segments(frames: DataFrame, key: str, order: str, prob: str, limit: f
     return _fold(rows, key, order, lambda: _Speech(speech, silence, most), "first int, stop int")
 
 
-class _Prompts(Machine):
+class Prompts(Machine):
+    """See ``prompt_budget``."""
+
+    STATE = "began long, shown array<long>"
+
     def __init__(self):
         self.began, self.shown = None, deque()
 
+    def save(self) -> tuple:
+        return self.began, list(self.shown)
+
+    def load(self, began, shown) -> None:
+        self.began, self.shown = began, deque(shown)
+
     def row(self, t) -> Iterable[tuple]:
         self.began = t if self.began is None else self.began
         while self.shown and self.shown[0] <= t - 600:
@@ -157,7 +187,29 @@ class _Prompts(Machine):
 def prompt_budget(offers: DataFrame, key: str, at: str) -> DataFrame:
     """The offers (whole seconds) that are shown: at most five in 600 seconds, and 120 seconds apart
     when more than 300 seconds have passed since the first offer."""
-    return _fold(offers.select(key, F.col(at).cast("long").alias(at)).where(F.col(at).isNotNull()), key, at, _Prompts, f"`{at}` long")
+    return _fold(offers.select(key, F.col(at).cast("long").alias(at)).where(F.col(at).isNotNull()), key, at, Prompts, f"`{at}` long")
+
+
+class Failures(Machine):
+    """Whether the failures of the last ``seconds``, this one included, are ``least`` or more."""
+
+    STATE = "recent array<long>"
+
+    def __init__(self, seconds: int = 60, least: int = 3):
+        self.seconds, self.least, self.recent = seconds, least, deque()
+
+    def row(self, t) -> Iterable[tuple]:
+        self.recent.append(t)
+        while self.recent[0] <= t - self.seconds:
+            self.recent.popleft()
+        if len(self.recent) >= self.least:
+            yield t, len(self.recent)
+
+    def save(self) -> tuple:
+        return (list(self.recent),)
+
+    def load(self, recent) -> None:
+        self.recent = deque(recent)
 
 
 def smooth(rows: DataFrame, key: str, order: str, value: str, passes: int = 3) -> DataFrame:

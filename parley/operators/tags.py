@@ -70,15 +70,25 @@ def match_once(segments: DataFrame, profiles: DataFrame, high=None, medium: floa
 
     segments: session_id, speaker, seg_ix, embedding. profiles: id, name, centroid, n.  A speaker without a match is
     tried again with each further segment; later matches change nothing.  A medium match is only an offer: its
-    name ends in a question mark and it maps no profile.
+    name ends in a question mark and it maps no profile.  A settled speaker that never finds one is tier ``new``.
     """
     tried = stable_centroids(segments).select(F.struct("who", "seg_ix").alias("query_id"), F.col("centroid").alias("embedding"))
-    found = classify_match(tried, profiles, high, medium, margin).where("tier <> 'low'")
-    first = found.groupBy(F.col("query_id.who").alias("who")).agg(F.min_by(F.struct("query_id.seg_ix", "tier", "profile_id", "name", "score"), "query_id.seg_ix").alias("m"))
-    sure = F.col("m.tier") == "high"
+    return as_match(classify_match(tried, profiles, high, medium, margin), new=True)
+
+
+def as_match(classified: DataFrame, new: bool = False) -> DataFrame:
+    """The first match of each speaker: classified has query_id as struct of who (session_id, speaker) and seg_ix.
+
+    With ``new``, a speaker without a match is tier ``new`` at the first segment that was tried.
+    """
+    low = F.col("tier") == "low"
+    found = classified if new else classified.where(~low)
+    tried = F.struct("query_id.seg_ix", F.when(low, "new").otherwise(F.col("tier")).alias("tier"), "profile_id", "name", "score")
+    first = found.groupBy(F.col("query_id.who").alias("who")).agg(F.min_by(tried, F.struct(low.alias("low"), F.col("query_id.seg_ix").alias("at"))).alias("m"))
+    sure, offer = F.col("m.tier") == "high", F.col("m.tier") == "medium"
     return first.select(
         "who.session_id", "who.speaker", "m.seg_ix", "m.tier", F.when(sure, F.col("m.profile_id")).alias("profile_id"),
-        F.when(sure, F.col("m.name")).otherwise(F.concat("m.name", F.lit("?"))).alias("name"), F.col("m.score").alias("score"),
+        F.when(offer, F.concat("m.name", F.lit("?"))).otherwise(F.col("m.name")).alias("name"), F.col("m.score").alias("score"),
     )
 
 

@@ -59,7 +59,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY session_id, speaker, seg_ix ORD
 p2 AS (SELECT session_id, speaker, seg_ix, max(id) FILTER (rank = 1) AS id, max(score) FILTER (rank = 1) AS score, max(score) FILTER (rank = 2) AS second, max(name) FILTER (rank = 1) AS name, max(n) FILTER (rank = 1) AS n
  FROM rk WHERE rank <= 2 GROUP BY ALL),
 t2 AS (SELECT *, CASE WHEN score >= 0.25 + 0.15 * exp(-n / 10.0) AND NOT coalesce(score - second < 0.05, false) THEN 'high' WHEN score >= 0.15 THEN 'medium' ELSE 'low' END AS tier FROM p2),
-mt AS (SELECT * FROM t2 WHERE tier <> 'low' QUALIFY row_number() OVER (PARTITION BY session_id, speaker ORDER BY seg_ix) = 1)"""
+mt AS (SELECT * REPLACE (CASE WHEN tier = 'low' THEN 'new' ELSE tier END AS tier) FROM t2 QUALIFY row_number() OVER (PARTITION BY session_id, speaker ORDER BY tier = 'low', seg_ix) = 1)"""
 
 
 def _matched(spark, d):
@@ -68,7 +68,7 @@ def _matched(spark, d):
 
 @query(
     "c16_match_once",
-    f"{MATCHED} SELECT session_id, speaker, seg_ix, tier, CASE WHEN tier = 'high' THEN id END AS profile_id, CASE WHEN tier = 'high' THEN name ELSE name || '?' END AS name, round(score, 6) AS score FROM mt",
+    f"{MATCHED} SELECT session_id, speaker, seg_ix, tier, CASE WHEN tier = 'high' THEN id END AS profile_id, CASE tier WHEN 'high' THEN name WHEN 'medium' THEN name || '?' ELSE '' END AS name, round(score, 6) AS score FROM mt",
 )
 def c16(spark, d):
     return _matched(spark, d).withColumn("score", R("score"))

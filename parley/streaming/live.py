@@ -1,121 +1,48 @@
-"""Streaming forms of the ordered folds, with the state of one key at a time."""
+"""Streaming forms of the ordered folds, with the state of one key at a time.
 
-from __future__ import annotations
+Each takes a stream.  With ``time``, a column that has a watermark, rows are put in order first and late ones are
+dropped (see ``events``); ``idle`` seconds of event time close a key.  Without it rows are taken as they
+arrive, and ``idle_ms`` of processing time drop a key's state.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-CHUNK_SEC = 0.064
-
-
-def _hold(state: GroupState, value: tuple, idle_ms: int | None) -> None:
-    state.update(value)
-    if idle_ms:
-        state.setTimeoutDuration(idle_ms)
 
+from parley.functions.text import normalize_text
+from parley.operators.ordered import Endpoint, Failures, Prompts, Recent
+from parley.streaming.events import fold_arrivals, fold_events
 
-def _timeout(idle_ms: int | None) -> str:
-    """The state of a key that is still for ``idle_ms`` is dropped; should the key come back, it starts anew.
 
-    For streams that run on: a run over what is available only never ends while such a clock runs.
-    """
-    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+def _fold(rows: DataFrame, key: str, order: str, make, schema: str, time: str | None, idle: float | None, idle_ms: int | None) -> DataFrame:
+    return fold_events(rows, key, [order], time, make, schema, idle) if time else fold_arrivals(rows, key, [order], make, schema, idle_ms)
 
 
-def endpoint_stream(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """(stream_id, first, last, n_chunks) of a stream of (stream_id, seq, is_speech).
+def endpoint_stream(chunks: DataFrame, idle_ms: int | None = None, time: str | None = None, idle: float | None = None) -> DataFrame:
+    """(stream_id, first, last, n_chunks) of a stream of (stream_id, seq, is_speech), by the rule of ``ordered.endpoint``."""
+    rows = chunks.select("stream_id", "seq", F.coalesce("is_speech", F.lit(False)).alias("is_speech"), *([time] if time else []))
+    return _fold(rows, "stream_id", "seq", Endpoint, "first long, last long, n_chunks int", time, idle, idle_ms)
 
-    Rows of one micro-batch are sorted by seq; a row of an earlier batch is never revised.
-    """
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        first, n, silent, had = state.get if state.exists else (-1, 0, 0, False)
-        out = []
-        for seq, speech in pd.concat(list(frames)).sort_values("seq")[["seq", "is_speech"]].itertuples(index=False):
-            had = had or bool(speech)
-            silent = 0 if speech else silent + 1
-            if had:
-                first, n = (int(seq) if n == 0 else first), n + 1
-            if (had and silent * CHUNK_SEC > 0.3 and n * CHUNK_SEC > 1.0) or n * CHUNK_SEC >= 3.0:
-                out.append((key[0], first, int(seq), n))
-                first, n, silent, had = -1, 0, 0, False
-        _hold(state, (first, n, silent, had), idle_ms)
-        yield pd.DataFrame(out, columns=["stream_id", "first", "last", "n_chunks"])
+def dedupe_stream(lines: DataFrame, n: int = 5, idle_ms: int | None = None, time: str | None = None, idle: float | None = None) -> DataFrame:
+    """Rows of (session_id, seq, text) whose normal form is not among the last ``n`` accepted ones."""
+    rows = lines.where(F.col("text").isNotNull() & (F.col("text") != ""))
+    rows = rows.select("session_id", "seq", normalize_text(F.col("text")).alias("form"), "text", *([time] if time else []))
+    return _fold(rows, "session_id", "seq", lambda: Recent(n), f"seq {dict(lines.dtypes)['seq']}, text string", time, idle, idle_ms)
 
-    kind = dict(chunks.dtypes)["stream_id"]
-    return chunks.select("stream_id", "seq", "is_speech").groupBy("stream_id").applyInPandasWithState(
-        run, f"stream_id {kind}, first long, last long, n_chunks int", "first long, n int, silent int, had boolean", "append", _timeout(idle_ms)
-    )
 
+def prompt_stream(offers: DataFrame, key: str = "session_id", idle_ms: int | None = None, time: str | None = None, idle: float | None = None) -> DataFrame:
+    """The offers (key, t in whole seconds) that are shown, by the rule of ``ordered.prompt_budget``."""
+    rows = offers.select(key, F.col("t").cast("long").alias("t"), *([time] if time else []))
+    return _fold(rows, key, "t", Prompts, "t long", time, idle, idle_ms)
 
-def dedupe_stream(lines: DataFrame, n: int = 5, idle_ms: int | None = None) -> DataFrame:
-    """Rows of (session_id, seq, text) whose normal form is not among the last ``n`` accepted ones."""
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent, out = list(state.get[0]) if state.exists else [], []
-        for seq, text in pd.concat(list(frames)).sort_values("seq")[["seq", "text"]].itertuples(index=False):
-            form = text.lower().strip().rstrip(".") if text else ""
-            if text and form not in recent:
-                recent = [*recent, form][-n:]
-                out.append((key[0], seq, text))
-        _hold(state, (recent,), idle_ms)
-        yield pd.DataFrame(out, columns=["session_id", "seq", "text"])
-
-    kind = dict(lines.dtypes)
-    schema = f"session_id {kind['session_id']}, seq {kind['seq']}, text string"
-    return lines.select("session_id", "seq", "text").groupBy("session_id").applyInPandasWithState(
-        run, schema, "recent array<string>", "append", _timeout(idle_ms)
-    )
-
-
-def _times(rows: DataFrame, key: str, judge, held: str, output: str, idle_ms: int | None) -> DataFrame:
-    """A state of recent times (whole seconds, column ``t``) for each key; ``judge(base, recent, t)`` gives (base, recent, out)."""
-
-    def run(own, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        base, recent = state.get if state.exists else (None, [])
-        out = []
-        for t in sorted(pd.concat(list(frames))["t"]):
-            base, recent, said = judge(base, list(recent), int(t))
-            out.extend((own[0], *x) for x in said)
-        _hold(state, (base, recent), idle_ms)
-        yield pd.DataFrame(out, columns=[key, *[c.split()[0] for c in output.split(", ")]])
-
-    kind = dict(rows.dtypes)[key]
-    return rows.select(key, "t").groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {output}", held, "append", _timeout(idle_ms))
-
-
-def prompt_stream(offers: DataFrame, key: str = "session_id", idle_ms: int | None = None) -> DataFrame:
-    """The offers (key, t) that are shown, by the rule of ``ordered.prompt_budget``."""
-
-    def judge(began, shown, t):
-        began, shown = t if began is None else began, [x for x in shown if x > t - 600]
-        free = len(shown) < 5 and not (t - began > 300 and shown and t - shown[-1] < 120)
-        return began, [*shown, t] if free else shown, [(t,)] if free else []
-
-    return _times(offers, key, judge, "began long, shown array<long>", "t long", idle_ms)
-
-
-def failure_stream(failures: DataFrame, key: str, seconds: int = 60, least: int = 3, idle_ms: int | None = None) -> DataFrame:
+def failure_stream(failures: DataFrame, key: str, seconds: int = 60, least: int = 3, idle_ms: int | None = None, time: str | None = None, idle: float | None = None) -> DataFrame:
     """(key, t, failures) whenever the failures of the last ``seconds`` are ``least`` or more."""
-
-    def judge(base, recent, t):
-        recent = [*[x for x in recent if x > t - seconds], t]
-        return base, recent, [(t, len(recent))] if len(recent) >= least else []
-
-    return _times(failures, key, judge, "base long, recent array<long>", "t long, failures int", idle_ms)
+    rows = failures.select(key, F.col("t").cast("long").alias("t"), *([time] if time else []))
+    return _fold(rows, key, "t", lambda: Failures(seconds, least), "t long, failures int", time, idle, idle_ms)
 
 
 def append_live(lines: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:

@@ -31,8 +31,12 @@ def test_identify_multi(spark):
     got = {(r.session_id, r.seg_ix, r.local_ix): (r.speaker_id, r.start, r.stop, r.outcome) for r in identify_multi(spark.createDataFrame(rows, TURNS)).collect()}
     assert got == {
         (1, 0, 0): (1, 0, 2700, "several"), (1, 0, 1): (2, 1350, 5400, "several"), (1, 1, 0): (2, 0, 2700, "several"),
-        (1, 1, 1): (3, 540, 1350, "several"), (1, 2, 0): (3, 0, 270, "match"), (2, 0, 0): (1, 0, 270, "short"),
+        (1, 1, 1): (3, 540, 1350, "several"), (1, 2, 0): (3, 0, 270, "several"), (2, 0, 0): (1, 0, 48000, "short"),
     }
+    # A single poor voice opens a speaker too, its span ends with the audio, and a short utterance takes the last speaker that one alone was given.
+    one = [(3, 0, 0, axis(0), 0, 9, 2.0, 0.1), (3, 1, 0, axis(1), 100, 900, 2.0, 0.0005), (3, 2, 0, axis(5), 0, 3, 1.0, 0.1), (3, 2, 1, axis(6), 0, 3, 1.0, 0.1)]
+    got = [(r.seg_ix, r.local_ix, r.speaker_id, r.start, r.stop, r.outcome) for r in identify_multi(spark.createDataFrame(one, TURNS)).orderBy("seg_ix").collect()]
+    assert got == [(0, 0, 1, 0, 2700, "several"), (1, 0, 2, 27000, 32000, "several"), (2, 0, 1, 0, 16000, "short")]
     many = [(1, 0, i, axis(i), 0, 1, 3.0, 0.1) for i in range(10)]
     ids = [r.speaker_id for r in identify_multi(spark.createDataFrame(many, TURNS)).collect()]
     assert sorted(ids) == list(range(1, 9)), "two local speakers find no free id"
