@@ -44,6 +44,28 @@ def c2(spark, d):
     return found.withColumn("score", R("score"))
 
 
+@query(
+    "c2_multi_centroid",
+    f"""WITH {a.PROFILES}, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sx AS (SELECT id, vec_id % 3 AS part, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM ex),
+sc AS (SELECT id, part, list(x ORDER BY pos) AS c FROM (SELECT id, part, pos, sum(x) AS x FROM sx GROUP BY id, part, pos) GROUP BY id, part),
+s AS (SELECT query_id, id, {COS.format("e", "centroid")} AS score, name, n FROM q, profiles),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s),
+p AS (SELECT query_id, max(id) FILTER (rank = 1) AS id, max(score) FILTER (rank = 1) AS score, max(score) FILTER (rank = 2) AS second, max(name) FILTER (rank = 1) AS name, max(n) FILTER (rank = 1) AS n
+ FROM r WHERE rank <= 2 GROUP BY query_id),
+b AS (SELECT p.query_id, max({COS.format("e", "c")}) AS sub FROM p JOIN q ON p.query_id = q.query_id JOIN sc ON p.id = sc.id GROUP BY p.query_id),
+m AS (SELECT p.* REPLACE (CASE WHEN n >= 15 THEN greatest(score, sub) ELSE score END AS score) FROM p JOIN b ON p.query_id = b.query_id),
+t AS (SELECT *, coalesce(score - second < 0.05, false) AS close, CASE WHEN score >= 0.25 + 0.15 * exp(-n / 10.0) AND NOT coalesce(score - second < 0.05, false) THEN 'high'
+ WHEN score >= 0.15 THEN 'medium' ELSE 'low' END AS tier FROM m)
+SELECT query_id, tier, CASE WHEN tier <> 'low' THEN id END AS profile_id, round(score, 6) AS score, close AND tier <> 'low' AS ambiguous FROM t""",
+)
+def c2_multi(spark, d):
+    part = a.exemplars(spark, d).withColumn("part", F.col("vec_id") % 3)
+    subs = m.sum_vectors(part, ["id", "part"], "embedding").groupBy("id").agg(F.collect_list("total").alias("sub_centroids"))
+    found = m.classify_match(_queries(spark, d), a.profiles(spark, d).join(subs, "id"), high=0.25, medium=0.15)
+    return found.select("query_id", "tier", "profile_id", R("score").alias("score"), "ambiguous")
+
+
 @query("a5_load_profiles", f"WITH {a.PROFILES} SELECT id, name, n, round(centroid[1], 6) AS c0, round(centroid[64], 6) AS c63 FROM profiles")
 def a5(spark, d):
     c = F.col("centroid")
