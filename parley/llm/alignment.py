@@ -28,27 +28,10 @@ from parley.llm.tokens import _byte_alphabet
 CHUNK = 1 << 18
 #: Id pairs that are handed out with their counts, the most frequent ones; the others meet theirs in a join.
 HANDED = 1 << 20
-_CACHED = 200_000
+_CACHED = 300_000
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-class _Units(dict):
-    """Encoded units of text: token ids as bytes of unsigned 32-bit numbers."""
-
-    def __init__(self, side: Side):
-        super().__init__()
-        self._side, self.wrong = side, set()
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) > _CACHED:
-            self.clear()
-        ids = self._side.unit(unit)
-        if b"".join(map(self._side.token.__getitem__, ids)) != unit.encode():
-            self.wrong.add(unit)
-        found = self[unit] = array("I", ids).tobytes()
-        return found
-
-
 class Side:
     """One tokenizer: ``token`` has the bytes of each id, ``size`` their lengths."""
 
@@ -58,30 +41,35 @@ class Side:
 
     def __init__(self):
         self.size = np.array([len(t) for t in self.token], dtype=np.int64)
-        self._units = _Units(self)
+        #: Ids of each unit met so far, as bytes of unsigned 32-bit numbers.
+        self._known: dict[str, bytes] = {}
 
-    def unit(self, text: str) -> list[int]:
-        """Ids of a unit."""
+    def units(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each unit."""
         raise NotImplementedError
 
-    def encode(self, text: str | None) -> np.ndarray | None:
-        """Ids of blank + text; None if there are none or their bytes are not those of blank + text."""
-        if not text:
-            return None
-        units = self.pattern.findall(" " + text)
-        ids = b"".join(map(self._units.__getitem__, units))
-        if self._units.wrong:
-            bad = not self._units.wrong.isdisjoint(units)
-            if len(self._units.wrong) > _CACHED:
-                self._units.wrong.clear()
-                self._units.clear()
-            if bad:
-                return None
-        return np.frombuffer(ids, dtype=np.uint32)
+    def encode(self, cut: list[list[str]], fresh: set[str]) -> list[np.ndarray]:
+        """Ids of texts given as their units; ``fresh`` are the different units of all."""
+        if len(self._known) > _CACHED:
+            self._known.clear()
+        new = [u for u in fresh if u not in self._known]
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
+            self._known.update(zip(part, [array("I", ids).tobytes() for ids in self.units(part)], strict=True))
+        known = self._known.__getitem__
+        return [np.frombuffer(b"".join(map(known, own)), dtype=np.uint32) for own in cut]
+
+    def spells(self, ids: np.ndarray, text: bytes) -> bool:
+        """Whether the bytes of the tokens are those of the text."""
+        return b"".join(map(self.token.__getitem__, ids.tolist())) == text
 
 
 class ByteSide(Side):
-    """Byte-level BPE that splits texts at blanks before it merges; a single blank goes with the word after it."""
+    """Byte-level BPE that splits texts at blanks before it merges; a single blank goes with the word after it.
+
+    Where ids are the order of merges and texts are split by the usual pattern, the same vocabulary is run by
+    tiktoken, which is faster; otherwise by tokenizers.
+    """
 
     pattern = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 
@@ -93,13 +81,41 @@ class ByteSide(Side):
         self._tokenizer.encode_special_tokens = True
         letter = {c: b for b, c in _byte_alphabet().items()}
         own = self._tokenizer.get_vocab(with_added_tokens=False)
-        self.token = [b""] * (max(own.values(), default=-1) + 1)
+        marks = self._tokenizer.get_added_tokens_decoder()
+        self.token, ranks = [b""] * (max(own.values(), default=-1) + 1), {}
         for written, i in own.items():
             self.token[i] = bytes(letter[c] for c in written) if set(written) <= letter.keys() else written.encode()
+            if i not in marks:
+                ranks[self.token[i]] = i
+        self._ranked = self._by_rank(path, ranks, letter)
         super().__init__()
 
-    def unit(self, text: str) -> list[int]:
-        return self._tokenizer.encode(text, add_special_tokens=False).ids
+    @staticmethod
+    def _by_rank(path: str, ranks: dict[bytes, int], letter: dict[str, int]):
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        pair = lambda m: m.split(" ") if isinstance(m, str) else m
+        merged = [bytes(letter[c] for c in "".join(pair(m))) for m in made["model"].get("merges", []) if set("".join(pair(m))) <= letter.keys()]
+        places, split = [ranks.get(m, -1) for m in merged], made.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True) and not made.get("normalizer")
+        singles = [ranks.get(bytes([b]), 1 << 30) for b in range(256)]
+        if not plain or len(merged) + 256 != len(ranks) or places != sorted(places) or max(singles) > min(places, default=1 << 30):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def spells(self, ids: np.ndarray, text: bytes) -> bool:
+        # With a rank for each single byte, merges only join the bytes of the text.
+        return self._ranked is not None or super().spells(ids, text)
+
+    def units(self, texts: list[str]) -> list[list[int]]:
+        if self._ranked is not None:
+            return list(map(self._ranked.encode_ordinary, texts))
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class PieceSide(Side):
@@ -112,15 +128,34 @@ class PieceSide(Side):
 
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self._model.id_to_piece(i) for i in range(self._model.get_piece_size())]
-        self.token = [bytes([int(p[3:5], 16)]) if self._model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
+        self.token = [bytes([int(p[3:5], 16)]) if self._model.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        if any("\u2581" in p.lstrip("\u2581") or "\n" in p for p in pieces):
             self.pattern = re.compile("(?s).+")
         self._before = self._model.encode("\n")
         super().__init__()
 
-    def unit(self, text: str) -> list[int]:
+    def units(self, texts: list[str]) -> list[list[int]]:
         # A line end before the unit takes the blank that the model puts before every text.
-        return self._model.encode("\n" + text)[len(self._before) :]
+        return [ids[len(self._before) :] for ids in self._model.encode(["\n" + t for t in texts], num_threads=1)]
+
+
+def _simple(text: str) -> bool:
+    """Whether all white space is single blanks and line ends between words: such a text has the same units on either side."""
+    return " ".join(text.split()) == text.replace("\n", " ")
+
+
+def _encoded(texts: list[str | None], sides: tuple[Side, Side]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """Ids of blank + text on both sides; None where there are none or they do not spell blank + text."""
+    alike = sides[0].pattern is ByteSide.pattern and sides[1].pattern is PieceSide.pattern
+    cut = [sides[0].pattern.findall(" " + t) if t else [] for t in texts]
+    other = [own if not t or alike and _simple(t) else sides[1].pattern.findall(" " + t) for t, own in zip(texts, cut, strict=True)]
+    fresh = set().union(*cut)
+    ids = [sides[0].encode(cut, fresh), sides[1].encode(other, fresh.union(*(o for o, c in zip(other, cut, strict=True) if o is not c)))]
+    out = []
+    for text, *pair in zip(texts, *ids, strict=True):
+        raw = (" " + text).encode() if text else b""
+        out.append(tuple(pair) if text and all(side.spells(own, raw) for side, own in zip(sides, pair, strict=True)) else None)
+    return out
 
 
 class Sides:
@@ -147,9 +182,8 @@ _LISTS = ["a", "a_end", "b", "b_end", "over_a", "over_b", "cut"]
 
 def _aligned(texts: list[str | None], sides: tuple[Side, Side]) -> list[pa.Array]:
     """The list columns of ``align`` for some texts."""
-    both = [tuple(side.encode(t) for side in sides) for t in texts]
-    none = np.zeros(0, np.uint32)
-    ids = [[none if any(x is None for x in pair) else pair[s] for pair in both] for s in (0, 1)]
+    both, none = _encoded(texts, sides), np.zeros(0, np.uint32)
+    ids = [[none if pair is None else pair[s] for pair in both] for s in (0, 1)]
     n = [np.array([len(x) for x in own]) for own in ids]
     flat = [np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64) for own in ids]
     doc = [np.repeat(np.arange(len(texts)), k) for k in n]
