@@ -32,28 +32,30 @@ class Machine:
         return ()
 
 
-def fold(rows: DataFrame, key: str, order: list[str], machine: Callable[[], Machine], schema: str) -> DataFrame:
-    """Rows (key, *output of the machine) for each key; ``schema`` names the columns after the key.
+def fold(rows: DataFrame, key: str | list[str], order: list[str], machine: Callable[[], Machine], schema: str) -> DataFrame:
+    """Rows (key, *output of the machine) for each key, of one column or several; ``schema`` names the columns after them.
 
     The machine is given all columns but the key, in the order of ``rows``.  Rows without a key are one key.
     """
-    rows = rows.select(key, *[c for c in rows.columns if c != key])
-    whole = f"`{key}` {dict(rows.dtypes)[key]}, {schema}"
+    keys = [key] if isinstance(key, str) else list(key)
+    rows, kind = rows.select(*keys, *[c for c in rows.columns if c not in keys]), dict(rows.dtypes)
+    whole = "".join(f"`{k}` {kind[k]}, " for k in keys) + schema
     names = rows.sparkSession.createDataFrame([], whole).columns
+    n = len(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, at = None, None
         for batch in batches:
             out = []
-            for own, *values in batch.itertuples(index=False, name=None):
-                own = None if pd.isna(own) else own
+            for values in batch.itertuples(index=False, name=None):
+                own = tuple(None if pd.isna(k) else k for k in values[:n])
                 if state is None or own != at:
                     if state is not None:
-                        out.extend((at, *x) for x in state.end())
+                        out.extend((*at, *x) for x in state.end())
                     state, at = machine(), own
-                out.extend((at, *x) for x in state.row(*values))
+                out.extend((*at, *x) for x in state.row(*values[n:]))
             yield pd.DataFrame(out, columns=names)
         if state is not None:
-            yield pd.DataFrame([(at, *x) for x in state.end()], columns=names)
+            yield pd.DataFrame([(*at, *x) for x in state.end()], columns=names)
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, whole)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, whole)

@@ -150,9 +150,7 @@ p AS (SELECT file_id, speaker, speaker_id FROM (SELECT *, row_number() OVER (PAR
 @query("d12_primary_id_separation", f"{FRAMES} SELECT file_id, count(*) AS speakers, count(DISTINCT speaker_id) AS ids FROM p GROUP BY file_id")
 def d12(spark, d):
     ref, hyp = a.intervals(spark, d)
-    w = Window.partitionBy("file_id", "speaker").orderBy(F.desc("n_frames"), "speaker_id")
-    best = iv.cooccurrence(hyp, ref, 1.0).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return best.groupBy("file_id").agg(F.count("*").alias("speakers"), F.countDistinct("speaker_id").alias("ids"))
+    return iv.primary_ids(iv.cooccurrence(hyp, ref, 1.0))
 
 
 @query(

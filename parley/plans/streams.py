@@ -107,7 +107,7 @@ h AS (SELECT f.file_id, frame, speaker_id FROM fl f JOIN hyp s ON f.file_id = s.
 @query("c9_speakers_at", f"{FRAMES} SELECT file_id, frame, speaker, count(*) AS n FROM r GROUP BY ALL")
 def c9(spark, d):
     ref, _ = a.intervals(spark, d)
-    return iv.covering(ref, iv.frames(ref, 1.0), 24.0).groupBy("file_id", "frame", "speaker").agg(F.count("*").alias("n"))
+    return iv.speakers_at_frames(ref, ref, 1.0).groupBy("file_id", "frame", "speaker").agg(F.count("*").alias("n"))
 
 
 @query("d8_cooccurrence", f"{FRAMES} SELECT file_id, speaker_id, speaker, count(*) AS n_frames FROM r JOIN h USING (file_id, frame) GROUP BY ALL")
@@ -131,26 +131,38 @@ def c10(spark, d):
 )
 def d10(spark, d):
     ref, _ = a.intervals(spark, d)
-    n = iv.covering(ref, iv.frames(ref, 1.0), 24.0).groupBy("file_id", "frame", "speaker").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("file_id", "frame").orderBy(F.desc("n"), "speaker")
-    return n.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("file_id", "frame", "speaker")
+    return iv.dominant_speaker(iv.speakers_at_frames(ref, ref, 1.0))
 
 
 @query(
     "d11_consistency",
-    f"""{FRAMES}, c AS (SELECT file_id, speaker, speaker_id, count(*) AS n FROM r JOIN h USING (file_id, frame) GROUP BY ALL)
-SELECT file_id, speaker, round(max(n) * 1.0 / sum(n), 6) AS share FROM c GROUP BY ALL""",
+    f"""{FRAMES}, c AS (SELECT file_id, speaker, speaker_id, count(*) AS n FROM r JOIN h USING (file_id, frame) GROUP BY ALL),
+e AS (SELECT file_id, speaker, max(n) AS most, sum(n) AS n FROM c GROUP BY ALL)
+SELECT file_id, speaker, round(sum(most) * 1.0 / sum(n), 6) AS share FROM e GROUP BY ROLLUP (file_id, speaker)""",
 )
 def d11(spark, d):
     ref, hyp = a.intervals(spark, d)
-    c = iv.cooccurrence(hyp, ref, 1.0).groupBy("file_id", "speaker")
-    return c.agg(F.round(F.max("n_frames") / F.sum("n_frames"), 6).alias("share"))
+    return iv.consistency(iv.cooccurrence(hyp, ref, 1.0)).withColumn("share", F.round("share", 6))
 
 
-@query("d9_der")
+@query(
+    "d9_der",
+    f"""{FRAMES}, nb AS (SELECT DISTINCT f.file_id, frame FROM fl f JOIN ref s ON f.file_id = s.file_id AND (abs(t - s.start) < 0.25 OR abs(t - s."end") < 0.25)),
+c AS (SELECT file_id, speaker_id, speaker, count(*) AS n, min(frame) AS f FROM r JOIN h USING (file_id, frame) GROUP BY ALL),
+g AS (SELECT file_id, list(struct_pack(l := speaker_id, r := speaker) ORDER BY n DESC, f, speaker_id, speaker) AS items FROM c GROUP BY file_id),
+w AS (SELECT file_id, unnest(list_reduce(list_concat([list_filter(items, lambda x: false)], list_transform(items, lambda x: [x])),
+ lambda s, x: CASE WHEN len(list_filter(s, lambda y: y.l = x[1].l OR y.r = x[1].r)) = 0 THEN list_append(s, x[1]) ELSE s END)) AS p FROM g),
+rs AS (SELECT file_id, frame, list(DISTINCT '=' || speaker) AS r FROM r ANTI JOIN nb USING (file_id, frame) GROUP BY ALL),
+hn AS (SELECT h.file_id, h.frame, coalesce('=' || w.p.r, '?' || h.speaker_id) AS who FROM h LEFT JOIN w ON h.file_id = w.file_id AND h.speaker_id = w.p.l),
+hs AS (SELECT file_id, frame, list(DISTINCT who) AS h FROM hn ANTI JOIN nb USING (file_id, frame) GROUP BY ALL),
+b AS (SELECT file_id, coalesce(len(r), 0) AS nr, coalesce(len(h), 0) AS nh, coalesce(len(list_intersect(r, h)), 0) AS same FROM rs FULL JOIN hs USING (file_id, frame)),
+s AS (SELECT file_id, CAST(sum(greatest(0, nr - nh)) AS BIGINT) AS miss, CAST(sum(greatest(0, nh - nr)) AS BIGINT) AS fa,
+ CAST(sum(least(nr, nh) - same) AS BIGINT) AS confusion, CAST(sum(nr) AS BIGINT) AS speech FROM b GROUP BY file_id)
+SELECT *, round((miss + fa + confusion) * 1.0 / greatest(speech, 1), 9) AS der FROM s""",
+)
 def d9(spark, d):
     ref, hyp = a.intervals(spark, d)
-    return iv.der(ref, hyp, 1.0, 0.25)
+    return iv.der(ref, hyp, 1.0, 0.25).withColumn("der", F.round("der", 9))
 
 
 @query("b8_ref_segments_min", f'WITH {a.INTERVALS} SELECT file_id, speaker, count(*) AS n FROM ref WHERE "end" - start >= 1.5 GROUP BY ALL')
