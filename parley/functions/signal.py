@@ -61,37 +61,49 @@ def update_settings(doc: Column, patch: Column) -> Column:
     return F.map_zip_with(doc, patch, lambda k, old, new: F.coalesce(new, old))
 
 
-def prompts_shown(times: Column) -> Column:
-    """Of the sorted times (seconds) of offers in a session, those shown.
+def checked_patch(patch: Column, kinds: dict[str, str]) -> Column:
+    """A JSON patch as a map; an error where a known key's value has not its kind (int, double, string or boolean)."""
+    whole = F.try_parse_json(patch)
+    wrong = [
+        F.when(F.try_variant_get(whole, f"$.{key}", "variant").isNotNull() & ~F.coalesce(_fits(whole, key, kind), F.lit(False)), F.lit(f"invalid type for {key}: expected {kind}"))
+        for key, kind in kinds.items()
+    ]
+    found = F.from_json(patch, "map<string,string>")
+    return F.when(F.coalesce(*wrong, F.lit(None)).isNotNull(), F.raise_error(F.coalesce(*wrong)).cast("map<string,string>")).otherwise(found) if wrong else found
+
+
+def _fits(whole: Column, key: str, kind: str) -> Column:
+    found = F.schema_of_variant(F.try_variant_get(whole, f"$.{key}", "variant"))
+    return {"int": found == "BIGINT", "string": found == "STRING", "boolean": found == "BOOLEAN", "double": found.rlike("^(DECIMAL|DOUBLE|BIGINT)")}[kind]
 
-    Fewer than five in the last 600 seconds; later than 300 seconds after the first offer, 120 seconds apart.
-    """
-    began = F.get(times, F.lit(0))
 
-    def step(shown: Column, t: Column) -> Column:
-        recent = F.size(F.filter(shown, lambda x: x > t - 600))
-        last = F.get(shown, F.size(shown) - 1)
-        late = (t - began > 300) & F.coalesce(t - last < 120, F.lit(False))
-        return F.when((recent < 5) & ~late, F.concat(shown, F.array(t))).otherwise(shown)
+def settings(doc: Column, defaults: dict[str, tuple[str, object]]) -> Column:
+    """A JSON document as a map: known keys of the right kind, else their default, and all other keys as they are.
 
-    return F.aggregate(times, F.array().cast("array<bigint>"), step)
+    ``defaults`` gives kind and default of the known keys; a document that is no object is all defaults.
+    """
+    known = F.create_map(*[x for key, (kind, default) in defaults.items() for x in (F.lit(key), setting(doc, key, kind, default).cast("string"))])
+    whole = F.coalesce(F.from_json(doc, "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))
+    return F.map_concat(known, F.map_filter(whole, lambda k, v: ~k.isin(*defaults)))
 
 
-def _pitch(x) -> float | None:
-    if x is None:
-        return None
-    x = np.asarray(x, dtype=float)
-    if not len(x) or np.sqrt((x * x).mean()) <= 0.003:
-        return 0.5
-    size = np.abs(np.fft.rfft(x))
-    return float(np.clip(size @ np.arange(len(size)) / (size.sum() + 1e-10) / (0.4 * len(size)), 0.0, 1.0))
+def _pitches(x: np.ndarray) -> np.ndarray:
+    """Of signals of one length, a row each."""
+    if not x.shape[1]:
+        return np.full(len(x), 0.5)
+    size = np.abs(np.fft.rfft(x, axis=1))
+    pitch = (size @ np.arange(size.shape[1])) / (size.sum(axis=1) + 1e-10) / (0.4 * size.shape[1])
+    return np.where(np.sqrt((x * x).mean(axis=1)) <= 0.003, 0.5, np.clip(pitch, 0.0, 1.0))
 
 
 def spectral_centroid(samples: Column) -> Column:
     """Mean frequency bin by magnitude, as a share of 0.4 of the bins, 0 to 1; 0.5 if the level is 0.003 or less."""
 
     def apply(rows: pd.Series) -> pd.Series:
-        return rows.map(_pitch)
+        out, size = np.full(len(rows), np.nan), rows.map(lambda x: -1 if x is None else len(x)).to_numpy()
+        for n in np.unique(size[size >= 0]):
+            out[size == n] = _pitches(np.stack(rows[size == n].to_list()).astype(float).reshape(-1, n))
+        return pd.Series(out).astype(object).where(size >= 0, None)
 
     return F.pandas_udf(apply, "double")(samples)
 
@@ -99,6 +111,4 @@ def spectral_centroid(samples: Column) -> Column:
 def setting(doc: Column, key: str, kind: str, default) -> Column:
     """A key of a JSON settings document if its value has the kind (int, double, string or boolean), else ``default``."""
     whole = F.try_parse_json(doc)
-    found = F.schema_of_variant(F.try_variant_get(whole, f"$.{key}", "variant"))
-    fits = {"int": found == "BIGINT", "string": found == "STRING", "boolean": found == "BOOLEAN", "double": found.rlike("^(DECIMAL|DOUBLE|BIGINT)")}[kind]
-    return F.coalesce(F.when(fits, F.try_variant_get(whole, f"$.{key}", kind)), F.lit(default))
+    return F.coalesce(F.when(_fits(whole, key, kind), F.try_variant_get(whole, f"$.{key}", kind)), F.lit(default))

@@ -40,6 +40,18 @@ def quality_score(units: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return sums.select(*keys, "n", F.when(F.col("n") < 2, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean))).alias("quality"))
 
 
+def centroid_drift(exemplars: DataFrame, profiles: DataFrame, order: str, golden: int = 5) -> DataFrame:
+    """How far the centroid of a profile has moved from its first exemplars; 0 with fewer than ``golden`` of them.
+
+    exemplars: id, ``order``, embedding; profiles: id, centroid.
+    """
+    w = Window.partitionBy("id").orderBy(order)
+    first = exemplars.withColumn("rn__", F.row_number().over(w)).where(F.col("rn__") <= golden)
+    sums = sum_vectors(first, ["id"], "embedding").where(F.col("n") == golden)
+    far = F.greatest(F.lit(0.0), 1 - cosine_sim(F.col("total"), F.col("centroid")))
+    return profiles.join(sums.drop("n"), "id", "left").select("id", F.coalesce(far, F.lit(0.0)).alias("drift"))
+
+
 class _Block:
     """Some profiles, in the order of their ids, ready to be scored against queries."""
 

@@ -41,9 +41,12 @@ def create_profiles(tagged: DataFrame, now=None, most: int = MOST) -> DataFrame:
 
 
 def rename_in_transcript(lines: DataFrame, tags: DataFrame) -> DataFrame:
-    """Lines (session_id, speaker, ...) under the names of ``tags`` (session_id, speaker, name)."""
+    """Lines (session_id, speaker, ...) under the names of ``tags`` (session_id, speaker, name); a confidence is cleared."""
     names = tags.select("session_id", "speaker", F.col("name").alias("__name"))
-    return lines.join(names, ["session_id", "speaker"], "left").withColumn("speaker", F.coalesce("__name", "speaker")).drop("__name").select(lines.columns)
+    both = lines.join(names, ["session_id", "speaker"], "left").withColumn("speaker", F.coalesce("__name", "speaker"))
+    if "confidence" in lines.columns:
+        both = both.withColumn("confidence", F.when(F.col("__name").isNull(), F.col("confidence")))
+    return both.select(lines.columns)
 
 
 def apply_tags(tags: DataFrame, segments: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

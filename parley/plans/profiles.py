@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.operators import maintenance as mt
+from parley.operators.merging import merge_mappings
 from parley.operators.tags import create_profiles
 from parley.plans import adapters as a
 from parley.plans.registry import query, table
@@ -32,10 +33,14 @@ def a11(spark, d):
     return mt.import_profiles(c.where("id % 3 = 0"), incoming)
 
 
-@query("i4_rename_profiles", f"WITH {C} SELECT id, CASE WHEN id % 7 = 0 THEN 'R' || id ELSE name END AS name FROM c")
+@query(
+    "i4_rename_profiles",
+    f"WITH {C} SELECT id, CASE WHEN id % 7 = 0 THEN 'R' || id ELSE name END AS name, CASE WHEN id % 7 = 0 THEN DATE '2024-01-02' ELSE DATE '2024-01-01' END AS updated_at FROM c",
+)
 def i4(spark, d):
-    c = _customers(spark, d)
-    return mt.rename_profiles(c, c.where("id % 7 = 0").select("id", F.concat(F.lit("R"), F.col("id").cast("string")).alias("new_name")))
+    c = _customers(spark, d).withColumn("updated_at", F.lit("2024-01-01").cast("date"))
+    names = c.where("id % 7 = 0").select("id", F.concat(F.lit("R"), F.col("id").cast("string")).alias("new_name"))
+    return mt.rename_profiles(c, names, now=F.lit("2024-01-02").cast("date"))
 
 
 @query("i6_delete_profiles", f"WITH {MAPPING} SELECT session_id, speaker_id, segment_count FROM mp WHERE speaker_id NOT IN (1, 4)")
@@ -50,7 +55,7 @@ def i6(spark, d):
     "WHERE NOT (speaker_id = 3 AND session_id IN (SELECT session_id FROM mp WHERE speaker_id = 2))",
 )
 def i7(spark, d):
-    return mt.merge_mappings(_mapping(spark, d), 2, 3).select("session_id", "speaker_id", "segment_count")
+    return merge_mappings(_mapping(spark, d), spark.createDataFrame([(2, 3)], "source int, target int")).select("session_id", "speaker_id", "segment_count")
 
 
 @query("i8_record_session_speakers", f"WITH {MAPPING} SELECT session_id, speaker_id, CASE WHEN session_id = 5 THEN 99 ELSE segment_count END AS segment_count FROM mp")

@@ -90,9 +90,9 @@ def c4(spark, d):
     return starts.join(typed, "prefix").select("prefix", "name")
 
 
-@query("c6_anti_existing", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("c6_anti_existing", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def c6(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("id"))
+    orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id"))
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(orders, "id", "left_anti")
 
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import confidence_mark, format_duration
 from parley.functions.vectors import cosine_sim, dot, effective_high, l2_normalize
+from parley.operators import activation as act
+from parley.operators import maintenance as mt
 from parley.operators import matching as m
+from parley.operators.tags import create_profiles
 from parley.plans import adapters as a
 from parley.plans.registry import query, table
 
@@ -72,9 +75,15 @@ def a5(spark, d):
     return a.profiles(spark, d).select("id", "name", "n", R(c[0]).alias("c0"), R(c[63]).alias("c63"))
 
 
-@query("a6_get_profile", f"WITH {a.PROFILES} SELECT id, name, n FROM profiles WHERE id = 3")
+@query(
+    "a6_get_profile",
+    "WITH e AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS rn, count(*) OVER () AS n, sum(1 + (vec_id % 50) / 10.0) OVER () AS s FROM embeddings WHERE label = 3) "
+    "SELECT label AS id, n AS samples, round(s, 4) AS seconds, CAST(rn - 1 AS INTEGER) AS at, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM e WHERE rn <= 20",
+)
 def a6(spark, d):
-    return a.profiles(spark, d).where("id = 3").select("id", "name", "n")
+    known = create_profiles(a.exemplars(spark, d).withColumnRenamed("vec_id", "seq")).where("id = 3")
+    each = known.select("id", F.col("confirmed_count").alias("samples"), F.round("total_duration_sec", 4).alias("seconds"), F.posexplode("exemplars").alias("at", "e"))
+    return each.select("id", "samples", "seconds", "at", F.posexplode(F.col("e").cast("array<double>")).alias("pos", "x"))
 
 
 @query(
@@ -100,15 +109,12 @@ def d3(spark, d):
 @query(
     "d4_centroid_drift",
     f"""WITH {a.PROFILES}, g AS (SELECT id, embedding FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY vec_id) AS rn FROM ex) WHERE rn <= 5),
-ge AS (SELECT id, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM g), gm AS (SELECT id, list(x ORDER BY pos) AS golden FROM (SELECT id, pos, avg(x) AS x FROM ge GROUP BY id, pos) GROUP BY id)
-SELECT id, round(greatest(0.0, 1 - {COS.format("golden", "centroid")}), 6) AS drift FROM gm JOIN profiles USING (id)""",
+ge AS (SELECT id, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM g), gm AS (SELECT id, list(x ORDER BY pos) AS golden, max(k) AS k FROM (SELECT id, pos, avg(x) AS x, count(*) AS k FROM ge GROUP BY id, pos) GROUP BY id)
+SELECT id, CASE WHEN k >= 5 THEN round(greatest(0.0, 1 - {COS.format("golden", "centroid")}), 6) ELSE 0 END AS drift FROM gm JOIN profiles USING (id)""",
 )
 def d4(spark, d):
-    w = Window.partitionBy("id").orderBy("vec_id")
-    golden = a.exemplars(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 5")
-    golden = m.sum_vectors(golden, ["id"], "embedding").select("id", F.transform("total", lambda x: x / F.col("n")).alias("golden"))
-    drift = F.greatest(F.lit(0.0), 1 - cosine_sim(F.col("golden"), F.col("centroid")))
-    return a.profiles(spark, d).join(golden, "id").select("id", R(drift).alias("drift"))
+    drift = m.centroid_drift(a.exemplars(spark, d), a.profiles(spark, d), "vec_id")
+    return drift.select("id", R("drift").alias("drift"))
 
 
 @query("h3_effective_high", f"WITH {a.PROFILES} SELECT id, round(0.55 + 0.15 * exp(-n / 10.0), 6) AS high FROM profiles")
@@ -214,10 +220,20 @@ def d6(spark, d):
     return a.segments(spark, d).groupBy("session_id").agg(F.count("*").alias("n_segments"), F.countDistinct("speaker").alias("n_speakers"))
 
 
-@query("d7_profile_stats", f"WITH {a.SEGMENTS} SELECT speaker AS id, count(*) AS samples, round(sum(duration_sec), 6) AS total_sec, count(DISTINCT session_id) AS sessions FROM segments GROUP BY speaker")
+@query(
+    "d7_profile_stats",
+    f"""WITH {a.SEGMENTS}, ex AS (SELECT speaker AS id, embedding AS e FROM segments),
+u AS (SELECT id, generate_subscripts(e, 1) AS pos, unnest(list_transform(e, lambda v: v / sqrt(list_dot_product(e, e)))) AS x FROM ex),
+q AS (SELECT id, greatest(0.0, least(1.0, (sum(s * s) - max(n)) / (max(n) * (max(n) - 1)))) AS quality FROM (SELECT id, pos, sum(x) AS s, count(*) AS n FROM u GROUP BY id, pos) GROUP BY id)
+SELECT speaker AS id, count(*) AS samples, round(sum(duration_sec), 6) AS total_sec, CAST(DATE '2024-01-01' + CAST(speaker AS INTEGER) AS DATE) AS created, DATE '2024-02-01' AS last_seen,
+ round(max(quality), 6) AS quality, count(DISTINCT session_id) AS sessions FROM segments JOIN q ON speaker = q.id GROUP BY speaker""",
+)
 def d7(spark, d):
-    s = a.segments(spark, d).groupBy(F.col("speaker").alias("id"))
-    return s.agg(F.count("*").alias("samples"), R(F.sum("duration_sec")).alias("total_sec"), F.countDistinct("session_id").alias("sessions"))
+    known = create_profiles(a.exemplars(spark, d).withColumnRenamed("vec_id", "seq")).drop("quality")
+    known = known.join(m.quality_score(a.exemplars(spark, d), ["id"], "embedding").drop("n"), "id")
+    known = known.withColumn("created_at", F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int"))).withColumn("last_seen_at", F.lit("2024-02-01").cast("date"))
+    mapping = a.segments(spark, d).select("session_id", F.col("speaker").alias("speaker_id"))
+    return mt.profile_stats(known, mapping).withColumn("total_sec", R("total_sec")).withColumn("quality", R("quality"))
 
 
 @query("e11_first_last", f"WITH {a.SEGMENTS} SELECT session_id, speaker, seg_ix FROM (SELECT *, row_number() OVER (PARTITION BY session_id, speaker ORDER BY seg_ix) AS rn FROM segments) WHERE rn <= 3")
@@ -254,19 +270,17 @@ def d13(spark, d):
     return table(spark, d, "embeddings").select("vec_id", R(F.sqrt(dot(v, v) / F.size(v))).alias("rms"))
 
 
-LOGITS = """l AS (SELECT vec_id, unnest([0, 1, 2]) AS frame_ix, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-x AS (SELECT vec_id, frame_ix, list_transform(e[frame_ix * 7 + 1 : frame_ix * 7 + 7], lambda v: exp(v)) AS p FROM l),
-a AS (SELECT vec_id, frame_ix, unnest([0, 1, 2]) AS spk, unnest([p[2] + p[5] + p[6], p[3] + p[5] + p[7], p[4] + p[6] + p[7]]) / list_sum(p) AS act FROM x)"""
+LOGITS = """l AS (SELECT vec_id, unnest(range(9)) AS frame_ix, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+x AS (SELECT vec_id, CAST(frame_ix AS INTEGER) AS frame_ix, list_transform(e[frame_ix * 7 + 1 : frame_ix * 7 + 7], lambda v: exp(4 * v)) AS p FROM l),
+a AS (SELECT vec_id, frame_ix, unnest([0, 1, 2]) AS spk, unnest([p[2] + p[5] + p[6], p[3] + p[5] + p[7], p[4] + p[6] + p[7]]) / list_sum(p) AS act FROM x),
+b AS (SELECT vec_id, spk, avg(act) AS mean FROM a GROUP BY vec_id, spk HAVING max(act) >= 0.55)"""
 
 
 def _activation(spark, d):
-    frames = table(spark, d, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("frame_ix"), "embedding")
-    logits = frames.withColumn("x", F.slice("embedding", F.col("frame_ix") * 7 + 1, F.lit(7)).cast("array<double>"))
-    p = logits.withColumn("p", F.transform("x", lambda x: F.exp(x - F.array_max("x"))))
-    c = lambda *ix: sum(F.col("p")[i] for i in ix)
-    total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
-    each = F.array(c(1, 4, 5), c(2, 4, 6), c(3, 5, 6))
-    return p.select("vec_id", "frame_ix", F.posexplode(F.transform(each, lambda x: x / total)).alias("spk", "act"))
+    """Nine frames of seven logits from each embedding, four times as large."""
+    frames = table(spark, d, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("frame_ix"), F.transform("embedding", lambda v: 4 * v.cast("double")).alias("e"))
+    logits = frames.withColumn("x", F.slice("e", F.col("frame_ix") * 7 + 1, F.lit(7)))
+    return logits.select("vec_id", "frame_ix", F.posexplode(act.powerset_to_activation(F.col("x"))).alias("spk", "act"))
 
 
 @query("h15_powerset_activation", f"WITH {LOGITS} SELECT vec_id, frame_ix, spk, round(act, 6) AS act FROM a")
@@ -274,26 +288,20 @@ def h15(spark, d):
     return _activation(spark, d).withColumn("act", R("act"))
 
 
-@query("b10_active_speaker", f"WITH {LOGITS} SELECT vec_id, spk, avg(act) >= 0.45 AS is_long FROM a GROUP BY vec_id, spk HAVING max(act) >= 0.5")
+@query("b10_active_speaker", f"WITH {LOGITS} SELECT vec_id, spk, mean >= 0.3 AS is_long FROM b")
 def b10(spark, d):
-    g = _activation(spark, d).groupBy("vec_id", "spk").agg(F.max("act").alias("peak"), (F.avg("act") >= 0.45).alias("is_long"))
-    return g.where("peak >= 0.5").select("vec_id", "spk", "is_long")
+    return act.active_speakers(_activation(spark, d), ["vec_id"]).select("vec_id", "spk", "is_long")
 
 
 @query(
     "b11_solo_frame",
-    f"WITH {LOGITS} SELECT p.vec_id, p.frame_ix, p.spk FROM a p WHERE p.act >= 0.45 AND NOT EXISTS (SELECT 1 FROM a q WHERE q.vec_id = p.vec_id AND q.frame_ix = p.frame_ix AND q.spk <> p.spk AND q.act > 0.44)",
+    f"WITH {LOGITS} SELECT p.vec_id, p.frame_ix, p.spk FROM a p WHERE p.act >= 0.5 AND NOT EXISTS (SELECT 1 FROM a q WHERE q.vec_id = p.vec_id AND q.frame_ix = p.frame_ix AND q.spk <> p.spk AND q.act > 0.3)",
 )
 def b11(spark, d):
-    w = Window.partitionBy("vec_id", "frame_ix")
-    acts = _activation(spark, d).withColumn("all", F.collect_list(F.struct("spk", "act")).over(w))
-    solo = F.forall("all", lambda o: (o["spk"] == F.col("spk")) | (o["act"] <= 0.44))
-    return acts.where((F.col("act") >= 0.45) & solo).select("vec_id", "frame_ix", "spk")
+    return act.solo_frames(_activation(spark, d), ["vec_id"]).select("vec_id", "frame_ix", "spk")
 
 
-@query("d18_dominant_local", f"WITH {LOGITS} SELECT vec_id, arg_max(spk, m) AS spk FROM (SELECT vec_id, spk, round(avg(act), 9) AS m FROM a GROUP BY ALL) GROUP BY vec_id")
+@query("d18_dominant_local", f"WITH {LOGITS} SELECT vec_id, spk FROM b QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(mean, 9) DESC, spk) = 1")
 def d18(spark, d):
-    mean = _activation(spark, d).groupBy("vec_id", "spk").agg(F.round(F.avg("act"), 9).alias("m"))
-    return mean.groupBy("vec_id").agg(F.max_by("spk", "m").alias("spk"))
-
-
+    found = act.active_speakers(_activation(spark, d), ["vec_id"]).withColumn("mean", F.round("mean", 9))
+    return act.dominant_local(found, ["vec_id"])

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parley.functions import rules as r
-from parley.functions.signal import setting
+from parley.functions.signal import settings
 from parley.operators import intervals as iv
+from parley.operators import maintenance as mt
 from parley.operators import ordered
 from parley.plans import adapters as a
 from parley.plans.registry import query, table
@@ -63,11 +64,15 @@ def e12(spark, d):
     return r.failure_bursts(e, "user_id", "ts", 3 * 86400, 1).select("event_id", "failures")
 
 
-@query("f3_newest_incidents", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 50 OR event_type = 'error'")
+@query(
+    "f3_newest_incidents",
+    "SELECT event_id, user_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id, kind, exempt ORDER BY ts DESC, event_id DESC) AS rn FROM "
+    "(SELECT *, CASE WHEN event_id % 3 = 0 THEN 'json' ELSE 'log' END AS kind, event_type = 'error' AND event_id % 3 > 0 AS exempt FROM events)) WHERE exempt OR rn <= 50",
+)
 def f3(spark, d):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    e = table(spark, d, "events").withColumn("rn", F.row_number().over(w))
-    return e.where("rn <= 50 or event_type = 'error'").select("event_id", "user_id")
+    e = table(spark, d, "events").withColumn("kind", F.when(F.col("event_id") % 3 == 0, "json").otherwise("log"))
+    exempt = (F.col("event_type") == "error") & (F.col("kind") == "log")
+    return mt.newest(e, ["user_id", "kind"], [F.desc("ts"), F.desc("event_id")], 50, exempt).select("event_id", "user_id", "kind")
 
 
 @query("e14_slowness_tier", "SELECT event_id, CASE WHEN value > 30 THEN 'hung' WHEN value > 15 THEN 'reset' WHEN value > 8 THEN 'slow' ELSE 'ok' END AS tier FROM events")
@@ -76,10 +81,16 @@ def e14(spark, d):
     return table(spark, d, "events").select("event_id", F.when(v > 30, "hung").when(v > 15, "reset").when(v > 8, "slow").otherwise("ok").alias("tier"))
 
 
-@query("a14_read_settings", """SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') THEN CAST(json_extract(props, '$.k') AS INTEGER) ELSE 0 END AS k,
- CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN json_extract_string(props, '$.k') ELSE 'none' END AS name FROM events""")
+@query(
+    "a14_read_settings",
+    """WITH d AS (SELECT event_id, props, CASE WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') THEN json_extract_string(props, '$.k') ELSE '0' END AS k,
+ CASE WHEN json_type(props, '$.name') = 'VARCHAR' THEN json_extract_string(props, '$.name') ELSE 'none' END AS name FROM events)
+SELECT event_id, 'k' AS key, k AS val FROM d UNION ALL SELECT event_id, 'name', name FROM d
+UNION ALL SELECT event_id, key, json_extract_string(props, '$.' || key) FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM d) WHERE key NOT IN ('k', 'name')""",
+)
 def a14(spark, d):
-    return table(spark, d, "events").select("event_id", setting(F.col("props"), "k", "int", 0).alias("k"), setting(F.col("props"), "k", "string", "none").alias("name"))
+    found = settings(F.col("props"), {"k": ("int", 0), "name": ("string", "none")})
+    return table(spark, d, "events").select("event_id", F.explode(found).alias("key", "val"))
 
 
 @query("s11_tumbling", "SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

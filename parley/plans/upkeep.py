@@ -6,9 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parley.functions import signal as s
+from parley.operators import maintenance as mt
 from parley.operators.exemplars import update_profiles
+from parley.operators.merging import merge_profiles
 from parley.operators.ordered import prompt_budget
 from parley.operators.protect import protect, unprotect
+from parley.operators.tags import create_profiles
 from parley.plans import adapters as a
 from parley.plans.registry import query, table
 
@@ -50,17 +53,26 @@ def h23(spark, d):
     return table(spark, d, "events").select("event_id", s.percent(F.col("value") / 500).alias("pct"))
 
 
-@query("a16_incident_table", "SELECT event_id, event_type AS context, key, json_extract_string(props, '$.' || key) AS val FROM (SELECT event_id, event_type, props, unnest(json_keys(props)) AS key FROM events)")
+@query(
+    "a16_incident_table",
+    """SELECT event_id, key, json_extract_string(props, '$.' || key) AS val FROM (SELECT event_id, event_type, props, unnest(json_keys(props)) AS key FROM events)
+UNION ALL SELECT event_id, unnest(['timestamp', 'context', 'error_type', 'error_message']), unnest([strftime(ts, '%Y-%m-%dT%H:%M:%S'), event_type,
+ CASE WHEN event_type = 'error' THEN 'RuntimeError' END, CASE WHEN event_type = 'error' THEN 'event ' || event_id END]) FROM events""",
+)
 def a16(spark, d):
-    state = F.from_json("props", "map<string,string>")
-    return table(spark, d, "events").select("event_id", F.col("event_type").alias("context"), F.explode(state).alias("key", "val"))
+    bad = F.col("event_type") == "error"
+    e = table(spark, d, "events").select(
+        "event_id", "ts", F.col("event_type").alias("context"), F.when(bad, "RuntimeError").alias("error_type"),
+        F.when(bad, F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("error_message"), F.col("props").alias("state"),
+    )
+    return mt.incident_table(e)
 
 
 @query("a15_update_settings", """WITH k AS (SELECT event_id, props, value, unnest(json_keys(props)) AS key FROM events)
 SELECT event_id, key, json_extract_string(props, '$.' || key) AS val FROM k WHERE key <> 'model' UNION ALL SELECT event_id, 'model', 'm' || (event_id % 7) FROM events""")
 def a15(spark, d):
-    patch = F.create_map(F.lit("model"), F.concat(F.lit("m"), (F.col("event_id") % 7).cast("string")))
-    doc = s.update_settings(F.from_json("props", "map<string,string>"), patch)
+    patch = F.to_json(F.struct(F.concat(F.lit("m"), (F.col("event_id") % 7).cast("string")).alias("model")))
+    doc = s.update_settings(F.from_json("props", "map<string,string>"), s.checked_patch(patch, {"model": "string", "k": "int"}))
     return table(spark, d, "events").select("event_id", F.explode(doc).alias("key", "val"))
 
 
@@ -103,7 +115,27 @@ def i14(spark, d):
     return unprotect(sealed, "embedding", key).select("vec_id", F.explode(F.slice("embedding", 1, 2)).alias("x"))
 
 
-@query("i2_update_profiles")
+@query(
+    "i2_update_profiles",
+    """SELECT label AS id, CAST(least(20, count(*)) AS INTEGER) AS n, CASE WHEN count(*) >= 15 THEN 3 ELSE 0 END AS subs, count(*) FILTER (vec_id % 3 = 0) AS confirmed_count,
+ count(*) FILTER (vec_id % 3 <> 0) AS auto_assigned_count, round(sum(1 + (vec_id % 50) / 10.0), 4) AS seconds, CAST('2024-01-02' AS DATE) AS last_seen_at FROM embeddings GROUP BY label""",
+)
 def i2(spark, d):
     e = a.exemplars(spark, d).withColumn("confirmed", F.col("vec_id") % 3 == 0).withColumnRenamed("vec_id", "seq")
-    return update_profiles(e).select("id", F.size("exemplars").alias("n"), F.size("sub_centroids").alias("subs"), "confirmed_count", "auto_assigned_count", F.round("total_duration_sec", 4).alias("seconds"))
+    made = update_profiles(e, now=F.lit("2024-01-02").cast("date"))
+    return made.select("id", F.size("exemplars").alias("n"), F.size("sub_centroids").alias("subs"), "confirmed_count", "auto_assigned_count", F.round("total_duration_sec", 4).alias("seconds"), "last_seen_at")
+
+
+@query(
+    "i7_merge_profiles",
+    """WITH p AS (SELECT vec_id % 200 AS id, count(*) AS n, sum(1 + (vec_id % 50) / 10.0) AS s FROM embeddings GROUP BY ALL),
+t AS (SELECT id, CASE WHEN id % 4 < 2 AND id - id % 4 + 3 IN (SELECT id FROM p) THEN id - id % 4 + 3 ELSE id END AS into FROM p)
+SELECT t.into AS id, sum(n) AS samples, round(sum(s), 4) AS seconds, CAST(least(20, sum(least(20, n))) AS INTEGER) AS exemplars, bool_or(t.id <> t.into) AS merged FROM p JOIN t ON p.id = t.id GROUP BY t.into""",
+)
+def i7(spark, d):
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 200).alias("id"), F.col("vec_id").alias("seq"), "embedding", (1 + (F.col("vec_id") % 50) / 10.0).alias("duration_sec"))
+    old, new = F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-02").cast("timestamp")
+    known, place = create_profiles(e, old), F.col("id") % 4
+    merges = known.where(place < 2).select(F.col("id").alias("source"), F.when(place == 0, F.col("id") + 1).otherwise(F.col("id") + 2).alias("target"))
+    made, _ = merge_profiles(known, merges, now=new)
+    return made.select("id", F.col("confirmed_count").alias("samples"), F.round("total_duration_sec", 4).alias("seconds"), F.size("exemplars").alias("exemplars"), (F.col("updated_at") > old).alias("merged"))
