@@ -287,7 +287,7 @@ def stable_centroids(segments: DataFrame) -> DataFrame:
     return found.withColumn("who", F.from_json("who", f"session_id {kind['session_id']}, speaker {kind['speaker']}"))
 
 
-class _Viterbi(Machine):
+class Viterbi(Machine):
     """E8 over a stream of labels: what all survivors agree on is given out, so only the open end is held."""
 
     def __init__(self, stay: float, hit: float, every: int = 64):
@@ -351,4 +351,4 @@ def viterbi_smooth(labels: DataFrame, key: str, order: str, label: str, stay: fl
         key, F.lit(0).alias("part"), "at", "label", "names"
     )
     each = rows.select(key, F.lit(1).alias("part"), F.col(order).alias("at"), F.col(label).alias("label"), F.lit(None).cast(f"array<{kind[label]}>").alias("names"))
-    return fold(heads.unionByName(each), key, ["part", "at"], lambda: _Viterbi(stay, hit), f"`{order}` {kind[order]}, `{label}` {kind[label]}")
+    return fold(heads.unionByName(each), key, ["part", "at"], lambda: Viterbi(stay, hit), f"`{order}` {kind[order]}, `{label}` {kind[label]}")

@@ -94,7 +94,7 @@ def min_gap_points(points: DataFrame, key: str, at: str, gap: float) -> DataFram
     return _fold(points.select(key, F.col(at).cast("double").alias(at)).where(F.col(at).isNotNull()), key, at, lambda: _Spaced(gap), f"`{at}` double")
 
 
-class _Segments(Machine):
+class Segments(Machine):
     def __init__(self, least: int):
         self.least, self.last, self.given, self.total, self.windows = least, 0, False, 0, 0
 
@@ -117,10 +117,10 @@ def scd_segments(windows: DataFrame, key: str, at: str, far: str, total: str, le
     shorter tail is dropped, and a buffer below twice ``least`` or without changes is one part.
     """
     rows = windows.select(key, F.col(at).cast("long").alias("at"), F.coalesce(far, F.lit(False)).alias("far"), F.col(total).cast("long").alias("total"))
-    return _fold(rows, key, "at", lambda: _Segments(least), "start long, stop long")
+    return _fold(rows, key, "at", lambda: Segments(least), "start long, stop long")
 
 
-class _Speech(Machine):
+class Speech(Machine):
     def __init__(self, speech: int, silence: int, most: int):
         self.speech, self.silence, self.most = speech, silence, most
         self.i, self.first, self.quiet, self.given = 0, None, 0, False
@@ -157,7 +157,7 @@ def speech_segments(frames: DataFrame, key: str, order: str, prob: str, limit: f
     ``speech`` frames; at ``most`` frames it is cut whatever its length.  A key without one is a segment as a whole.
     """
     rows = frames.select(key, order, F.coalesce(F.col(prob) >= limit, F.lit(False)).alias("__loud"))
-    return _fold(rows, key, order, lambda: _Speech(speech, silence, most), "first int, stop int")
+    return _fold(rows, key, order, lambda: Speech(speech, silence, most), "first int, stop int")
 
 
 class Prompts(Machine):

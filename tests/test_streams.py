@@ -151,11 +151,11 @@ def test_viterbi_stream_equals_whole(spark, labels):
 
 def test_viterbi_holds_little_of_a_long_session():
     from parley.operators import regroup
-    from parley.operators.identify import _Viterbi
+    from parley.operators.identify import Viterbi
 
     draw = np.random.default_rng(0)
     seen = np.where(draw.random(60_000) < 0.1, draw.integers(0, 4, 60_000), np.repeat(np.arange(600) % 4, 100))
-    machine, out, most = _Viterbi(0.99, 0.9), [], 0
+    machine, out, most = Viterbi(0.99, 0.9), [], 0
     machine.row(0, None, None, [0, 1, 2, 3])
     for i, v in enumerate(seen.tolist()):
         out.extend(machine.row(1, i, v, None))
