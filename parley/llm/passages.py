@@ -6,6 +6,10 @@ words.  Seeds travel as packed arrays by ranges of their hash and are sorted the
 alone go no further.  Links of a document are grouped by partner and diagonal.  A group whose seeds reach
 over enough words is aligned with the partner's text: runs of matching words are chained with gap costs
 through a Fenwick tree, and only the word-by-word comparison along a chain accepts a passage.
+
+A seed that many documents hold, or one document several times, is linked with a few of its places only.  In
+stretches of such seeds that no passage covers, a second round joins them to rarer ones: two seeds at a fixed
+distance, and four over as many words as a passage has, are a seed of their own.
 """
 
 from __future__ import annotations
@@ -28,17 +32,20 @@ REACH, DRIFT, LEAST_SEEDS = 64, 24, 5
 WIDTH = 48
 #: Words at either end of a passage in which its partner may share no seed.
 EDGE = 8
-#: A seed that so many documents hold is linked between all of them.
-HOLDERS = 8
-#: Seeds of a run that hot seeds make, and words they may be apart, for its document to meet more holders.
+#: A seed that so many documents hold is linked between all of them, if none holds it at PLACES and more.
+HOLDERS, PLACES = 8, 3
+#: Distances of the seeds that a wider seed joins.
+WIDER = [(0, 16), (0, 32), (0, 16, 32, 46)]
+#: Seeds of a run that hot seeds make, and words they may be apart, for wider seeds to be made of them.
 DENSE, APART = 14, 16
-#: Words of a stretch, by which further passes ask for links.
+#: Words of a stretch, by which the second round asks for seeds.
 STRETCH = 64
 #: Cost of a word left out of either side of a chain; words by which its runs may overlap.
 GAP, SLACK = 0.125, 3
 _PART = 1 << 16
 _SEEDS = "bucket int, keys binary, sizes binary, ids binary, places binary"
 _SHARED = "counts binary, docs binary, places binary"
+_HOT = "part int, docs binary, places binary, names binary"
 _LINKS = "part int, docs binary, others binary, x binary, y binary, kinds binary"
 _GROUP = "doc_id long, other long, left_word long, right_word long, above long, below long, first long, end long, low long, high long, kind long"
 _SPAN = "doc_id long, other_id long, first_word long, end_word long, other_first long, other_end long, n_same long"
@@ -143,24 +150,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close(held)
 
 
-def _partners(holder: np.ndarray, rank: np.ndarray, held_by: np.ndarray, use: np.ndarray, low: int, high: int) -> Iterator[tuple]:
+def _partners(holder: np.ndarray, rank: np.ndarray, held_by: np.ndarray) -> Iterator[tuple]:
     """(occurrences, holders that each meets): every earlier holder of a seed that up to HOLDERS documents have.
 
-    In a seed that more have, each holder meets the first and the one before; in each further pass
-    those in ``use`` meet the next ``low`` to ``high`` - 1 before.
+    In a seed that more have, each holder meets the first and the one before.
     """
     few = held_by <= HOLDERS
-    if low == 1:
-        for back in range(1, HOLDERS):
-            at = np.flatnonzero(few & (rank >= back))
-            yield at, holder[at] - back
-        at = np.flatnonzero(~few & (rank >= 2))
-        yield at, holder[at] - rank[at]
-    for back in range(low, high):
-        at = np.flatnonzero(~few & use & (rank >= back))
-        if not len(at):
-            return
+    for back in range(1, HOLDERS):
+        at = np.flatnonzero((few | (back == 1)) & (rank >= back))
         yield at, holder[at] - back
+    at = np.flatnonzero(~few & (rank >= 2))
+    yield at, holder[at] - rank[at]
 
 
 def _by_part(doc, other, x, y, kind, parts: int) -> pa.RecordBatch:
@@ -176,34 +176,46 @@ def _by_part(doc, other, x, y, kind, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(cols)], names=_names(_LINKS))
 
 
-def _links(low: int, high: int, parts: int, wanted=None):
+def _occurrences(counts: bytes, docs: bytes, places: bytes) -> tuple[np.ndarray, ...]:
+    """(document, place, first occurrence and end of the holder, its number, its rank in the seed, holders, whether hot)."""
+    counts, doc, pos = _unpacked(counts, np.int32), _unpacked(docs, np.int64), _unpacked(places, np.int32)
+    key = np.repeat(np.arange(len(counts)), counts)
+    fresh = np.r_[True, key[1:] != key[:-1]]
+    begin = np.flatnonzero(fresh | np.r_[True, doc[1:] != doc[:-1]])
+    end = np.r_[begin[1:], len(key)]
+    holder = np.repeat(np.arange(len(begin)), end - begin)
+    seed = np.cumsum(fresh[begin]) - 1
+    first = np.flatnonzero(fresh[begin])
+    rank = (np.arange(len(begin)) - first[seed])[holder]
+    held_by, most = np.bincount(seed)[seed][holder], np.maximum.reduceat(end - begin, first)[seed][holder]
+    return doc, pos, begin, end, holder, rank, held_by, (held_by > HOLDERS) | (most >= PLACES), np.flatnonzero(fresh)[key]
+
+
+def _links(parts: int, wider: bool):
     """Links of each occurrence with earlier documents; its partner's first, last and like-numbered place.
 
-    ``wanted`` holds the stretches of documents of which links of hot seeds are asked for (all without it).
+    A link of a ``wider`` seed stands for links of all the seeds it joins.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for counts, docs, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts, doc, pos = _unpacked(counts, np.int32), _unpacked(docs, np.int64), _unpacked(places, np.int32)
-                key = np.repeat(np.arange(len(counts)), counts)
-                fresh = np.r_[True, key[1:] != key[:-1]]
-                begin = np.flatnonzero(fresh | np.r_[True, doc[1:] != doc[:-1]])
-                end = np.r_[begin[1:], len(key)]
-                holder = np.repeat(np.arange(len(begin)), end - begin)
-                nth = np.arange(len(key)) - begin[holder]
-                seed = np.cumsum(fresh[begin]) - 1
-                rank = (np.arange(len(begin)) - np.flatnonzero(fresh[begin])[seed])[holder]
-                held_by = np.bincount(seed)[seed][holder]
-                use = np.ones(len(doc), dtype=bool) if wanted is None else wanted.value.holds(doc ^ (pos.astype(np.int64) // STRETCH << 40))
-                found: list[tuple] = []
-                for at, other in _partners(holder, rank, held_by, use, low, high):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                doc, pos, begin, end, holder, rank, held_by, hot, _ = _occurrences(*row)
+                nth, found = np.arange(len(doc)) - begin[holder], []
+                for at, other in _partners(holder, rank, held_by):
                     a, b = begin[other], end[other] - 1
                     same = np.minimum(a + nth[at], b)
                     for place, some in ((a, slice(None)), (b, b > a), (same, (same > a) & (same < b))):
                         i, j = at[some], place[some]
-                        if len(i):
-                            found.append((doc[i], doc[j], pos[i], pos[j], held_by[i] > HOLDERS))
+                        if not len(i):
+                            continue
+                        if not wider:
+                            found.append((doc[i], doc[j], pos[i], pos[j], hot[i]))
+                            continue
+                        for n, steps in enumerate(WIDER):
+                            own = pos[i] % len(WIDER) == n
+                            p, q = i[own], j[own]
+                            found += [(doc[p], doc[q], pos[p] // len(WIDER) + d, pos[q] // len(WIDER) + d, np.zeros(len(p), bool)) for d in steps if len(p)]
                     if sum(len(f[0]) for f in found) > 2 * _PART:
                         yield _by_part(*(np.concatenate(c) for c in zip(*found, strict=True)), parts)
                         found.clear()
@@ -213,6 +225,71 @@ def _links(low: int, high: int, parts: int, wanted=None):
     return run
 
 
+def _hot(parts: int, wanted):
+    """All occurrences of hot seeds that stand in one of the stretches ``wanted``, by documents: place and name of the seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                doc, pos, *_, hot, first = _occurrences(*row)
+                asked = np.zeros(len(doc), dtype=bool)
+                asked[hot] = wanted.value.holds(doc[hot] ^ (pos[hot].astype(np.int64) // STRETCH << 40))
+                at = np.flatnonzero(np.isin(first, first[asked]))
+                if not len(at):
+                    continue
+                # A seed is named by its first occurrence, which no other seed has.
+                name = tk.mix(doc[first[at]].view(np.uint64) ^ tk.mix(pos[first[at]].astype(np.uint64)))
+                part = (tk.mix(doc[at].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                part, own, place, name = part[order], doc[at][order], pos[at][order], name[order]
+                cut = _cuts(part)
+                rows = [(int(part[a]), _packed(own[a:b], np.int64), _packed(place[a:b], np.int32), name[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=_names(_HOT))
+
+    return run
+
+
+def _widened(buckets: int):
+    """Wider seeds of the hot ones of each document, by ranges of their hash; their place tells which kind they are."""
+
+    def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, pos, name = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((pos, doc))
+        doc, pos, name = doc[order], pos[order], name[order]
+        whole = (np.cumsum(np.r_[True, doc[1:] != doc[:-1]]).astype(np.int64) << 32) + pos
+        for n, steps in enumerate(WIDER):
+            at, key = np.arange(len(whole)), np.full(len(whole), 1 + n, dtype=np.uint64)
+            for d in steps:
+                place = np.minimum(np.searchsorted(whole, whole[at] + d), len(whole) - 1)
+                there = whole[place] == whole[at] + d
+                at, key, place = at[there], key[there], place[there]
+                key = tk.mix(key + name[place])
+            for low in range(0, len(at), _PART):
+                k, d, p = key[low : low + _PART], doc[at[low : low + _PART]], pos[at[low : low + _PART]]
+                bucket = ((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                k, d, p, bucket = k[order].astype(np.uint32), d[order], p[order].astype(np.int64) * len(WIDER) + n, bucket[order]
+                cut, rows = _cuts(bucket), []
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    own = _cuts(d[a:b])
+                    rows.append((int(bucket[a]), k[a:b].tobytes(), _packed(np.diff(own), np.uint32), _packed(d[a:b][own[:-1]], np.int64), _packed(p[a:b], np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=_names(_SEEDS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for part, docs, places, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now and held:
+                    yield from close(held)
+                now = part
+                held.append((_unpacked(docs, np.int64), _unpacked(places, np.int32), np.frombuffer(names, np.uint64)))
+        if held:
+            yield from close(held)
+
+    return run
+
+
 def _known(parts: int):
     """Passages found before, as rows among the links (kind 2)."""
 
@@ -576,8 +653,8 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, share: float = 0.8
     passage starts and ends with words that match; its partner shares a seed within EDGE words of either end.
 
     A document meets every earlier holder of its seeds that up to HOLDERS documents hold, and the first
-    holder and the one before of others.  Dense runs of such hot seeds that no passages
-    cover meet holders further back, to four times as far in each pass, until a pass covers nothing new.
+    holder and the one before of others.  Dense runs of such hot seeds that no passages cover are met
+    once more by their wider seeds, in the same way.
 
     Every repeated word is covered, but a partner whose passage lies within another one's may go unlisted.
     Null texts or ids have no passages; of rows that repeat a doc_id the least text counts; repetition
@@ -601,37 +678,31 @@ def _passages(docs: DataFrame, least_words: int, share: float) -> DataFrame:
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     buckets = 4 * tasks
-    seeds = docs.mapInArrow(_seeds(buckets), _SEEDS).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    shared = materialise(seeds.mapInArrow(_shared, _SHARED), "shared")
-    tables, spans, low, high, wanted = [shared], None, 1, 2, None
-    while True:
-        links = shared.mapInArrow(_links(low, high, buckets, wanted), _LINKS)
-        if spans is not None:
-            links = links.unionByName(spans.select("doc_id", "other_id", "first_word", "end_word").mapInArrow(_known(buckets), _LINKS))
-        links = links.repartition(tasks, "part").sortWithinPartitions("part")
-        groups = materialise(links.mapInArrow(_groups(least_words, share), _GROUP), "groups")
+
+    def dealt(rows: DataFrame, by: str) -> DataFrame:
+        return rows.repartition(tasks, by).sortWithinPartitions(by)
+
+    def found(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(passages, groups, those of the passages that were aligned)"""
+        groups = materialise(dealt(links, "part").mapInArrow(_groups(least_words, share), _GROUP), "groups")
         aligned = _align_groups(groups.where("kind = 0").drop("kind"), docs, least_words, share, tasks)
         sure = "doc_id", "other as other_id", "first as first_word", "end as end_word", "first - low as other_first", "end - low as other_end", "kind as n_same"
-        new = aligned.unionByName(groups.where("kind > 1").selectExpr(*sure))
-        tables += [groups, aligned]
-        inside = F.expr(f"n.doc_id = o.doc_id and o.first_word <= n.first_word + {EDGE} and n.end_word <= o.end_word + {EDGE}")
-        fresh = new if spans is None else new.alias("n").join(spans.alias("o"), inside, "left_anti")
-        if fresh.isEmpty():
-            break
-        spans = new if spans is None else spans.unionByName(new)
-        covered = _islands(spans)
-        within = F.expr(f"r.doc_id = s.doc_id and s.first_word <= r.left_word + {EDGE} and r.right_word <= s.end_word + {EDGE}")
-        open_runs = groups.where("kind = 1").alias("r").join(covered.alias("s"), within, "left_anti")
-        stretch = F.explode(F.expr(f"sequence(greatest(left_word - {REACH}, 0L) div {STRETCH}, (right_word + {REACH}) div {STRETCH})"))
-        needy = open_runs.select("doc_id", stretch.alias("stretch")).selectExpr("doc_id ^ shiftleft(stretch, 40) as id")
-        needy = materialise(needy.distinct(), "needy")
-        tables.append(needy)
-        if needy.isEmpty():
-            break
-        wanted = id_filter(needy)
-        low, high = high, 4 * high
-    out = materialise((new if spans is None else spans).distinct(), "spans")
-    for table in tables:
+        return aligned.unionByName(groups.where("kind > 1").selectExpr(*sure)), groups, aligned
+
+    shared = materialise(dealt(docs.mapInArrow(_seeds(buckets), _SEEDS), "bucket").mapInArrow(_shared, _SHARED), "shared")
+    spans, *tables = found(shared.mapInArrow(_links(buckets, False), _LINKS))
+    within = F.expr(f"r.doc_id = s.doc_id and s.first_word <= r.left_word + {EDGE} and r.right_word <= s.end_word + {EDGE}")
+    open_runs = tables[0].where("kind = 1").alias("r").join(_islands(spans).alias("s"), within, "left_anti")
+    stretch = F.explode(F.expr(f"sequence(greatest(left_word - {REACH}, 0L) div {STRETCH}, (right_word + {REACH}) div {STRETCH})"))
+    needy = materialise(open_runs.select("doc_id", stretch.alias("stretch")).selectExpr("doc_id ^ shiftleft(stretch, 40) as id").distinct(), "needy")
+    if not needy.isEmpty():
+        hot = dealt(shared.mapInArrow(_hot(buckets, id_filter(needy, always=True)), _HOT), "part")
+        wider = materialise(dealt(hot.mapInArrow(_widened(buckets), _SEEDS), "bucket").mapInArrow(_shared, _SHARED), "wider")
+        known = spans.select("doc_id", "other_id", "first_word", "end_word").mapInArrow(_known(buckets), _LINKS)
+        more, *others = found(wider.mapInArrow(_links(buckets, True), _LINKS).unionByName(known))
+        spans, tables = spans.unionByName(more), [*tables, *others, wider]
+    out = materialise(spans.distinct(), "spans")
+    for table in (shared, needy, *tables):
         discard(table)
     return out
 

@@ -92,12 +92,15 @@ class IdFilter:
         return self
 
 
-def id_filter(ids: DataFrame):
-    """A broadcast filter of a table of ids (its first column), or None if they are more than FILTER_IDS."""
+def id_filter(ids: DataFrame, always: bool = False):
+    """A broadcast filter of a table of ids (its first column), or None if they are more than FILTER_IDS.
+
+    With ``always`` more ids share the bits of so many: the filter lets more of the others pass, but holds each id.
+    """
     spark, n = ids.sparkSession, ids.count()
-    if n > FILTER_IDS:
+    if n > FILTER_IDS and not always:
         return None
-    size = 1 << max(16, (8 * max(n, 1)).bit_length())
+    size = 1 << max(16, (8 * max(min(n, FILTER_IDS), 1)).bit_length())
 
     def run(batches):
         own = IdFilter(size)
