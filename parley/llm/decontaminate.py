@@ -6,6 +6,7 @@ pieces of as many shingles as the class's largest item.  A piece that holds m sh
 with it in about m / (piece + item) of the coordinates, so over a document that contains 80 % of an item
 at least 10 of the 64 are expected to agree, wherever in the document they stand; one agreement makes a
 candidate (no agreement: under 1 in 20,000).  Candidates are confirmed by exact shingle containment.
+Items of fewer words than a shingle has are one shingle of their own length, which is looked for as it is.
 
 The items are the query set.  They are sent to the tasks in blocks of bounded size; documents are read
 once for each block and never shuffled.
@@ -24,6 +25,8 @@ from parley.llm import textkit as tk
 from parley.llm.store import materialise, small_batches
 
 COORDINATES = 64
+#: Items of fewer words stand in too many texts by chance; they match only texts of the same words.
+SHORTEST = 3
 #: Bytes of item text in a block; a block's broadcast takes a small multiple of this.
 BLOCK_BYTES = 8 << 20
 _A = np.random.default_rng(77).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -37,23 +40,31 @@ def _class_of(n: int) -> int:
     return size
 
 
-def _shingles(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for first, n, data, offsets in tk.text_chunks(column):
         start, end, row = tk.words(data, offsets)
-        yield (first, n, *tk.shingle_hashes(tk.word_hashes(data, start, end), row, k))
+        yield first, n, tk.word_hashes(data, start, end), row
 
 
 class _Index:
     """Sets of a block of items and, for each size class, the items by coordinate value."""
 
     def __init__(self, ids: list, texts: list, k: int):
-        self.ids, self.sets = [], []
-        for first, n, h, r in _shingles(pa.array(texts, pa.string()), k):
+        self.ids, self.sets, short = [], [], {}
+        for first, n, words, rows in _words(pa.array(texts, pa.string())):
+            h, r = tk.shingle_hashes(words, rows, k)
+            count = np.bincount(rows, minlength=n)
             for i in range(n):
+                if SHORTEST <= count[i] < k:
+                    own = tk.shingle_hashes(words[rows == i], np.zeros(count[i], np.int64), int(count[i]))[0]
+                    short.setdefault(int(count[i]), []).append((own[0], ids[first + i]))
+                    continue
                 found = np.unique(h[r == i])
                 if len(found):
                     self.ids.append(ids[first + i])
                     self.sets.append(found)
+        #: Words of a short item: (hashes in order, items).
+        self.short = {n: (np.array([h for h, _ in own], np.uint64), [i for _, i in own]) for n, own in ((n, sorted(own, key=lambda x: int(x[0]))) for n, own in short.items())}
         self.classes: dict[int, tuple] = {}
         for size in sorted({_class_of(len(s)) for s in self.sets}):
             members = [i for i, s in enumerate(self.sets) if _class_of(len(s)) == size]
@@ -64,6 +75,16 @@ class _Index:
             seen[np.broadcast_to(np.arange(COORDINATES), low.shape), (low & np.uint64(0xFFFF)).astype(np.int64)] = True
             self.classes[size] = (keys.reshape(-1)[order], np.repeat(members, COORDINATES)[order], seen)
 
+    def held(self, words: np.ndarray, rows: np.ndarray) -> set[tuple[int, int, int | None]]:
+        """(row, words, item) of the short items that stand in the texts."""
+        found: set[tuple] = set()
+        for n, (hashes, items) in self.short.items():
+            h, r = tk.shingle_hashes(words, rows, n)
+            a, b = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+            for i in np.flatnonzero(b > a):
+                found.update((int(r[i]), n, at) for at in range(a[i], b[i]))
+        return {(row, n, self.short[n][1][at]) for row, n, at in found}
+
     def candidates(self, h: np.ndarray, r: np.ndarray) -> set[tuple[int, int]]:
         """(row, item) pairs of which some piece agrees in a coordinate."""
         found: set[tuple[int, int]] = set()
@@ -88,9 +109,10 @@ class _Index:
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     """(doc_id, item_id, containment, n_shingles) of documents that hold at least ``share`` of an item.
 
-    An item's set is its distinct k-word shingles (with fewer words, the whole sequence as one, which then
-    only a document of the same few words holds).  Items or documents without words never match.  Rows with
-    a null item_id or doc_id take part and show the null.  Items of equal text are reported each.
+    An item's set is its distinct k-word shingles; with fewer words, down to SHORTEST, it is one shingle of its own
+    length, and with still fewer only a document of the same words holds it.  Items or documents without words
+    never match.  Rows with a null item_id or doc_id take part and show the null.  Items of equal text are reported
+    each, and so are rows that repeat.  Empty tables give no rows; texts are taken whole; other columns are not read.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -109,7 +131,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: float
             own = index.value
             for batch in batches:
                 hits: list[tuple] = []
-                for first, _, h, r in _shingles(batch.column(1), k):
+                for first, _, words, rows in _words(batch.column(1)):
+                    h, r = tk.shingle_hashes(words, rows, k)
+                    hits += [(first + row, item, 1.0, 1) for row, _, item in own.held(words, rows)]
                     begin = np.searchsorted(r, np.arange(int(r[-1]) + 2)) if len(r) else None
                     for row, item in own.candidates(h, r):
                         wanted = own.sets[item]
@@ -133,6 +157,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: float
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item; rows with a null doc_id stay."""
+    """The rows of ``docs`` whose text holds no benchmark item, with all their columns; rows with a null doc_id stay.
+
+    Of rows that repeat a doc_id all go if one holds an item.  Empty tables are no special case.
+    """
     hit = materialise(contaminated(docs, benchmark, k, share).select("doc_id").distinct(), "leaks")
     return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)

@@ -42,13 +42,16 @@ NO_TEXT_NAMES = re.compile(
     r"disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widget|tags)(?:$|[\s_-])",
     re.I,
 )
+#: Names that tell what a container has or lacks, or that belong to the article itself.
+NO_FURNITURE = re.compile(r"(?:has|have|no|not|with|without|hide|show|is)[_-].*|(?:article|post|entry|story|content|page|section)[_-]*(?:header|head|title|tags)", re.I)
 LEAST_PAGES = 3
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|</?[a-zA-Z][^>]*>|<[!?][^>]*>|</?[a-zA-Z][^>]*\Z|<|[^<]+",
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|"
+    r"</?[a-zA-Z](?:[^>\"'=]++|=\s*(?:\"[^\"]*\"|'[^']*')|[=\"'])*+>|<[!?][^>]*>|</?[a-zA-Z][^>]*\Z|<|[^<]+",
     re.S | re.I,
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, str]]:
@@ -84,21 +87,52 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, str]]:
                         del stack[i:]
                         break
             elif not token.endswith("/>"):
-                names = " ".join(a or b or c for a, b, c in _NAMES.findall(token))
+                names = " ".join(a or b or c for a, b, c in _NAMES.findall(token)).replace(">", " ").replace("|", " ")
                 stack.append(f"{name}|{re.sub(r'[0-9]+', '0', names)}" if names else name)
     flush()
     return out
 
 
-def is_furniture(labels: tuple[str, ...]) -> bool:
-    """Whether some open container is a menu, header, footer, sidebar, notice, advert, form or comments."""
-    inside = False
-    for label in labels:
-        name, _, names = label.partition("|")
-        if name in NO_TEXT or (name == "header" and not inside) or (names and name not in ("html", "body") and NO_TEXT_NAMES.search(names)):
-            return True
-        inside = inside or name in ("article", "main")
-    return False
+def _is_furniture(label: str, inside: bool) -> bool:
+    """Whether a container is a menu, header, footer, sidebar, notice, advert, form or comments; ``inside`` an article headers are not."""
+    name, _, names = label.partition("|")
+    if name in NO_TEXT or (name == "header" and not inside):
+        return True
+    if name in ("html", "body", "main"):
+        return False
+    return any(NO_TEXT_NAMES.search(n) and not NO_FURNITURE.fullmatch(n) and not (inside and n.lower() == "header") for n in names.split())
+
+
+def furniture(paths: list, sizes: list[int]) -> list[bool]:
+    """Of blocks with these open containers and lengths, those that stand in furniture.
+
+    A container that looks like furniture is none if it holds more than half of the text of all article and main
+    elements (a page's layout, an unclosed menu).  Where no block would be left, names do not count, and where none
+    is left even so, forms and menus hold text as well.
+    """
+    first = [next((i for i, label in enumerate(p) if label.partition("|")[0] in ("article", "main")), len(p)) for p in paths]
+    marked = sum(n for p, i, n in zip(paths, first, sizes, strict=True) if i < len(p))
+    held: dict[tuple, int] = {}
+    if marked:
+        for p, i, n in zip(paths, first, sizes, strict=True):
+            for k in range(1, i + 1) if i < len(p) else ():
+                held[tuple(p[:k])] = held.get(tuple(p[:k]), 0) + n
+    known: dict[tuple, bool] = {}
+
+    def inside(path, at: int) -> bool:
+        whole = tuple(path)
+        if whole not in known:
+            known[whole] = any(
+                _is_furniture(label, k > at) and not (k < at < len(path) and 2 * held.get(whole[: k + 1], 0) > marked) for k, label in enumerate(path)
+            )
+        return known[whole]
+
+    out = [inside(p, i) for p, i in zip(paths, first, strict=True)]
+    for hidden in (NO_TEXT, NO_TEXT - {"form", "menu", "nav", "dialog"}):
+        if not all(out):
+            break
+        out = [any(label.partition("|")[0] in hidden or label.partition("|")[0] == "header" for label in p) for p in paths]
+    return out
 
 
 def digest(text: str) -> str:
@@ -202,13 +236,12 @@ def _digest(wrapper: dict) -> dict:
     enough = max(LEAST_PAGES, wrapper["n"] / 2)
     fixed: dict[str, list[str]] = {}
     slots: list[tuple[list[str], int]] = []
-    for key, _, _, texts, n, support in wrapper["items"]:
-        path = key.rpartition(" ")[0]
+    paths = [key.rpartition(" ")[0].split(">") if key.rpartition(" ")[0] else [] for key, *_ in wrapper["items"]]
+    for labels, hidden, (key, _, _, texts, n, support) in zip(paths, furniture(paths, [i[4] for i in wrapper["items"]]), wrapper["items"], strict=True):
         if support >= enough and texts:
             fixed[key] = sorted({*fixed.get(key, []), *texts})
             n -= support * sum(texts.values())
-        labels = path.split(">") if path else []
-        if n > 0 and not is_furniture(tuple(labels)):
+        if n > 0 and not hidden:
             slots.append((labels, n))
     marked = any(is_marked(labels) for labels, _ in slots)
     if marked:
@@ -239,10 +272,11 @@ def main_text(page: str, wrapper: dict) -> str:
     template count.
     """
     fixed, region = wrapper["fixed"], wrapper["region"]
+    read = blocks(page)
     found = [
         (path, text)
-        for path, tag, text in blocks(page)
-        if not is_furniture(path) and (is_marked(path) or digest(text) not in fixed.get(f"{'>'.join(path)} {tag}", ()))
+        for (path, tag, text), hidden in zip(read, furniture([p for p, *_ in read], [len(t) for *_, t in read]), strict=True)
+        if not hidden and (is_marked(path) or digest(text) not in fixed.get(f"{'>'.join(path)} {tag}", ()))
     ]
     inside = [text for path, text in found if list(path[: len(region)]) == region and (not wrapper["marked"] or is_marked(path))]
     return "\n".join(inside or [text for _, text in found])

@@ -134,16 +134,21 @@ def test_language(spark):
 def test_decontamination(spark):
     from parley.llm.decontaminate import contaminated, without_contaminated
 
-    items = [(i, text(n)) for i, n in enumerate((3, 5, 8, 20, 40, 60, 150))] + [(20, None), (21, ""), (None, text(30))]
+    items = [(i, text(n)) for i, n in enumerate((3, 5, 8, 20, 40, 60, 150))] + [(20, None), (21, ""), (None, text(30)), (22, text(4)), (23, "one two"), (24, "One two")]
     rows = [(i, text(3000) + " " + t + " " + text(40)) for i, (j, t) in enumerate(items) if t and j] + [(50 + i, text(300)) for i in range(10)] + [(70, items[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = docs_of(spark, rows + EDGES)
-    sets = {i: shingles(t, 5) for i, t in items}
-    want = {(d, i) for d, t in rows + EDGES for i, s in sets.items() if s and len(s & shingles(t, 5)) >= 0.8 * len(s)}
+    rows += [(80, text(50) + " " + items[10][1] + " " + text(9)), (80, text(30)), (81, "one two three")]
+    df = docs_of(spark, rows + EDGES)
+    size = {i: min(5, len(words(t))) if len(words(t)) >= 3 else 5 for i, t in items}
+    sets = {i: shingles(t, size[i]) for i, t in items}
+    want = {(d, i) for d, t in rows + EDGES for i, s in sets.items() if s and len(s & shingles(t, size[i])) >= 0.8 * len(s)}
+    assert {(80, 22), (70, 0), (903, 23), (904, 24)} <= want
     assert {(r.doc_id, r.item_id) for r in contaminated(df, bench).collect()} == want
     kept = {r.doc_id for r in without_contaminated(df, bench).collect()}
-    assert kept == {d for d, _ in rows + EDGES} - {d for d, _ in want}
-    assert contaminated(df, bench.limit(0)).count() == 0
+    assert kept == {d for d, _ in rows + EDGES} - {d for d, _ in want if d is not None}
+    assert contaminated(df, bench.limit(0)).count() == 0 and contaminated(df.limit(0), bench).count() == 0
+    assert without_contaminated(df.limit(0), bench).columns == df.columns
 
 
 def test_pages(spark):
@@ -162,6 +167,29 @@ def test_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_furniture_hides_no_article(spark):
+    from parley.llm.wrappers import extract_main_text
+
+    body = "<h1>T {i}</h1><p>first words of number {i}</p><p>more words of it</p>"
+    aside = "<aside class=related><article><p>Teaser</p></article></aside><footer>me</footer>"
+    pages = [
+        f'<div class="layout has-sidebar"><article>{body}</article><div class=sidebar>S</div></div>{aside}',
+        f'<main class="content no-comments">{body}</main>{aside}',
+        f"<form><article>{body}</article><p>Send</p></form>{aside}",
+        f'<article><div class="article-header"><h1>T {{i}}</h1></div><p>first words of number {{i}}</p><p>more words of it</p><div class="share">Share</div></article>{aside}',
+        f"<nav>Home<article>{body}</article>{aside}",
+        f'<article data-id="nav">{body}</article><section id=comments><article class=comment><p>Nice and a rather long comment it is, with many words</p></article></section>{aside}',
+        f'<div class="page-menu wide">{body}</div>',
+    ]
+    rows = [(10 * n + i, f"http://h{n}.x/p", page.replace("{i}", str(i))) for n, page in enumerate(pages) for i in range(4)]
+    rows += [(100, "http://q.x", '<p title="a > b">Hello</p><img alt="x > y"><p class=\'c>d\'>there</p><p it\'s>you</p><a title="open>end</a>')]
+    by = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(len(pages)):
+        for i in range(4):
+            assert by[10 * n + i] == (f"T {i}\nfirst words of number {i}\nmore words of it" if n < 6 else f"T {i}\nfirst words of number {i}"), (n, i)
+    assert by[100] == "Hello\nthere\nyou\nend"
+
+
 def test_wrappers_choose_the_region(spark):
     from parley.llm.wrappers import extract_main_text, main_text
 
