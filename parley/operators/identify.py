@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.operators import regroup
@@ -276,15 +276,41 @@ class Stable(Machine):
             yield seg_ix, self.total.tolist()
 
 
+class _Settled(Stable):
+    """E5 as a mark of every segment."""
+
+    def row(self, seg_ix, embedding) -> Iterable[tuple]:
+        yield seg_ix, bool(list(super().row(seg_ix, embedding)))
+
+
+def _by_speaker(segments: DataFrame, machine, schema: str) -> DataFrame:
+    rows = segments.where("embedding is not null").select("session_id", "speaker", "seg_ix", "embedding")
+    return fold(rows, ["session_id", "speaker"], ["seg_ix"], machine, f"seg_ix {dict(segments.dtypes)['seg_ix']}, {schema}")
+
+
+def is_stable(segments: DataFrame) -> DataFrame:
+    """E5: (session_id, speaker, seg_ix, stable): whether the speaker has settled at the segment, by its running sum.
+
+    segments: session_id, speaker, seg_ix, embedding; rows without embedding are left out.
+    """
+    return _by_speaker(segments, _Settled, "stable boolean")
+
+
 def stable_centroids(segments: DataFrame) -> DataFrame:
     """E5: the running sum of each speaker of a session at every segment at which it has settled.
 
     segments: session_id, speaker, seg_ix, embedding.  Returns who (struct of session_id, speaker), seg_ix, centroid.
     """
-    rows = segments.where("embedding is not null").select(F.to_json(F.struct("session_id", "speaker")).alias("who"), "seg_ix", "embedding")
-    found = fold(rows, "who", ["seg_ix"], Stable, f"seg_ix {dict(segments.dtypes)['seg_ix']}, centroid array<double>")
-    kind = dict(segments.dtypes)
-    return found.withColumn("who", F.from_json("who", f"session_id {kind['session_id']}, speaker {kind['speaker']}"))
+    found = _by_speaker(segments, Stable, "centroid array<double>")
+    return found.select(F.struct("session_id", "speaker").alias("who"), "seg_ix", "centroid")
+
+
+def segment_lists(segments: DataFrame, first: int = 3, last: int = 30, golden: int = 5) -> DataFrame:
+    """(session_id, speaker, seg_ix, in_first, in_last, in_golden): whether a segment is among the ``first`` or the
+    ``golden`` oldest or the ``last`` newest ones of its speaker."""
+    w = Window.partitionBy("session_id", "speaker")
+    up, down = F.row_number().over(w.orderBy("seg_ix")), F.row_number().over(w.orderBy(F.desc("seg_ix")))
+    return segments.select("session_id", "speaker", "seg_ix", (up <= first).alias("in_first"), (down <= last).alias("in_last"), (up <= golden).alias("in_golden"))
 
 
 class Viterbi(Machine):

@@ -20,13 +20,39 @@ QUERY_BLOCK = 1 << 20
 RICH = 15
 
 
+def _partial_sums(keys: list[str]):
+    """Sums of the vectors of each key and length within a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(len(keys))))
+            column = batch.column(len(keys))
+            size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            named = batch.select(keys).to_pandas()
+            for n in np.unique(size[size > 0]):
+                at = np.flatnonzero(size == n)
+                group = named.iloc[at].groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+                first = np.unique(group, return_index=True)[1]
+                sums = np.zeros((len(first), n))
+                np.add.at(sums, group, np.nan_to_num(flat(column.take(pa.array(at))).reshape(-1, n), nan=0.0, posinf=np.inf, neginf=-np.inf))
+                offsets = pa.array(np.arange(len(first) + 1, dtype=np.int32) * np.int32(n))
+                own = batch.select(keys).take(pa.array(at[first]))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(offsets, pa.array(sums.reshape(-1))), pa.array(np.bincount(group))], names=[*keys, "total", "n"])
+
+    return run
+
+
 def sum_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """Element-wise sum of a vector column per group, as ``total``, and the row count ``n``.
 
-    Sums are partial before the shuffle, so a hot group costs one row of each element for each task.
+    Batches are summed before the shuffle, so a hot group costs one vector for each batch.  Null vectors are left out;
+    a null element counts as 0.
     """
-    each = df.select(*keys, F.posexplode(F.col(vector).cast("array<double>")).alias("at", "x"))
-    sums = each.groupBy(*keys, "at").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    kind = dict(df.dtypes)
+    rows = df.select(*keys, F.col(vector).cast("array<double>").alias("v__"))
+    part = rows.mapInArrow(_partial_sums(keys), "".join(f"`{k}` {kind[k]}, " for k in keys) + "total array<double>, n long")
+    each = part.select(*keys, "n", F.posexplode("total").alias("at", "x"))
+    sums = each.groupBy(*keys, "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     return sums.groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("total"), F.max("n").alias("n")
     )

@@ -186,14 +186,7 @@ c AS (SELECT session_id, speaker, seg_ix, max(n) AS n, sum(s * (s - x)) / (sqrt(
 SELECT session_id, speaker, seg_ix, n >= 3 AND 1 - cos < 0.05 AS stable FROM c""",
 )
 def e5(spark, d):
-    el = a.segments(spark, d).select("session_id", "speaker", "seg_ix", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
-    w = Window.partitionBy("session_id", "speaker", "pos").orderBy("seg_ix").rowsBetween(Window.unboundedPreceding, 0)
-    el = el.withColumn("s", F.sum("x").over(w)).withColumn("n", F.count("*").over(w)).withColumn("p", F.col("s") - F.col("x"))
-    g = el.groupBy("session_id", "speaker", "seg_ix").agg(
-        F.max("n").alias("n"), F.sum(F.col("s") * F.col("p")).alias("sp"), F.sum(F.col("s") ** 2).alias("ss"), F.sum(F.col("p") ** 2).alias("pp")
-    )
-    cos = F.col("sp") / (F.sqrt("ss") * F.sqrt("pp") + 1e-10)
-    return g.select("session_id", "speaker", "seg_ix", ((F.col("n") >= 3) & (1 - cos < 0.05)).alias("stable"))
+    return idf.is_stable(a.segments(spark, d))
 
 
 @query("f4_newest_snapshots", "SELECT user_id, day FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS rn FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)) WHERE rn <= 7")
@@ -298,6 +291,20 @@ def e8(spark, d):
     return idf.viterbi_smooth(a.segments(spark, d), "session_id", "seg_ix", "speaker")
 
 
-@query("e7_speech_segments")
+E7 = f"""WITH {a.CHUNKS}, o AS (SELECT stream_id, list(struct_pack(i := CAST(-1 AS BIGINT), first := CAST(NULL AS BIGINT), quiet := 0, loud := level >= 0.1,
+ done := CAST([] AS STRUCT(first BIGINT, stop BIGINT)[])) ORDER BY seq) AS rows FROM chunks GROUP BY stream_id),
+f AS (SELECT stream_id, len(rows) AS n, list_reduce(list_concat([struct_pack(i := CAST(-1 AS BIGINT), first := CAST(NULL AS BIGINT), quiet := 0, loud := false, done := CAST([] AS STRUCT(first BIGINT, stop BIGINT)[]))], rows),
+ lambda s, x: CASE
+ WHEN s.first IS NULL AND NOT x.loud THEN struct_pack(i := s.i + 1, first := s.first, quiet := s.quiet, loud := x.loud, done := s.done)
+ WHEN NOT x.loud AND s.quiet + 1 >= 2 THEN struct_pack(i := s.i + 1, first := CAST(NULL AS BIGINT), quiet := 0, loud := x.loud,
+  done := CASE WHEN s.i + 1 - s.quiet - coalesce(s.first, s.i + 1) >= 3 THEN list_append(s.done, struct_pack(first := coalesce(s.first, s.i + 1), stop := s.i + 1 - s.quiet)) ELSE s.done END)
+ WHEN s.i + 1 - coalesce(s.first, s.i + 1) >= 20 THEN struct_pack(i := s.i + 1, first := CAST(NULL AS BIGINT), quiet := 0, loud := x.loud,
+  done := list_append(s.done, struct_pack(first := coalesce(s.first, s.i + 1), stop := s.i + 2)))
+ ELSE struct_pack(i := s.i + 1, first := coalesce(s.first, s.i + 1), quiet := CASE WHEN x.loud THEN 0 ELSE s.quiet + 1 END, loud := x.loud, done := s.done) END) AS s FROM o),
+u AS (SELECT stream_id, unnest(CASE WHEN s.first IS NOT NULL AND n - s.first >= 3 THEN list_append(s.done, struct_pack(first := s.first, stop := n)) WHEN len(s.done) = 0 THEN [struct_pack(first := CAST(0 AS BIGINT), stop := n)] ELSE s.done END) AS u FROM f)
+SELECT stream_id, u.first AS first, u.stop AS stop FROM u"""
+
+
+@query("e7_speech_segments", E7)
 def e7(spark, d):
     return speech_segments(a.chunks(spark, d), "stream_id", "seq", "level", limit=0.1, speech=3, silence=2, most=20)

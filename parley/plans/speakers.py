@@ -10,6 +10,7 @@ from parley.functions.vectors import cosine_sim, dot, effective_high, l2_normali
 from parley.operators import activation as act
 from parley.operators import maintenance as mt
 from parley.operators import matching as m
+from parley.operators.identify import segment_lists
 from parley.operators.tags import create_profiles
 from parley.plans import adapters as a
 from parley.plans.registry import query, table
@@ -122,9 +123,13 @@ def h3(spark, d):
     return a.profiles(spark, d).select("id", R(effective_high(F.col("n"))).alias("high"))
 
 
-@query("h2_l2_normalize", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS x0 FROM e")
+@query(
+    "h2_l2_normalize",
+    "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, CAST(generate_subscripts(e, 1) - 1 AS INTEGER) AS pos, round(unnest(e) / sqrt(list_dot_product(e, e)), 6) AS x FROM e",
+)
 def h2(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", R(l2_normalize(F.col("embedding").cast("array<double>"))[0]).alias("x0"))
+    unit = table(spark, d, "embeddings").select("vec_id", F.posexplode(l2_normalize(F.col("embedding").cast("array<double>"))).alias("pos", "x"))
+    return unit.withColumn("x", R("x"))
 
 
 @query(
@@ -236,10 +241,13 @@ def d7(spark, d):
     return mt.profile_stats(known, mapping).withColumn("total_sec", R("total_sec")).withColumn("quality", R("quality"))
 
 
-@query("e11_first_last", f"WITH {a.SEGMENTS} SELECT session_id, speaker, seg_ix FROM (SELECT *, row_number() OVER (PARTITION BY session_id, speaker ORDER BY seg_ix) AS rn FROM segments) WHERE rn <= 3")
+@query(
+    "e11_first_last",
+    f"WITH {a.SEGMENTS} SELECT session_id, speaker, seg_ix, row_number() OVER up <= 3 AS in_first, row_number() OVER down <= 30 AS in_last, row_number() OVER up <= 5 AS in_golden FROM segments "
+    "WINDOW up AS (PARTITION BY session_id, speaker ORDER BY seg_ix), down AS (PARTITION BY session_id, speaker ORDER BY seg_ix DESC)",
+)
 def e11(spark, d):
-    w = Window.partitionBy("session_id", "speaker").orderBy("seg_ix")
-    return a.segments(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("session_id", "speaker", "seg_ix")
+    return segment_lists(a.segments(spark, d))
 
 
 @query(

@@ -163,3 +163,21 @@ def test_viterbi_holds_little_of_a_long_session():
     out.extend(machine.end())
     assert [v for _, v in out] == regroup.viterbi(seen, 4).tolist() and [i for i, _ in out] == list(range(len(seen)))
     assert most < 1000
+
+
+def test_windows_drop_late_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from parley.streaming.windows import sessions, sliding, tumbling
+
+    schema = "user long, value double, ts timestamp"
+    draw = np.random.default_rng(6)
+    times = np.cumsum(draw.integers(5, 90, 60))
+    rows = [(int(i % 2), float(i), at(t)) for i, t in enumerate(times)]
+    end = (9, 0.0, at(99999))
+    feed = Feed(spark, tmp_path, schema, [*shuffled(rows, 4, 3, 3), [end], [(1, 5.0, at(times[3]))]])
+    batch, sums = spark.createDataFrame(rows, schema), [F.count("*").alias("n"), F.sum("value").alias("total")]
+    for n, make in enumerate((lambda df: tumbling(df, ["user"], "ts", "5 minutes", sums), lambda df: sliding(df, ["user"], "ts", "5 minutes", "2 minutes", sums), lambda df: sessions(df, ["user"], "ts", "100 seconds", sums))):
+        got, dropped = feed.run(make(feed.stream("600 seconds")), f"windows{n}")
+        assert dropped >= 1
+        assert sorted(r for r in got if r[0] < 9) == sorted(map(tuple, make(batch).collect()))
