@@ -177,7 +177,10 @@ def _by_part(doc, other, x, y, kind, parts: int) -> pa.RecordBatch:
 
 
 def _occurrences(counts: bytes, docs: bytes, places: bytes) -> tuple[np.ndarray, ...]:
-    """(document, place, first occurrence and end of the holder, its number, its rank in the seed, holders, whether hot)."""
+    """(document, place, begin and end of the holders, number of the own one, its rank in the seed, holders, heat, first occurrence of the seed).
+
+    Heat is 1 for a seed that more than HOLDERS documents hold, else 3 if one holds it at PLACES and more, else 0.
+    """
     counts, doc, pos = _unpacked(counts, np.int32), _unpacked(docs, np.int64), _unpacked(places, np.int32)
     key = np.repeat(np.arange(len(counts)), counts)
     fresh = np.r_[True, key[1:] != key[:-1]]
@@ -188,7 +191,8 @@ def _occurrences(counts: bytes, docs: bytes, places: bytes) -> tuple[np.ndarray,
     first = np.flatnonzero(fresh[begin])
     rank = (np.arange(len(begin)) - first[seed])[holder]
     held_by, most = np.bincount(seed)[seed][holder], np.maximum.reduceat(end - begin, first)[seed][holder]
-    return doc, pos, begin, end, holder, rank, held_by, (held_by > HOLDERS) | (most >= PLACES), np.flatnonzero(fresh)[key]
+    heat = np.where(held_by > HOLDERS, 1, np.where(most >= PLACES, 3, 0)).astype(np.int8)
+    return doc, pos, begin, end, holder, rank, held_by, heat, np.flatnonzero(fresh)[key]
 
 
 def _links(parts: int, wider: bool):
@@ -198,10 +202,11 @@ def _links(parts: int, wider: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                doc, pos, begin, end, holder, rank, held_by, hot, _ = _occurrences(*row)
-                nth, found = np.arange(len(doc)) - begin[holder], []
+                doc, pos, begin, end, holder, rank, held_by, heat, _ = _occurrences(*row)
+                nth = np.arange(len(doc)) - begin[holder]
                 for at, other in _partners(holder, rank, held_by):
                     a, b = begin[other], end[other] - 1
                     same = np.minimum(a + nth[at], b)
@@ -210,17 +215,17 @@ def _links(parts: int, wider: bool):
                         if not len(i):
                             continue
                         if not wider:
-                            found.append((doc[i], doc[j], pos[i], pos[j], hot[i]))
+                            found.append((doc[i], doc[j], pos[i], pos[j], heat[i]))
                             continue
                         for n, steps in enumerate(WIDER):
                             own = pos[i] % len(WIDER) == n
                             p, q = i[own], j[own]
-                            found += [(doc[p], doc[q], pos[p] // len(WIDER) + d, pos[q] // len(WIDER) + d, np.zeros(len(p), bool)) for d in steps if len(p)]
+                            found += [(doc[p], doc[q], pos[p] // len(WIDER) + d, pos[q] // len(WIDER) + d, np.zeros(len(p), np.int8)) for d in steps if len(p)]
                     if sum(len(f[0]) for f in found) > 2 * _PART:
                         yield _by_part(*(np.concatenate(c) for c in zip(*found, strict=True)), parts)
                         found.clear()
-                if found:
-                    yield _by_part(*(np.concatenate(c) for c in zip(*found, strict=True)), parts)
+        if found:
+            yield _by_part(*(np.concatenate(c) for c in zip(*found, strict=True)), parts)
 
     return run
 
@@ -228,23 +233,34 @@ def _links(parts: int, wider: bool):
 def _hot(parts: int, wanted):
     """All occurrences of hot seeds that stand in one of the stretches ``wanted``, by documents: place and name of the seed."""
 
+    def packed(found: list[tuple]) -> pa.RecordBatch:
+        doc, pos, name = (np.concatenate(c) for c in zip(*found, strict=True))
+        found.clear()
+        part = (tk.mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, doc, pos, name = part[order], doc[order], pos[order], name[order]
+        cut = _cuts(part)
+        rows = [(int(part[a]), _packed(doc[a:b], np.int64), _packed(pos[a:b], np.int32), name[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=_names(_HOT))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                doc, pos, *_, hot, first = _occurrences(*row)
-                asked = np.zeros(len(doc), dtype=bool)
+                doc, pos, *_, heat, first = _occurrences(*row)
+                hot, asked = heat > 0, np.zeros(len(doc), dtype=bool)
                 asked[hot] = wanted.value.holds(doc[hot] ^ (pos[hot].astype(np.int64) // STRETCH << 40))
-                at = np.flatnonzero(np.isin(first, first[asked]))
-                if not len(at):
-                    continue
-                # A seed is named by its first occurrence, which no other seed has.
-                name = tk.mix(doc[first[at]].view(np.uint64) ^ tk.mix(pos[first[at]].astype(np.uint64)))
-                part = (tk.mix(doc[at].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                part, own, place, name = part[order], doc[at][order], pos[at][order], name[order]
-                cut = _cuts(part)
-                rows = [(int(part[a]), _packed(own[a:b], np.int64), _packed(place[a:b], np.int32), name[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=_names(_HOT))
+                some = np.zeros(len(doc), dtype=bool)
+                some[first[asked]] = True
+                at = np.flatnonzero(some[first])
+                if len(at):
+                    # A seed is named by its first occurrence, which no other seed has.
+                    name = tk.mix(doc[first[at]].view(np.uint64) ^ tk.mix(pos[first[at]].astype(np.uint64)))
+                    found.append((doc[at], pos[at], name))
+                if sum(len(f[0]) for f in found) > 4 * _PART:
+                    yield packed(found)
+        if found:
+            yield packed(found)
 
     return run
 
@@ -252,7 +268,7 @@ def _hot(parts: int, wanted):
 def _widened(buckets: int):
     """Wider seeds of the hot ones of each document, by ranges of their hash; their place tells which kind they are."""
 
-    def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def wider(held: list[tuple]) -> Iterator[tuple]:
         doc, pos, name = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
         order = np.lexsort((pos, doc))
@@ -265,27 +281,35 @@ def _widened(buckets: int):
                 there = whole[place] == whole[at] + d
                 at, key, place = at[there], key[there], place[there]
                 key = tk.mix(key + name[place])
-            for low in range(0, len(at), _PART):
-                k, d, p = key[low : low + _PART], doc[at[low : low + _PART]], pos[at[low : low + _PART]]
-                bucket = ((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                k, d, p, bucket = k[order].astype(np.uint32), d[order], p[order].astype(np.int64) * len(WIDER) + n, bucket[order]
-                cut, rows = _cuts(bucket), []
-                for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    own = _cuts(d[a:b])
-                    rows.append((int(bucket[a]), k[a:b].tobytes(), _packed(np.diff(own), np.uint32), _packed(d[a:b][own[:-1]], np.int64), _packed(p[a:b], np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=_names(_SEEDS))
+            if len(at):
+                yield key, doc[at], pos[at].astype(np.int32) * len(WIDER) + n
+
+    def packed(made: list[tuple]) -> pa.RecordBatch:
+        key, doc, pos = (np.concatenate(c) for c in zip(*made, strict=True))
+        made.clear()
+        bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        key, doc, pos, bucket = key[order].astype(np.uint32), doc[order], pos[order], bucket[order]
+        cut, rows = _cuts(bucket), []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = _cuts(doc[a:b])
+            rows.append((int(bucket[a]), key[a:b].tobytes(), _packed(np.diff(own), np.uint32), _packed(doc[a:b][own[:-1]], np.int64), _packed(pos[a:b], np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=_names(_SEEDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+        held, made, now = [], [], None
         for batch in batches:
             for part, docs, places, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now and held:
-                    yield from close(held)
+                    made.extend(wider(held))
+                    if sum(len(m[0]) for m in made) > 4 * _PART:
+                        yield packed(made)
                 now = part
                 held.append((_unpacked(docs, np.int64), _unpacked(places, np.int32), np.frombuffer(names, np.uint64)))
         if held:
-            yield from close(held)
+            made.extend(wider(held))
+        if made:
+            yield packed(made)
 
     return run
 
@@ -303,7 +327,8 @@ def _known(parts: int):
 
 def _groups(least_words: int, share: float):
     """Groups of links of like diagonal that may be a passage (kind 0) or are one as they stand (kind: the
-    words of their seeds, all on one diagonal), and runs of hot seeds (kind 1).
+    words of their seeds, all on one diagonal), and runs of hot seeds (kind 1).  Links come with their heat, passages
+    that are known with 2.
 
     A group's words to align reach over the hot seeds next to it, as those may be linked with others
     than this partner.  Groups of which another partner's sure passage, or passages found before, cover all but
@@ -321,20 +346,21 @@ def _groups(least_words: int, share: float):
         ends = np.maximum.accumulate(starts - x[known] + y[known]) if len(known) else starts
         apart = np.flatnonzero(np.r_[True, starts[1:] > ends[:-1]]) if len(known) else known
         starts, ends = starts[apart], ends[np.r_[apart[1:], len(ends)] - 1] if len(known) else ends
-        hot, at = np.unique(whole[kind == 1], return_index=True)
-        hot_doc = doc[kind == 1][at]
+        hot, warm = np.unique(whole[kind == 1]), kind % 2 == 1
+        run_of, at = np.unique(whole[warm], return_index=True)
+        run_doc = doc[warm][at]
         breaks = np.flatnonzero(np.r_[True, np.diff(hot) > REACH]) if len(hot) else hot
         run = np.searchsorted(breaks, np.arange(len(hot)), side="right") - 1
         run_end = np.r_[breaks[1:], len(hot)] - 1
-        if len(hot):
-            first = np.flatnonzero(np.r_[True, np.diff(hot) > APART])
-            last = np.r_[first[1:], len(hot)] - 1
-            dense = (last - first + 1 >= DENSE) & (hot[last] - hot[first] + K >= least_words - 2 * EDGE)
+        if len(run_of):
+            first = np.flatnonzero(np.r_[True, np.diff(run_of) > APART])
+            last = np.r_[first[1:], len(run_of)] - 1
+            dense = (last - first + 1 >= DENSE) & (run_of[last] - run_of[first] + K >= least_words - 2 * EDGE)
             first, last = first[dense], last[dense]
-            zero, low = np.zeros(len(first), np.int64), hot[first] & 0xFFFFFFFF
-            cols = [hot_doc[first], zero, low, low + hot[last] - hot[first] + K, *[zero] * 6, zero + 1]
+            zero, low = np.zeros(len(first), np.int64), run_of[first] & 0xFFFFFFFF
+            cols = [run_doc[first], zero, low, low + run_of[last] - run_of[first] + K, *[zero] * 6, zero + 1]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=_names(_GROUP))
-        link = np.flatnonzero(kind < 2)
+        link = np.flatnonzero(kind != 2)
         if not len(link):
             return
         doc, other, x, y, whole = doc[link], other[link], x[link].astype(np.int64), y[link].astype(np.int64), whole[link]
@@ -697,7 +723,7 @@ def _passages(docs: DataFrame, least_words: int, share: float) -> DataFrame:
     needy = materialise(open_runs.select("doc_id", stretch.alias("stretch")).selectExpr("doc_id ^ shiftleft(stretch, 40) as id").distinct(), "needy")
     if not needy.isEmpty():
         hot = dealt(shared.mapInArrow(_hot(buckets, id_filter(needy, always=True)), _HOT), "part")
-        wider = materialise(dealt(hot.mapInArrow(_widened(buckets), _SEEDS), "bucket").mapInArrow(_shared, _SHARED), "wider")
+        wider = materialise(dealt(hot.mapInArrow(_widened(tasks), _SEEDS), "bucket").mapInArrow(_shared, _SHARED), "wider")
         known = spans.select("doc_id", "other_id", "first_word", "end_word").mapInArrow(_known(buckets), _LINKS)
         more, *others = found(wider.mapInArrow(_links(buckets, True), _LINKS).unionByName(known))
         spans, tables = spans.unionByName(more), [*tables, *others, wider]
