@@ -36,6 +36,13 @@ def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng(9_001).standard_normal((dim, bits * tables)).astype(np.float32)
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of unit length in double precision, however small or large they are."""
+    rows = rows.astype(np.float64)
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def _keys(unit: np.ndarray, planes: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """(vectors, tables) bucket numbers."""
     out = np.zeros((len(unit), tables), dtype=np.int32)
@@ -59,7 +66,7 @@ def _bucketed(bits: int, tables: int):
                 lengths = np.asarray([len(v) for v in part.column(1)])
                 for dim in np.unique(lengths):
                     own = part.filter(pa.array(lengths == dim))
-                    keys = _keys(_matrix(own.column(1)), _planes(int(dim), bits, tables), bits, tables)
+                    keys = _keys(_unit(_matrix(own.column(1))), _planes(int(dim), bits, tables), bits, tables)
                     n = own.num_rows
                     row = pa.array(np.repeat(np.arange(n), tables))
                     table = np.tile(np.arange(tables), n)
@@ -86,16 +93,16 @@ class _Sums:
             self._planes[dim] = _planes(dim, self._bits, self._tables)
         table = (bucket >> 32) - dim * self._tables
         left, right = a, a if b is None else b
-        x = left[1] / np.linalg.norm(left[1], axis=1, keepdims=True)
-        y = x if b is None else right[1] / np.linalg.norm(right[1], axis=1, keepdims=True)
+        x = _unit(left[1])
+        y = x if b is None else _unit(right[1])
         i, j = np.nonzero(x @ y.T >= self._cosine)
         keep = i < j if b is None else np.ones(len(i), dtype=bool)
         i, j = i[keep], j[keep]
         if not len(i):
             return [], []
         near = (left[0], right[0])
-        kx = _keys(left[1], self._planes[dim], self._bits, self._tables)
-        ky = kx if b is None else _keys(right[1], self._planes[dim], self._bits, self._tables)
+        kx = _keys(x, self._planes[dim], self._bits, self._tables)
+        ky = kx if b is None else _keys(y, self._planes[dim], self._bits, self._tables)
         fresh = np.ones(len(i), dtype=bool)
         for at in range(0, len(i), 1 << 16):
             s = slice(at, at + (1 << 16))
@@ -183,10 +190,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 1e-5) ->
     Two vectors of the same length link when their cosine in double precision is at least ``cosine``.  A
     vector that is null, empty, zero or holds a null or non-finite component links with nothing, nor does
     one with a null vec_id (its component_id is null, kept is true).  n_links counts rows, so equal vectors
-    count each; rows that repeat a vec_id are one node of the components.
+    count each; rows that repeat a vec_id are one node of the components.  Other columns are not read, and an
+    empty table gives no rows.
     """
     small_batches(vectors.sparkSession)
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    # Floats travel as they are; any other numbers as doubles.
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & ~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
     base = base.withColumn("usable", usable)
@@ -199,11 +209,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 1e-5) ->
     reps = keyed.join(classes.withColumnRenamed("rep", "vec_id"), ["vec_id", "digest"])
     reps = materialise(reps.dropDuplicates(["vec_id", "digest"]).select("vec_id", "embedding", "copies"), "vector_reps")
     bits, tables = plan_tables(reps.count(), cosine, miss)
-    rows = reps.mapInArrow(_bucketed(bits, tables), "bucket long, vec_id long, embedding array<float>, copies long")
+    rows = reps.mapInArrow(_bucketed(bits, tables), f"bucket long, vec_id long, embedding {kind}, copies long")
 
     # Large buckets are compared block against block: a vector goes to each pair of blocks that has its own.
     counts = reps.select("vec_id", "embedding", "copies").mapInArrow(
-        _bucketed(bits, tables), "bucket long, vec_id long, embedding array<float>, copies long"
+        _bucketed(bits, tables), f"bucket long, vec_id long, embedding {kind}, copies long"
     )
     sizes = materialise(
         counts.groupBy("bucket").agg(F.count("*").alias("size"), F.max("vec_id").alias("last")).where("size > 1"), "bucket_sizes"

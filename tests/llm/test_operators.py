@@ -276,6 +276,16 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _ in bad)
 
 
+def test_vectors_of_any_size(spark):
+    from parley.llm.vectors import near_vectors
+
+    rows = [(1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [1.0, 2.0]), (4, [2.0, -1.0]), (5, [1.0, 2.0, 0.0]), (6, [2.0, 4.0, 0.1]), (7, [9.0]), (7, [-9.0]), (7, [9.0])]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "vec_id long, embedding array<double>, bucket int, digest string, n long")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True), (7, 1, 7, True), (7, 1, 7, True)]
+    assert near_vectors(df.limit(0)).count() == 0
+
+
 def test_scores(spark):
     from parley.llm.brown import held_out, score_documents
 
