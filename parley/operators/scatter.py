@@ -54,6 +54,8 @@ def whiten(df: DataFrame, key: str, vector: str, least_rows: int = 8) -> DataFra
 
     @F.pandas_udf("array<double>")
     def apply(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else (turn @ (np.asarray(x, dtype=float) - centre)).tolist())
+        held = v.notna().to_numpy()
+        turned = iter((np.stack(v[held].to_list()) - centre) @ turn.T if held.any() else ())
+        return pd.Series([next(turned) if h else None for h in held], index=v.index, dtype=object)
 
     return df.withColumn(vector, apply(F.col(vector).cast("array<double>")))

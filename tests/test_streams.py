@@ -181,3 +181,29 @@ def test_windows_drop_late_rows(spark, tmp_path):
         got, dropped = feed.run(make(feed.stream("600 seconds")), f"windows{n}")
         assert dropped >= 1
         assert sorted(r for r in got if r[0] < 9) == sorted(map(tuple, make(batch).collect()))
+
+
+def test_chunks_to_speakers_in_one_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from parley.operators.embedding import with_embeddings
+    from parley.sources.tables import chunk_source
+    from parley.streaming.sessions import identify_stream
+
+    draw = np.random.default_rng(8)
+    wave = lambda hz: (np.sin(np.arange(800) * hz / 100) + draw.normal(size=800) * 0.01).tolist()
+    rows = [(s, i, at(2 * i), wave(5 + 30 * (i % 2))) for i in range(12) for s in (1, 2)] + [(9, 0, at(9000), wave(1)), (9, 1, at(19000), wave(1))]
+    schema = "stream_id bigint, seq bigint, ts timestamp, samples array<float>"
+    for n, part in enumerate((rows[:10], rows[10:24], rows[24:25], rows[25:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def prepared(df):
+        heard = with_embeddings(df).select(F.col("stream_id").alias("session_id"), F.col("seq").alias("seg_ix"), "embedding", F.lit(2.0).alias("duration_sec"), F.lit(0.1).alias("rms"), "ts")
+        return heard
+
+    live = identify_stream(prepared(chunk_source(spark, f"{tmp_path}/in", 1).withWatermark("ts", "60 seconds")))
+    query = live.writeStream.format("memory").queryName("spoken").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    got = sorted((r.session_id, r.seg_ix, r.speaker_id, r.outcome) for r in spark.table("spoken").collect() if r.session_id < 9)
+    want = identify(prepared(spark.read.schema(schema).parquet(f"{tmp_path}/in"))).where("session_id < 9")
+    assert got == sorted(map(tuple, want.collect())) and len(got) == 24
