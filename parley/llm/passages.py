@@ -195,10 +195,11 @@ def _occurrences(counts: bytes, docs: bytes, places: bytes) -> tuple[np.ndarray,
     return doc, pos, begin, end, holder, rank, held_by, heat, np.flatnonzero(fresh)[key]
 
 
-def _links(parts: int, wider: bool):
+def _links(parts: int, wanted=None):
     """Links of each occurrence with earlier documents; its partner's first, last and like-numbered place.
 
-    A link of a ``wider`` seed stands for links of all the seeds it joins.
+    With ``wanted`` the seeds are wider ones: links of those that begin or end in such a stretch are made, of the
+    first and of the last seed that each joins.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,20 +208,26 @@ def _links(parts: int, wider: bool):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 doc, pos, begin, end, holder, rank, held_by, heat, _ = _occurrences(*row)
                 nth = np.arange(len(doc)) - begin[holder]
+                if wanted is not None:
+                    place, last = pos // len(WIDER), np.array([steps[-1] for steps in WIDER])[pos % len(WIDER)]
+                    asked = np.zeros(len(doc), dtype=bool)
+                    for end_of in (place, place + last):
+                        asked |= wanted.value.holds(doc ^ (end_of.astype(np.int64) // STRETCH << 40))
                 for at, other in _partners(holder, rank, held_by):
+                    if wanted is not None:
+                        use = asked[at]
+                        at, other = at[use], other[use]
                     a, b = begin[other], end[other] - 1
                     same = np.minimum(a + nth[at], b)
-                    for place, some in ((a, slice(None)), (b, b > a), (same, (same > a) & (same < b))):
-                        i, j = at[some], place[some]
+                    for there, some in ((a, slice(None)), (b, b > a), (same, (same > a) & (same < b))):
+                        i, j = at[some], there[some]
                         if not len(i):
                             continue
-                        if not wider:
+                        if wanted is None:
                             found.append((doc[i], doc[j], pos[i], pos[j], heat[i]))
                             continue
-                        for n, steps in enumerate(WIDER):
-                            own = pos[i] % len(WIDER) == n
-                            p, q = i[own], j[own]
-                            found += [(doc[p], doc[q], pos[p] // len(WIDER) + d, pos[q] // len(WIDER) + d, np.zeros(len(p), np.int8)) for d in steps if len(p)]
+                        for step in (np.zeros(len(i), np.int64), last[i]):
+                            found.append((doc[i], doc[j], place[i] + step, place[j] + step, np.zeros(len(i), np.int8)))
                     if sum(len(f[0]) for f in found) > 2 * _PART:
                         yield _by_part(*(np.concatenate(c) for c in zip(*found, strict=True)), parts)
                         found.clear()
@@ -716,16 +723,17 @@ def _passages(docs: DataFrame, least_words: int, share: float) -> DataFrame:
         return aligned.unionByName(groups.where("kind > 1").selectExpr(*sure)), groups, aligned
 
     shared = materialise(dealt(docs.mapInArrow(_seeds(buckets), _SEEDS), "bucket").mapInArrow(_shared, _SHARED), "shared")
-    spans, *tables = found(shared.mapInArrow(_links(buckets, False), _LINKS))
+    spans, *tables = found(shared.mapInArrow(_links(buckets), _LINKS))
     within = F.expr(f"r.doc_id = s.doc_id and s.first_word <= r.left_word + {EDGE} and r.right_word <= s.end_word + {EDGE}")
     open_runs = tables[0].where("kind = 1").alias("r").join(_islands(spans).alias("s"), within, "left_anti")
     stretch = F.explode(F.expr(f"sequence(greatest(left_word - {REACH}, 0L) div {STRETCH}, (right_word + {REACH}) div {STRETCH})"))
     needy = materialise(open_runs.select("doc_id", stretch.alias("stretch")).selectExpr("doc_id ^ shiftleft(stretch, 40) as id").distinct(), "needy")
     if not needy.isEmpty():
-        hot = dealt(shared.mapInArrow(_hot(buckets, id_filter(needy, always=True)), _HOT), "part")
+        wanted = id_filter(needy, always=True)
+        hot = dealt(shared.mapInArrow(_hot(buckets, wanted), _HOT), "part")
         wider = materialise(dealt(hot.mapInArrow(_widened(tasks), _SEEDS), "bucket").mapInArrow(_shared, _SHARED), "wider")
         known = spans.select("doc_id", "other_id", "first_word", "end_word").mapInArrow(_known(buckets), _LINKS)
-        more, *others = found(wider.mapInArrow(_links(buckets, True), _LINKS).unionByName(known))
+        more, *others = found(wider.mapInArrow(_links(buckets, wanted), _LINKS).unionByName(known))
         spans, tables = spans.unionByName(more), [*tables, *others, wider]
     out = materialise(spans.distinct(), "spans")
     for table in (shared, needy, *tables):
