@@ -1,11 +1,12 @@
 """Scoring by Brown class-based bigrams: P(word | class) * P(class | class before), mixed with unigrams.
 
-Counts cover the whole training corpus.  Words with at least EXCHANGE of all tokens (1 / EXCHANGE of them at
-most) are assigned to classes by distributed exchange (Uszkoreit and Brants, 2008): each round, words are
-evaluated in parallel against the class bigram counts of the round before, and half of them may move.
-Words with at least FREQUENT of all tokens form classes by frequency; all others, seen or not, form one
-class.  Words above FREQUENT (1 / FREQUENT at most) are the only per-word table sent to all tasks; counts of
-the others meet their documents in an equi-join, which has no hot key because none of them is frequent.
+Every word of the training corpus has one of the learned classes, found by distributed exchange (Uszkoreit and
+Brants, 2008).  Words with at least FREQUENT of all tokens (1 / FREQUENT at most) are the only per-word table sent
+to all tasks.  The most frequent of them begin with a class each, the others join these, and in each round all are
+evaluated in parallel against the class bigram counts of the round before, and half of them may move.  The other
+words, down to those seen once, are then put by the same gains into the class that fits their neighbours best; their
+classes and counts stay a table that meets the documents in an equi-join, which has no hot key because none of them
+is frequent.
 """
 
 from __future__ import annotations
@@ -13,18 +14,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textkit as tk
+from parley.llm.passages import _cuts, _packed, _unpacked
 from parley.llm.store import discard, materialise, small_batches
 
-EXCHANGE, FREQUENT = 1e-4, 1e-6
-BANDS = 7
+FREQUENT = 1e-6
 END = np.uint64(1)
 _FLUSH = 1 << 19
+#: Places of words outside the table of frequent ones, and of the end.
+REST, END_PLACE = -2, -1
+#: Contexts of which the gains are taken at a time.
+_CONTEXTS = 1 << 14
+_PACKED = "part int, words binary, sizes binary, codes binary, counts binary"
+_PACKED_NAMES = [c.split()[0] for c in _PACKED.split(", ")]
 
 
 def _documents(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -82,55 +88,150 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Words:
-    """The frequent words: hash, count, symbol (of bigram counts) and class."""
-
-    def __init__(self, table: pd.DataFrame, total: int, n_classes: int):
-        table = table.sort_values("word")
-        self.word = table["word"].to_numpy(dtype=np.int64).view(np.uint64)
-        order = np.argsort(self.word)
-        self.word, self.count = self.word[order], table["c"].to_numpy(dtype=np.int64)[order]
-        share = self.count / max(total, 1)
-        moved = np.flatnonzero((share >= EXCHANGE) & (self.word != END))
-        moved = moved[np.argsort(-self.count[moved], kind="stable")]
-        self.n_moved, self.n_classes = len(moved), n_classes
-        band = np.clip(np.floor(np.log2(np.maximum(share, 1e-300) / FREQUENT)), 0, BANDS - 1).astype(np.int64)
-        self.symbol = self.n_moved + band
-        self.symbol[moved] = np.arange(self.n_moved)
-        self.rare, self.end = self.n_moved + BANDS, self.n_moved + BANDS + 1
-        self.symbol[self.word == END] = self.end
-        self.n_symbols = self.end + 1
-        #: Class of each symbol: learned ones first, then the bands, rare words and the end.
-        self.class_of = np.r_[np.arange(self.n_moved) % n_classes, n_classes + np.arange(BANDS + 2)]
-        self.all_classes = n_classes + BANDS + 2
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, whether it is there)."""
+    """The frequent words: hash, count and class; the classes of the end, and of words that are none of them."""
+
+    def __init__(self, word: np.ndarray, count: np.ndarray, n_classes: int):
+        order = np.argsort(word)
+        self.word, self.count = word[order], count[order]
+        self.n_classes, self.end, self.rest, self.all_classes = n_classes, n_classes, n_classes + 1, n_classes + 2
+        #: The most frequent words begin with a class each, all others without one.
+        self.class_of = np.full(len(word), self.rest)
+        self.class_of[np.argsort(-self.count, kind="stable")[:n_classes]] = np.arange(min(n_classes, len(word)))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each word in the table, or REST."""
         if not len(self.word):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+            return np.full(len(h), REST)
         at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
-        return at, self.word[at] == h
+        return np.where(self.word[at] == h, at, REST)
 
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        at, there = self.find(h)
-        return np.where(there, self.symbol[at] if len(self.word) else 0, self.rare)
+    def classes(self, place: np.ndarray) -> np.ndarray:
+        """Class of each place; that of words outside the table for REST, that of the end for END_PLACE."""
+        return np.r_[self.class_of, self.rest, self.end][place]
 
 
-def _bigrams(words):
+def _coded(words):
+    """Documents as places of their words among the frequent ones, and hashes of the others with the places beside them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counter = words.value, _Counter()
+        from pyspark import TaskContext
 
-        def rows() -> pa.RecordBatch:
-            keys, counts = counter.take()
-            a, b = np.divmod(keys.astype(np.int64), own.n_symbols)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(counts)], names=["a", "b", "n"])
+        own, key = words.value, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for first, n, data, offsets in tk.text_chunks(batch.column(2)):
+                start, end, row = tk.words(data, offsets)
+                h = tk.word_hashes(data, start, end)
+                place = own.find(h)
+                cut = np.searchsorted(row, np.arange(n + 1))
+                rest = np.flatnonzero(place == REST)
+                beside = []
+                for other in (rest - 1, rest + 1):
+                    inside = (other >= 0) & (other < len(row))
+                    at = np.where(inside, other, 0)
+                    beside.append(np.where(inside & (row[at] == row[rest]), place[at], END_PLACE).astype(np.int32))
+                width = np.bincount(row[rest], minlength=n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(key + np.arange(n)),
+                        batch.column(0).slice(first, n),
+                        batch.column(1).slice(first, n),
+                        pa.array([_packed(place[a:b], np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                        tk.list_array(h[rest].view(np.int64), width, pa.int64()),
+                        *(tk.list_array(x, width, pa.int32()) for x in beside),
+                    ],
+                    names=["key", "doc_id", "held_out", "places", "rest", "before", "after"],
+                )
+                key += n
+
+    return run
+
+
+def _sequences(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all words of a batch with an end after each document, row of each)."""
+    parts = []
+    for x in batch.column(at).to_pylist():
+        parts += [_unpacked(x, np.int32), np.array([END_PLACE], np.int32)]
+    place = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return place, np.cumsum(np.r_[0, place[:-1] == END_PLACE]) if len(place) else place
 
+
+def _class_pairs(words):
+    """Class bigram counts of coded documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = words.value
+        n = own.all_classes
+        total = np.zeros(n * n, dtype=np.int64)
         for batch in batches:
-            for _, _, h, _ in _documents(batch.column(0)):
-                s = own.symbols(h).astype(np.int64)
-                counter.add((np.r_[own.end, s[:-1]] * own.n_symbols + s).astype(np.uint64))
-                if counter.full():
-                    yield rows()
-        yield rows()
+            c = own.classes(_sequences(batch, 0)[0])
+            if len(c):
+                total += np.bincount(np.r_[own.end, c[:-1]] * n + c, minlength=n * n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at // n), pa.array(at % n), pa.array(total[at])], names=["a", "b", "n"])
+
+    return run
+
+
+def _matrix(pairs: DataFrame, n: int) -> np.ndarray:
+    """Class bigram counts (n x n, of fixed size) from rows a, b, n."""
+    sums = pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((n, n), dtype=np.int64)
+    counts[sums["a"].to_numpy(dtype=int), sums["b"].to_numpy(dtype=int)] = sums["n"].to_numpy(dtype=int)
+    return counts
+
+
+def _contexts(words, half: int | None, parts: int):
+    """Classes beside each word, counted and packed by ranges of words: of the frequent words of one half (0, 1) or those without a class (2), or of all others.
+
+    Frequent words go by their places, others by their hashes.  A context is a class after the word, or one before it (then more by the number of classes).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, size = words.value, [], 0
+        active = own.class_of == own.rest if half == 2 else tk.mix(own.word) & np.uint64(1) == np.uint64(half or 0)
+
+        def packed() -> pa.RecordBatch:
+            word, code = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            if half is None:
+                kinds, at = np.unique(word, return_inverse=True)
+                key, n = np.unique(at * (2 * own.all_classes) + code, return_counts=True)
+                at, code = np.divmod(key, 2 * own.all_classes)
+                part = (tk.mix(kinds) % np.uint64(parts)).astype(np.int32)[at]
+                order = np.argsort(part, kind="stable")
+                part, word, code, n = part[order], kinds[at[order]], code[order], n[order]
+            else:
+                # Places are in the order of hashes, so ranges of them are as good as random.
+                key, n = np.unique(word * (2 * own.all_classes) + code, return_counts=True)
+                word, code = np.divmod(key, 2 * own.all_classes)
+                part, word = word * parts // len(own.word), word.astype(np.uint64)
+            cut, rows = _cuts(part), []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                each = _cuts(word[a:b])
+                rows.append((int(part[a]), _packed(word[a:b][each[:-1]], np.uint64), _packed(np.diff(each), np.uint32), _packed(code[a:b], np.uint16), _packed(n[a:b], np.uint32)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(c), pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=_PACKED_NAMES
+            )
+
+        for batch in batches:
+            place, _ = _sequences(batch, 0)
+            if not len(place):
+                continue
+            cls = own.classes(place)
+            if half is None:
+                at = np.flatnonzero(place == REST)
+                word = np.asarray(batch.column(1).flatten()).view(np.uint64)
+            else:
+                at = np.flatnonzero(np.r_[active, False, False][place])
+                word = place[at].astype(np.int64)
+            if len(at):
+                held += [(word, cls[at + 1]), (word, own.all_classes + np.r_[own.end, cls][at])]
+                size += 2 * len(at)
+            if size > 4 * _FLUSH:
+                yield packed()
+                size = 0
+        if held:
+            yield packed()
 
     return run
 
@@ -139,118 +240,195 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def _best_classes(counts: np.ndarray, class_of: np.ndarray, n_classes: int):
-    """For each symbol, given its neighbours' classes, the class that fits best (gains of the exchange)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        word = table.column("word")[0].as_py()
-        right, left = np.zeros(len(counts)), np.zeros(len(counts))
-        side, cls, n = (table.column(c).to_numpy() for c in ("side", "class", "n"))
-        np.add.at(right, cls[side == 0], n[side == 0])
-        np.add.at(left, cls[side == 1], n[side == 1])
-        own = class_of[word]
-        base = counts.astype(float)
-        base[own] -= right
-        base[:, own] -= left
-        base = np.maximum(base, 0)
-        rows, cols = base[:n_classes], base[:, :n_classes].T
-        out, into = rows.sum(axis=1), cols.sum(axis=1)
-        gain = (_xlogx(rows + right) - _xlogx(rows)).sum(axis=1) + (_xlogx(cols + left) - _xlogx(cols)).sum(axis=1)
-        gain -= _xlogx(out + right.sum()) - _xlogx(out) + _xlogx(into + left.sum()) - _xlogx(into)
-        best = int(np.argmax(gain))
-        return pa.table({"word": [word], "class": [best if gain[best] > gain[own] + 1e-9 else int(own)]})
+def _gains(counts: np.ndarray, n_classes: int, begin: np.ndarray, code: np.ndarray, n: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    """Gain (words x classes) of putting each word into each class, out of its own class if it has one.
+
+    ``counts``: class bigrams; the contexts of a word are those from its ``begin`` to the next one's.
+    """
+    cells = np.concatenate([counts[:n_classes].T, counts[:, :n_classes]]).astype(float)
+    sides = np.stack([counts[:n_classes].sum(axis=1), counts[:, :n_classes].sum(axis=0)]).astype(float)
+    after = code < len(counts)
+    totals = [np.add.reduceat(np.where(side, n, 0), begin).astype(float) for side in (after, ~after)]
+    gain = np.add.reduceat(_xlogx(cells[code] + n[:, None]) - _xlogx(cells)[code], begin, axis=0)
+    for side, total in zip(sides, totals, strict=True):
+        gain -= _xlogx(side + total[:, None]) - _xlogx(side)
+    if own is not None:
+        word = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(code)]))
+        own = np.minimum(own, n_classes)
+        cell = np.c_[cells, np.zeros(len(cells))][code, own[word]]
+        sides = np.c_[sides, np.zeros(2)]
+        stay = np.add.reduceat(_xlogx(cell) - _xlogx(np.maximum(cell - n, 0)), begin)
+        for side, total in zip(sides, totals, strict=True):
+            stay -= _xlogx(side[own]) - _xlogx(np.maximum(side[own] - total, 0))
+        has = np.flatnonzero(own < n_classes)
+        gain[has, own[has]] = stay[has]
+    return gain
+
+
+def _best_classes(counts: np.ndarray, words=None):
+    """The class of each word by its contexts, and how often it occurs; frequent words (those of ``words``) leave their class for a better one only."""
+
+    def best(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        word, code, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        # Each task's contexts are in order already, which the stable sort makes use of.
+        order = np.lexsort((code, word)) if words is None else np.argsort(word.astype(np.int64) * (2 * len(counts)) + code, kind="stable")
+        word, code, n = word[order], code[order], n[order]
+        fresh = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (code[1:] != code[:-1])])
+        word, code, n = word[fresh], code[fresh], np.add.reduceat(n, fresh)
+        begin, n_classes = _cuts(word), len(counts) - 2
+        kinds = word[begin[:-1]]
+        own = None if words is None else words.value.class_of[kinds.astype(np.int64)]
+        a = 0
+        while a < len(kinds):
+            b = max(a + 1, int(np.searchsorted(begin, begin[a] + _CONTEXTS, side="right")) - 1)
+            some = slice(begin[a], begin[b])
+            gain = _gains(counts, n_classes, begin[a:b] - begin[a], code[some], n[some], None if own is None else own[a:b])
+            cls = gain.argmax(axis=1)
+            if own is not None:
+                now = own[a:b]
+                stays = (now < n_classes) & (gain.max(axis=1) <= gain[np.arange(b - a), np.minimum(now, n_classes - 1)] + 1e-9)
+                cls = np.where(stays, now, cls)
+            times = np.add.reduceat(np.where(code[some] < len(counts), n[some], 0), begin[a:b] - begin[a])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[a:b].view(np.int64)), pa.array(cls.astype(np.int32)), pa.array(times)], names=["word", "class", "c"])
+            a = b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for part, kinds, sizes, codes, ns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now and held:
+                    yield from best(held)
+                now = part
+                word = np.repeat(_unpacked(kinds, np.uint64), _unpacked(sizes, np.uint32))
+                held.append((word, _unpacked(codes, np.uint16).astype(np.int64), _unpacked(ns, np.uint32).astype(np.int64)))
+        if held:
+            yield from best(held)
 
     return run
 
 
-def _class_counts(pairs: DataFrame, class_of: np.ndarray, n: int) -> tuple[DataFrame, np.ndarray]:
-    """Bigrams with both classes, and the matrix of class bigram counts (n x n, of fixed size)."""
-    spark = pairs.sparkSession
-    classes = spark.createDataFrame(pd.DataFrame({"s": np.arange(len(class_of)), "k": class_of}), "s long, k long")
-    both = pairs.join(F.broadcast(classes.withColumnsRenamed({"s": "a", "k": "ka"})), "a").join(
-        F.broadcast(classes.withColumnsRenamed({"s": "b", "k": "kb"})), "b"
-    )
-    sums = both.groupBy("ka", "kb").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((n, n), dtype=np.int64)
-    counts[sums["ka"].to_numpy(dtype=int), sums["kb"].to_numpy(dtype=int)] = sums["n"].to_numpy(dtype=int)
-    return both, counts
-
-
-def _exchange(pairs: DataFrame, words: _Words, rounds: int) -> np.ndarray:
-    """Rounds of exchange; sets the classes of ``words`` and returns the last class bigram counts."""
-    for i in range(rounds):
-        both, counts = _class_counts(pairs, words.class_of, words.all_classes)
-        if not words.n_moved:
-            return counts
-        right = both.select(F.col("a").alias("word"), F.lit(0).alias("side"), F.col("kb").alias("class"), "n")
-        left = both.select(F.col("b").alias("word"), F.lit(1).alias("side"), F.col("ka").alias("class"), "n")
-        context = (
-            right.unionByName(left)
-            .where((F.col("word") < words.n_moved) & (F.pmod(F.xxhash64("word"), F.lit(2)) == i % 2))
-            .groupBy("word", "side", "class")
-            .agg(F.sum("n").alias("n"))
-        )
-        fit = _best_classes(counts, words.class_of, words.n_classes)
-        new = context.groupBy("word").applyInArrow(fit, "word long, class long").toPandas()
-        words.class_of[new["word"].to_numpy(dtype=int)] = new["class"].to_numpy(dtype=int)
-    return _class_counts(pairs, words.class_of, words.all_classes)[1]
-
-
-def _log_tables(words: _Words, counts: np.ndarray, total: int, kinds: int, weight: float) -> dict:
-    """What scoring needs: class transitions, emissions of frequent words, and the terms of rare ones."""
-    cls = words.class_of[words.symbol] if len(words.word) else np.zeros(0, np.int64)
-    n_class = np.bincount(cls, weights=words.count, minlength=words.all_classes)
-    v_class = np.bincount(cls, minlength=words.all_classes)
-    into = counts.sum(axis=0) / max(counts.sum(), 1)
-    move = (counts + into[None, :] + 1e-9) / (counts.sum(axis=1, keepdims=True) + 1 + 1e-9 * len(counts))
-    rare_n, rare_v = total - int(words.count.sum()), kinds - len(words.word)
-    emit = (words.count + 1) / (n_class[cls] + v_class[cls])
-    emit[words.word == END] = 1.0
+def _exchange(coded: DataFrame, words: _Words, rounds: int, tasks: int) -> DataFrame:
+    """Rounds of exchange; sets the classes of ``words`` and returns those of all other words: word, class, c."""
+    spark = coded.sparkSession
+    train, parts = coded.where("not held_out"), 4 * tasks
+
+    def fit(half: int | None) -> DataFrame:
+        known = spark.sparkContext.broadcast(words)
+        counts = _matrix(train.select("places").mapInArrow(_class_pairs(known), "a long, b long, n long"), words.all_classes)
+        contexts = train.select("places", "rest").mapInArrow(_contexts(known, half, parts), _PACKED)
+        dealt = contexts.repartition(tasks, "part").sortWithinPartitions("part")
+        return dealt.mapInArrow(_best_classes(counts, None if half is None else known), "word long, class int, c long")
+
+    for half in [2, *(i % 2 for i in range(rounds))] if len(words.word) else []:
+        new = fit(half).select("word", "class").toPandas()
+        words.class_of[new["word"].to_numpy(dtype=np.int64)] = new["class"].to_numpy(dtype=np.int64)
+    return materialise(fit(None), "classes")
+
+
+def _known_rest(coded: DataFrame, classes: DataFrame, words: _Words) -> DataFrame:
+    """For each document the words that are not frequent, in order, with their neighbours' places, class and count (unseen: the last class, 0)."""
+    each = coded.select("key", "held_out", F.posexplode(F.arrays_zip("rest", "before", "after")).alias("at", "r"))
+    each = each.select("key", "held_out", "at", F.col("r.rest").alias("word"), "r.before", "r.after")
+    each = each.join(classes.hint("shuffle_hash"), "word", "left")
+    one = F.struct("at", "before", "after", F.coalesce("class", F.lit(words.rest)).cast("int").alias("class"), F.coalesce("c", F.lit(0)).cast("long").alias("c"))
+    return materialise(each.groupBy("key", "held_out").agg(F.sort_array(F.collect_list(one)).alias("rest")), "known")
+
+
+def _rest_columns(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, ...]:
+    """(row, place before, place after, class, count) of the words of a batch of ``_known_rest``."""
+    lists = batch.column(at)
+    row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+    flat = lists.flatten()
+    return row, *(np.asarray(flat.field(c)) for c in ("before", "after", "class", "c"))
+
+
+def _rest_pairs(words):
+    """Class bigrams of which one word or both are not frequent, less those that ``_class_pairs`` counted for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = words.value
+        n = own.all_classes
+        total = np.zeros(n * n, dtype=np.int64)
+        for batch in batches:
+            _, before, after, cls, _ = _rest_columns(batch, 0)
+            if not len(cls):
+                continue
+            left = np.where(before == REST, np.r_[own.rest, cls[:-1]], own.classes(before))
+            total += np.bincount(left * n + cls, minlength=n * n)
+            total -= np.bincount(own.classes(before) * n + own.rest, minlength=n * n)
+            last = after != REST
+            total += np.bincount(cls[last] * n + own.classes(after[last]), minlength=n * n)
+            total -= np.bincount(own.rest * n + own.classes(after[last]), minlength=n * n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at // n), pa.array(at % n), pa.array(total[at])], names=["a", "b", "n"])
+
+    return run
+
+
+def _log_tables(words: _Words, counts: np.ndarray, sizes: np.ndarray, ends: int, total: int, kinds: int, weight: float) -> dict:
+    """What scoring needs: class transitions, tokens and words of each class, terms of the frequent words and the end.
+
+    A word that was not seen has the same probability after every class, that of the unigrams.
+    """
+    n_class, v_class = sizes
+    unseen = 1 / (total + kinds + 1)
+    seen = counts[: words.rest, : words.rest]
+    into = seen.sum(axis=0) / max(seen.sum(), 1)
+    move = np.zeros((words.all_classes, words.all_classes))
+    move[: words.rest, : words.rest] = seen
+    move[:, : words.rest] += into + 1e-9
+    move[:, : words.rest] *= (1 - unseen) / move[:, : words.rest].sum(axis=1, keepdims=True)
+    move[:, words.rest] = unseen
+    cls = words.class_of
+    size = np.r_[n_class + v_class, 0, 0]
     return {
-        "class": cls, "move": move * weight, "emit": emit, "rare_emit": 1 / (rare_n + rare_v + 1),
-        "plain": (words.count + 1) / (total + kinds + 1), "rare_plain": 1 / (total + kinds + 1), "rest": 1 - weight,
-        "total": total, "kinds": kinds,
+        "move": move * weight, "size": np.maximum(size, 1), "emit": np.r_[(words.count + 1) / size[cls], 1.0, 1.0],
+        "plain": np.r_[(words.count + 1) * unseen, unseen, (ends + 1) * unseen], "unseen": unseen, "rest": 1 - weight, "end_known": ends > 0,
     }
 
 
 def _scored(words, tables):
+    """Sums over the frequent words and the end; scores are those of words whose predecessor is frequent too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        own, t = words.value, tables.value
+        for batch in batches:
+            place, row = _sequences(batch, 3)
+            cls, n = own.classes(place), batch.num_rows
+            before = np.r_[own.end, cls[:-1]]
+            score = np.log10(t["move"][before, cls] * t["emit"][place] + t["rest"] * t["plain"][place]) if len(cls) else np.zeros(0)
+            frequent = place != REST
+            score[~frequent | (before == own.rest)] = 0
+            known = frequent & ((place != END_PLACE) | t["end_known"])
+            base = np.where(frequent, np.log10(t["plain"][place]), 0)
+            sums = [np.bincount(row, weights=x, minlength=n) for x in (known, base, score)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(np.bincount(row, minlength=n), pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
+                names=["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
+            )
+
+    return run
 
+
+def _rest_scored(words, tables):
+    """The same sums over the words that are not frequent, and the scores of frequent ones after them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, t = words.value, tables.value
-        key, rare_class = TaskContext.get().partitionId() << 40, own.n_classes + BANDS
-        end_class = rare_class + 1
         for batch in batches:
-            for first, n, h, row in _documents(batch.column(2)):
-                at, there = own.find(h)
-                cls = np.where(there, t["class"][at], rare_class) if len(own.word) else np.full(len(h), rare_class)
-                cls[h == END] = end_class
-                before = np.r_[end_class, cls[:-1]]
-                emit = np.where(there, t["emit"][at], t["rare_emit"]) if len(own.word) else np.full(len(h), t["rare_emit"])
-                emit[h == END] = 1.0
-                plain = np.where(there, t["plain"][at], t["rare_plain"]) if len(own.word) else np.full(len(h), t["rare_plain"])
-                score = np.log10(t["move"][before, cls] * emit + t["rest"] * plain)
-                rare, rare_row = h[~there & (h != END)], row[~there & (h != END)]
-                order = np.lexsort((rare, rare_row))
-                rare, rare_row = rare[order], rare_row[order]
-                cut = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (rare_row[1:] != rare_row[:-1])][: len(rare)])
-                times = np.diff(np.r_[cut, len(rare)])
-                width = np.bincount(rare_row[cut], minlength=n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key + np.arange(n)),
-                        batch.column(0).slice(first, n),
-                        batch.column(1).slice(first, n),
-                        pa.array(np.bincount(row, minlength=n), pa.int64()),
-                        pa.array(np.bincount(row, weights=there, minlength=n).astype(np.int64)),
-                        pa.array(np.bincount(row, weights=np.log10(plain), minlength=n)),
-                        pa.array(np.bincount(row, weights=score, minlength=n)),
-                        tk.list_array(rare[cut].view(np.int64), width, pa.int64()),
-                        tk.list_array(times.astype(np.int32), width, pa.int32()),
-                    ],
-                    names=["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"],
-                )
-                key += n
+            row, before, after, cls, c = _rest_columns(batch, 1)
+            left = np.where(before == REST, np.r_[own.rest, cls[:-1]], own.classes(before))
+            plain = (c + 1) * t["unseen"]
+            emit = np.where(cls == own.rest, 1.0, (c + 1) / t["size"][cls])
+            score = np.log10(t["move"][left, cls] * emit + t["rest"] * plain)
+            last = np.flatnonzero(after != REST)
+            then = after[last]
+            score[last] += np.log10(t["move"][cls[last], own.classes(then)] * t["emit"][then] + t["rest"] * t["plain"][then])
+            sums = [np.bincount(row, weights=x, minlength=batch.num_rows) for x in (c > 0, np.log10(plain), score)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["key", "known", "more", "rest_score"]
+            )
 
     return run
 
@@ -267,40 +445,40 @@ def score_documents(docs: DataFrame, classes: int = 64, rounds: int = 6, weight:
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     train = docs.where("not held_out").select("text")
     vocabulary = train.mapInArrow(_unigrams, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
     vocabulary = materialise(vocabulary, "vocabulary")
-    total, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = vocabulary.where(F.col("c") >= max(1.0, FREQUENT * total))
-    words = _Words(frequent.toPandas(), total, classes)
-    known = spark.sparkContext.broadcast(words)
-    pairs = train.mapInArrow(_bigrams(known), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = materialise(pairs, "bigrams")
-    counts = _exchange(pairs, words, rounds)
-    known = spark.sparkContext.broadcast(words)
-    tables = spark.sparkContext.broadcast(_log_tables(words, counts, total, kinds, weight))
-    schema = (
-        f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, "
-        "base double, score double, rare array<long>, times array<int>"
-    )
-    parts = materialise(docs.mapInArrow(_scored(known, tables), schema), "scored")
-    rare = parts.select("key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("key", F.col("r.rare").alias("word"), "r.times")
-    counts_of_rare = vocabulary.where(F.col("c") < max(1.0, FREQUENT * total)).hint("shuffle_hash")
-    sums = (
-        rare.join(counts_of_rare, "word")
-        .groupBy("key")
-        .agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"))
-    )
-    more = F.coalesce("more", F.lit(0.0))
-    discard(pairs)
-    return parts.drop("rare", "times").join(sums, "key", "left").select(
+    is_end = F.col("word") == int(END)
+    total, kinds, ends = vocabulary.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("c"), F.count("*"), F.max(F.when(is_end, F.col("c")))))).first()
+    frequent = vocabulary.where((F.col("c") >= max(1.0, FREQUENT * total)) & ~is_end).toPandas()
+    discard(vocabulary)
+    words = _Words(frequent["word"].to_numpy(dtype=np.int64).view(np.uint64), frequent["c"].to_numpy(dtype=np.int64), classes)
+    schema = f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, "
+    coded = docs.mapInArrow(_coded(spark.sparkContext.broadcast(words)), schema + "places binary, rest array<long>, before array<int>, after array<int>")
+    coded = materialise(coded, "coded")
+    others = _exchange(coded, words, rounds, tasks)
+    rest, known = _known_rest(coded, others, words), spark.sparkContext.broadcast(words)
+    pairs = coded.where("not held_out").select("places").mapInArrow(_class_pairs(known), "a long, b long, n long")
+    pairs = pairs.unionByName(rest.where("not held_out").select("rest").mapInArrow(_rest_pairs(known), "a long, b long, n long"))
+    counts = _matrix(pairs, words.all_classes)
+    sizes = np.stack([np.bincount(words.class_of, weights=w, minlength=classes) for w in (words.count, np.ones(len(words.count)))])
+    for r in others.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        sizes[:, r["class"]] += r["c"], r["v"]
+    tables = spark.sparkContext.broadcast(_log_tables(words, counts, sizes, ends, total, kinds, weight))
+    sums = "n_tokens long, n_known long, base double, score double"
+    parts = materialise(coded.select("key", "doc_id", "held_out", "places").mapInArrow(_scored(known, tables), schema + sums), "scored")
+    more = materialise(rest.select("key", "rest").mapInArrow(_rest_scored(known, tables), "key long, known long, more double, rest_score double"), "rest_scored")
+    for table in (coded, others, rest):
+        discard(table)
+    return parts.join(more, "key", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
     )
 
 
