@@ -50,6 +50,17 @@ def test_partial_copies_hide_no_whole_one(spark, parts):
     assert cover(spark, [(1, " ".join(own)), (0, plain)])[1] >= set(range(place, place + 62))
 
 
+@pytest.mark.parametrize("before,between", [(10, 10), (2, 40)])
+def test_partial_copies_in_many_documents_hide_no_passage(spark, before, between):
+    # Every seed and wider seed but one is held by many documents, of which none has fifty words of the passage.
+    rng = random.Random(before)
+    passage = text(50, rng).split()
+    part = lambda i: f"{text(20, rng)} {' '.join(passage[:49] if i % 2 else passage[1:])} {text(20, rng)}"
+    texts = [part(i) for i in range(before)] + [f"{text(30, rng)} {' '.join(passage)} {text(30, rng)}"]
+    texts += [part(i) for i in range(between)] + [f"{text(25, rng)} {' '.join(passage)} {text(30, rng)}"]
+    assert cover(spark, list(enumerate(texts)))[len(texts) - 1] >= set(range(25, 75))
+
+
 def _inner(words):
     """Without runs of at most sixteen words: ends of a passage that differ more than they match are left out."""
     out: list[list[int]] = []
