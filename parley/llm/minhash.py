@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import textkit as tk
 from parley.llm.components import connected_components
-from parley.llm.store import discard, materialise, small_batches
+from parley.llm.store import discard, id_filter, materialise, may_hold, small_batches
 
 BINS, ROWS_PER_BAND = 128, 4
 #: Two bits of each of 128 coordinates are kept; sets of similarity s differ in (1 - s) * 3/4 of them on average.
@@ -286,7 +286,9 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, similar: int = 80) -> D
     repeated = materialise(
         docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated"
     )
-    stay = docs.join(gone, "doc_id", "left_anti")
+    # Only documents that may go are shuffled.
+    maybe = may_hold(id_filter(gone, always=True), F.col("doc_id").cast("long"))
+    stay = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, "doc_id", "left_anti").select(*docs.columns))
     if not repeated.isEmpty():
         again = stay.join(repeated, "doc_id", "left_semi").dropDuplicates()
         stay = stay.join(repeated, "doc_id", "left_anti").unionByName(again)
