@@ -51,3 +51,12 @@ def test_repeated_words_of_many_documents_are_covered(spark):
     assert all(r.other_id < r.doc_id and r.n_same >= 0.8 * max(r.end_word - r.first_word, r.other_end - r.other_first) for r in found)
     covered = {w for r in found if r.doc_id == 61 for w in range(r.first_word, r.end_word)}
     assert covered >= set(range(1, 58))
+
+
+def test_partners_without_a_run_of_enough_words_are_not_aligned(monkeypatch):
+    # Forty-five words over and over and five shared words that stand too far from them.
+    monkeypatch.setattr(P, "align", lambda *args: 1 / 0)
+    many = np.full(45, 7, np.uint32)
+    own = np.concatenate([WORDS[:5], WORDS[100:160], many, WORDS[160:230]])
+    other = np.concatenate([WORDS[:5], WORDS[230:290], many, WORDS[290:360]])
+    assert met([(0, 0, 1, 0, other.tobytes(), None), (0, 1, 9, 0, own.tobytes(), None)]) == []
